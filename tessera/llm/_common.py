@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The white space of every word and line rule here, as characters.
@@ -38,7 +39,7 @@ def pieces(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]
 
     A single longer text is a range of its own: no text is cut.
     """
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

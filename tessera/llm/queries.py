@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, line_dedup, mixing
+from . import ann, embed_dedup, line_dedup, minhash, mixing
 from ._common import table
 
 QUERIES = {
     "op2_mix_sources": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op3_nearest_vectors": lambda spark, d: ann.digest(table(spark, d, "embeddings")),
     "op10_embedding_dedup": lambda spark, d: embed_dedup.digest(table(spark, d, "embeddings")),
+    "op5_minhash_dedup": lambda spark, d: minhash.digest(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
 }
 ORACLE: dict = {}
