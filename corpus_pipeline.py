@@ -4,19 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_dedup, mixing
+from tessera.llm import lang_id, line_dedup, minhash, mixing, packing
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters go; so does nothing else."""
+    return lang_id.keep_known(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    return minhash.dedup(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them."""
     return mixing.repeat(docs)
 
 
-STAGES = [("line_dedup", drop_repeated_lines), ("mixing", mix_sources)]
-#: Packing needs token ids and language ID a trained model; neither is SQL.
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Language ID has a trained model and packing needs token ids: neither is SQL.
 ORACLE_SQL = None
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, line_dedup, minhash, mixing
+from . import ann, embed_dedup, lang_id, line_dedup, minhash, mixing, packing
 from ._common import table
 
 QUERIES = {
+    "op1_language_id": lambda spark, d: lang_id.digest(table(spark, d, "documents")),
     "op2_mix_sources": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op3_nearest_vectors": lambda spark, d: ann.digest(table(spark, d, "embeddings")),
     "op10_embedding_dedup": lambda spark, d: embed_dedup.digest(table(spark, d, "embeddings")),
+    "op4_pack_tokens": lambda spark, d: packing.digest(table(spark, d, "documents")),
     "op5_minhash_dedup": lambda spark, d: minhash.digest(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
 }
