@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, lang_id, line_dedup, minhash, mixing, packing
+from . import ann, chat, embed_dedup, html_text, lang_id, line_dedup, minhash, mixing, packing, pii
 from ._common import table
 
 QUERIES = {
@@ -12,6 +12,9 @@ QUERIES = {
     "op10_embedding_dedup": lambda spark, d: embed_dedup.digest(table(spark, d, "embeddings")),
     "op4_pack_tokens": lambda spark, d: packing.digest(table(spark, d, "documents")),
     "op5_minhash_dedup": lambda spark, d: minhash.digest(table(spark, d, "documents")),
+    "op6_main_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
+    "op7_pii_pseudonyms": lambda spark, d: pii.digest(table(spark, d, "documents")),
+    "op8_chat_format": lambda spark, d: chat.digest(table(spark, d, "conversations")),
     "op9_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
 }
 ORACLE: dict = {}
