@@ -2,11 +2,11 @@
 
 Documents with equal shingle sets are one class, stood for by its least doc_id; each class has a signature of
 ``bands * rows`` minima, cut to one byte each for comparing, and one key per band. Within a band key every class is
-compared with the least one (never all with all), each class first with the candidate whose signature agrees best.
-Links are confirmed on the full shingle sets and joined to components. Where a band key then still spans several
-components, its classes outside the largest are compared with all others there, in blocks, so that a link between texts
-that share no key with a common neighbour is found as well. Every pair that shares a band key and ends up in different
-components has been compared.
+compared with the least one (never all with all). Pairs whose signatures agree in a share of ``kin`` make families; each
+class is linked to the candidate that agrees best, if the full shingle sets confirm it. Where a family then still holds
+several components, its classes outside the largest are compared with all others there, in blocks of bounded size that
+see the full sets and return one link for each two components they join: no pairs are written, and no link is missed
+because a common neighbour was none.
 
 Signatures only rule out pairs whose agreement lies ``sigmas`` standard deviations below the threshold.
 
@@ -43,7 +43,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     out = []
@@ -61,7 +61,7 @@ def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     blank = _BLANK[data]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    power, inverse = _powers(1 << max(22, int(len(data)).bit_length()))
+    power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
     total = np.empty(len(data) + 1, _U)
     total[0] = 0
     np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=total[1:])
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, seed: int = 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in pieces(batch["text"]):
+            for s, e in pieces(batch["text"], 1_000_000):
                 sets = list(shingles(batch["text"].slice(s, e - s).to_pylist(), words))
                 size = np.array([len(x) for x in sets])
                 full = np.flatnonzero(size)
@@ -131,13 +131,20 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in pieces(batch["text"]):
+            for s, e in pieces(batch["text"], 1_000_000):
                 grams = [x.tobytes() for x in shingles(batch["text"].slice(s, e - s).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(s, e - s), pa.array(grams, pa.binary())], names=["id", "grams"])
 
     return some.mapInArrow(run, "id long, grams binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
 
@@ -145,14 +152,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def linked(left, right):
         import pandas as pd
 
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pd.Series(out)
+        return pd.Series([_linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(left, right)], dtype=bool)
 
     left = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
     right = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
@@ -164,7 +164,31 @@ def _agreement(left, right) -> np.ndarray:
     return (x == y).mean(1)
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, sigmas: float = 4.5, block_rows: int = 512) -> DataFrame:
+def _across(left: pa.Table, right: pa.Table, percent: int, floor: float) -> pa.Table:
+    """Links (a, b) between documents left and right of different components: one for each two components joined here."""
+    out = []
+    if len(left) and len(right):
+        ids, comp, n = (right[c].to_numpy() for c in ("id", "comp", "n"))
+        sig = np.frombuffer(b"".join(right["sig"].to_pylist()), np.uint8).reshape(len(right), -1)
+        grams, root = right["grams"], {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        for i, c, m, s, own in zip(*(left[f"o_{x}"] for x in ("id", "comp", "n", "sig", "grams"))):
+            i, c, m, own = i.as_py(), c.as_py(), m.as_py(), np.frombuffer(own.as_py(), _U)
+            near = np.flatnonzero((comp != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent))
+            same = (sig[near] == np.frombuffer(s.as_py(), np.uint8)).mean(1)
+            for j in near[np.argsort(-same, kind="stable")[: int((same >= floor).sum())]].tolist():
+                if top(int(comp[j])) != top(c) and _linked(own, np.frombuffer(grams[j].as_py(), _U), percent):
+                    root[top(c)] = top(int(comp[j]))
+                    out.append((i, int(ids[j])))
+    return pa.table([pa.array(x, pa.int64()) for x in (list(zip(*out)) or [[], []])], names=["a", "b"])
+
+
+def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, sigmas: float = 4.5, kin: float = 0.5, block_rows: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` with a doc_id."""
     docs = docs.where(F.col("doc_id").isNotNull())
     every = cut_lineage(sketches(docs, words, bands, rows))
@@ -174,11 +198,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     share = percent / 100
     floor = share - sigmas * (share * (1 - share) / (bands * rows)) ** 0.5
 
-    # Every class of a band key against the least class there.
+    # Every class of a band key against the least class there; of equal agreement the least.
     keyed = reps.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = cut_lineage(keyed.join(heads, "key").select("key", "id", "head", "size"))
-    pairs = inside.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = keyed.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     sigs = reps.select("id", "n", "sig")
 
     @F.pandas_udf("double")
@@ -188,36 +211,28 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         return pd.Series(_agreement(left.tolist(), right.tolist()) if len(left) else [], dtype=float)
 
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).withColumn("same", agree("sig_a", "sig_b")).where(F.col("same") >= floor)
-    best = scored.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    sets = cut_lineage(_sets(docs, inside.select("id").distinct(), words).groupBy("id").agg(F.first("grams").alias("grams")))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", agree("sig_a", "sig_b")).where(F.col("same") >= kin)
+    scored = cut_lineage(scored.select("a", "b", "same", (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).alias("fits")))
+    best = scored.where(F.col("fits") & (F.col("same") >= floor)).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    families = cut_lineage(connected_components(scored).withColumnsRenamed({"node": "id", "component": "family"}))
+    sets = cut_lineage(_sets(docs, families.select("id"), words).groupBy("id").agg(F.first("grams").alias("grams")))
     links = cut_lineage(_confirmed(best, sets, percent))
-    groups = connected_components(links)
-
-    # Band keys that still span several components: what is outside the largest against all others there, in blocks.
-    where = inside.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
-    where = cut_lineage(where)
-    main = where.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    mixed = where.join(main.where("comps > 1"), "key").join(sigs, "id")
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
-    held = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select(F.col("key").alias("k"), "block", "id", "comp", "n", "sig")
-    outside = mixed.where("comp <> main").withColumn("at", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*[F.col(c).alias(f"o_{c}") for c in ("key", "at", "id", "comp", "n", "sig")])
-
-    def across(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(left) and len(right):
-            ids, comp, n = (right[c].to_numpy() for c in ("id", "comp", "n"))
-            sig = np.frombuffer(b"".join(right["sig"].to_pylist()), np.uint8).reshape(len(right), -1)
-            for i, c, m, s in zip(*(left[f"o_{x}"].to_pylist() for x in ("id", "comp", "n", "sig"))):
-                near = np.flatnonzero((comp != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent))
-                near = near[(sig[near] == np.frombuffer(s, np.uint8)).mean(1) >= floor]
-                out_a.append(np.minimum(ids[near], i))
-                out_b.append(np.maximum(ids[near], i))
-        return pa.table([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
-
-    more = outside.groupBy("o_key", "o_at").cogroup(held.groupBy("k", "block")).applyInArrow(across, "a long, b long").distinct()
-    more = _confirmed(more.join(best, ["a", "b"], "left_anti"), sets, percent)
+
+    # Families that still hold several components: what is outside the largest against all others there, in blocks.
+    found = connected_components(links).withColumnRenamed("node", "id")
+    members = cut_lineage(families.join(found, "id", "left").select("id", "family", F.coalesce("component", "id").alias("comp")))
+    counts = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    main = main.select("family", "main", F.ceil((F.col("all") - F.col("most")) / block_rows).cast("int").alias("lefts"), F.ceil(F.col("all") / block_rows).cast("int").alias("rights"))
+    mixed = members.join(main, "family").join(sigs, "id").join(sets, "id")
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = ("id", "comp", "n", "sig", "grams")
+    held = mixed.select("family", deal("rights", 1).alias("j"), every_of("lefts").alias("i"), *data)
+    outside = mixed.where("comp <> main").withColumn("oi", deal("lefts", 2)).withColumn("oj", every_of("rights"))
+    outside = outside.select(F.col("family").alias("of"), "oi", "oj", *[F.col(c).alias(f"o_{c}") for c in data])
+    more = outside.groupBy("of", "oi", "oj").cogroup(held.groupBy("family", "i", "j")).applyInArrow(lambda x, y: _across(x, y, percent, floor), "a long, b long")
+
     groups = connected_components(links.unionAll(more))
     found = reps.select("id", "d1", "d2").join(groups.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(found, ["d1", "d2"], "left")
