@@ -13,8 +13,10 @@ that repeat a doc_id are packed each on their own. Documents without a doc_id ar
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from ._common import cut_lineage
 
 CAPACITY, END_ID = 2048, 1
 #: Words whose ids a Python worker remembers; beyond it forgets them all and starts again.
-REMEMBER = 800_000
+REMEMBER = 400_000
 _memory: dict[str, tuple] = {}
+_RUN_OF_MARKS = re.compile(rb"[.,](?<![0-9A-Za-z][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])(?<![\xc4\xc5][\x80-\xbf][.,])[ \n]")
 
 
 def tokenizer_path() -> str:
@@ -51,46 +54,55 @@ def _tokenizer(path: str) -> tuple:
 def _learn(words: list[bytes], path: str) -> None:
     """Add the ids of words to the memory. The tokenizer never looks across blanks, so words are encoded on their own.
 
-    Plain words, with full stops and commas behind them at most, go in one call, told apart by their last tokens.
+    Words of letters go in one call, told apart by the tokens that end them.
     """
     t, known, ends = _tokenizer(path)
-    plain, odd = {}, []
+    plain, odd = [w for w in words if w.isalpha()], []  # ASCII letters
     for w in words:
-        base = w.rstrip(b".,")
-        text = base.decode("utf-8", "surrogatepass")
-        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:  # lower case keeps the length of these
-            plain.setdefault(text.lower(), []).append(w)
-        else:
-            odd.append(w)
+        if not w.isalpha():
+            text = w.decode("utf-8", "surrogatepass")
+            # One word in the tokenizer's eyes too, also in lower case.
+            (plain if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text else odd).append(w)
     if plain:
-        ids = np.array(t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(ends[ids]) + 1
-        assert len(stops) == len(plain)
-        tails = {}
-        for (text, forms), a, b in zip(plain.items(), [0, *stops[:-1].tolist()], stops.tolist()):
-            own = ids[a:b].tobytes()
-            for w in forms:
-                tail = w[len(text.encode()) :]
-                if tail and tail not in tails:
-                    tails[tail] = np.array(t.encode(tail.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-                known[w] = own + tails[tail] if tail else own
+        ids = np.array(t.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        stops = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(stops) != len(plain):
+            raise ValueError("the tokenizer does not end words as its model says")
+        raw = ids.tobytes()
+        known.update(zip(plain, [raw[a:b] for a, b in zip([0, *stops], stops)]))
     if odd:
-        for w, e in zip(odd, t.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in odd], add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
+        found = t.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in odd], add_special_tokens=False)
+        known.update(zip(odd, [np.array(e.ids, np.uint32).tobytes() for e in found]))
 
 
-def token_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
+def _words(text: str | None) -> list[bytes]:
+    """Parts of a text that the tokenizer treats on their own, with A-Z lower-cased as it would itself.
+
+    Full stops and commas behind a plain letter or digit and before a blank are parts too. Texts with other marks before
+    them, or with what may be a special token, are only cut at blanks.
+    """
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if b"<|" in data:
+        return data.split()
+    if not _RUN_OF_MARKS.search(data):
+        for mark in (b".", b","):
+            data = data.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b"\n")
+    return data.lower().split()
+
+
+def token_ids(texts: Iterable[str | None], path: str, together: int = 200) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers."""
     known = _tokenizer(path)[1]
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for s in range(0, len(new), 2000):
-                _learn(new[s : s + 2000], path)
-        yield b"".join([known[w] for w in words])
+    texts = iter(texts)
+    while group := [_words(t) for t in islice(texts, together)]:
+        found = [list(map(known.get, words)) for words in group]
+        new = list({w for words, ids in zip(group, found) if None in ids for w, i in zip(words, ids) if i is None})
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
+        for s in range(0, len(new), 5000):
+            _learn(new[s : s + 5000], path)
+        for words, ids in zip(group, found):
+            yield b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(words, ids)])
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
