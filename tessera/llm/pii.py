@@ -31,6 +31,11 @@ MAYBE = r"@|[\d+(][\d().\- /]{5,}\d"
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _stream(key: str, label: Column, seed: Column, i: Column) -> Column:
     """A pseudo-random number below 16^7 for place ``i`` (from 1), out of the key and the other half."""
     block = F.sha2(F.concat_ws("|", F.lit(key), label.cast("string"), F.floor((i - 1) / 8).cast("string"), seed), 256)
@@ -61,6 +66,10 @@ def feistel(text: Column, key: str, kind: str) -> Column:
 
 def _fill(form: Column, keep: Column, core: Column, marks: str) -> Column:
     """``form`` with the characters of class ``marks`` behind the first ``keep`` characters taken from ``core``, in order."""
+    return _let(core, lambda c: _filled(form, keep, c, marks))
+
+
+def _filled(form: Column, keep: Column, core: Column, marks: str) -> Column:
     at = lambda i: F.length(F.regexp_replace(F.substring(form, keep + 1, i - keep), f"[^{marks}]", ""))
     one = lambda i: F.when((i > keep) & F.substring(form, i, F.lit(1)).rlike(f"[{marks}]"), F.substring(core, at(i), F.lit(1))).otherwise(F.substring(form, i, F.lit(1)))
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
@@ -95,8 +104,7 @@ def is_card(s: Column) -> Column:
 
 
 def _card(s: Column, key: str) -> Column:
-    head = feistel(_head(_digits(s)), key, "card")
-    return _fill(s, F.lit(0), F.concat(head, _check_digit(head)), r"\d")
+    return _fill(s, F.lit(0), _let(feistel(_head(_digits(s)), key, "card"), lambda head: F.concat(head, _check_digit(head))), r"\d")
 
 
 def _phone(s: Column, key: str) -> Column:
@@ -165,7 +173,11 @@ def _date(s: Column, key: str) -> Column:
         return F.when((i > 0) & (p["a"] * 270 + p["b"] < DAYS), p).otherwise(_pair_rounds(p, key, "date", 271, 270))
 
     n = _day(s)
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(7)), _pair(F.floor(n / 270), n % 270), walk)
+    pair = F.aggregate(F.sequence(F.lit(0), F.lit(7)), _pair(F.floor(n / 270), n % 270), walk)
+    return _let(pair, lambda out: _as_date(s, out))
+
+
+def _as_date(s: Column, out: Column) -> Column:
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["a"] * 270 + out["b"]).cast("int"))
     american = ~s.contains("-") & F.try_to_date(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2))).isNull()
     slash = F.when(american, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
@@ -185,14 +197,20 @@ def pseudonym(s: Column, key: str) -> Column:
     )
 
 
+def _line(line: Column, key: str) -> Column:
+    found = F.transform(F.regexp_extract_all(line, F.lit(f"({ANY})"), F.lit(1)), lambda s: pseudonym(s, key))
+    rest = lambda gaps: F.zip_with(found, F.slice(gaps, 2, F.size(gaps)), lambda s, g: F.concat(s, F.coalesce(g, F.lit(""))))
+    return F.transform(F.array(F.split(line, ANY, -1)), lambda gaps: F.concat(gaps[0], F.array_join(rest(gaps), "")))[0]
+
+
 def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``column``; ``key`` must be kept secret."""
+    """``docs`` with pseudonyms in ``column``; ``key`` must be kept secret.
+
+    No value spans lines, so only lines that may hold one are searched in full.
+    """
     text = F.col(f"`{column}`")
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), lambda s: pseudonym(s, key))
-    gaps = F.split(text, ANY, -1)
-    rest = F.zip_with(found, F.slice(gaps, 2, F.size(gaps)), lambda s, g: F.concat(s, F.coalesce(g, F.lit(""))))
-    changed = F.concat(gaps[0], F.array_join(rest, ""))
-    out = F.when(text.rlike(MAYBE), changed).otherwise(text)
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(MAYBE), _line(x, key)).otherwise(x))
+    out = F.when(text.rlike(MAYBE), F.array_join(lines, "\n")).otherwise(text)
     return docs.select(*[out.alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns])
 
 
