@@ -47,8 +47,10 @@ def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
             break
         jumps.append(now.where("up IS NOT NULL").select("conv_id", "node", "up"))
         above = now.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("extra"))
-        both = now.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("n")), "left")
-        now = cut_lineage(both.select("conv_id", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")))
+        # Only messages that have not reached their root are joined again.
+        both = now.where("up IS NOT NULL").join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("n")))
+        further = both.select("conv_id", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("extra")).alias("score"))
+        now = cut_lineage(now.where("up IS NULL").unionByName(further))
     parents = nodes.where("parent IS NOT NULL").select("conv_id", F.col("parent").alias("node")).distinct()
     leaves = now.where("up IS NULL").join(parents, TREE, "left_anti")
     order = Window.partitionBy("conv_id").orderBy(F.desc(F.col("score") / F.col("depth")), F.desc("depth"), "node")
