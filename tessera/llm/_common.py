@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The white space of every word and line rule here, as characters.
 SPACE = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,27 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder, where a lost executor cannot take it along."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and keep it in the shared checkpoint folder, where a lost executor cannot take it along.
+
+    Meanwhile Python workers get batches of at most ``BATCH_ROWS`` rows, which bounds what they hold of long texts.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    checkpoint_dir(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def pieces(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free
+
 UND = "und"
 SEGMENT = 256
 #: Symbols of the automata: 0 pads, 1 is any character not in the samples, 2 is a blank.
@@ -71,10 +73,11 @@ class Model:
         seen = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
         self.symbols = {c: i + BLANK + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
         self._lut, tables, self.starts, self.bits, at = None, [], [], [], 0
+        width = BLANK + 1 + len(self.symbols)
         for name in self.languages:
             text = self.encode(samples[name])
             nexts = _suffix_automaton(text)
-            table = np.empty((len(nexts), BLANK + 1 + LETTERS), np.int32)
+            table = np.empty((len(nexts), width), np.int32)
             root = np.full(table.shape[1], at, np.int32)
             for c, s in nexts[0].items():
                 root[c] = at + s
@@ -87,7 +90,7 @@ class Model:
             self.starts.append(at)
             self.bits.append(math.log2(len(text) + 2))
             at += len(nexts)
-        self.table = np.concatenate(tables) if tables else np.empty((0, BLANK + 1 + LETTERS), np.int32)
+        self.table = np.concatenate(tables) if tables else np.empty((0, width), np.int32)
 
     def __getstate__(self):
         return self.__dict__ | {"_lut": None}
@@ -198,7 +201,8 @@ def identify(docs: DataFrame, model: Model, as_column: str = "language") -> Data
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without those that are in no language: no text, or no letter in it."""
-    return identify(docs, fit(docs), "__language").where(F.col("__language.lang") != UND).select(*[f"`{c}`" for c in docs.columns])
+    name = free(docs, "__language")
+    return identify(docs, fit(docs), name).where(F.col(f"{name}.lang") != UND).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, cut_lineage
+from ._common import SPACE, cut_lineage, free
 
 KEYS = ["h1", "h2"]
 
@@ -104,16 +104,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold lose all their lines but those
     of the largest ``doc_id`` holding them.
     """
-    lost = repeated_lines(docs, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias("__doc"), "dropped")
-    lost = lost.withColumnRenamed("dropped", "__dropped")
-    out = _without(docs.join(lost, F.col("doc_id") == F.col("__doc"), "left"), min_chars)
-    columns = [F.col("__kept.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, *([F.col("__kept.n_lines"), F.col("__kept.n_dropped")] if counts else []))
-
-
-def _without(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Adds the struct ``__kept`` (text, n_lines, n_dropped); Python gets the text only of rows that lose a line."""
-
+    doc, dropped, cut, n_lines = (free(docs, n) for n in ("__doc", "__dropped", "__cut", "__n_lines"))
+    lost = repeated_lines(docs, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias(doc), F.col("dropped").alias(dropped))
+    rows = docs.join(lost, F.col("doc_id") == F.col(doc), "left")
+    hit = F.col(dropped).isNotNull() & F.col("text").isNotNull()
+    # Python gets the text only of rows that lose a line.
+    rows = rows.withColumn(n_lines, F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long"))
+    rows = rows.withColumn(cut, _cutter(min_chars)(F.when(hit, F.col("text")), F.col(dropped)))
+    text = F.when(hit, F.col(f"{cut}.text")).otherwise(F.col("text"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, *([F.col(n_lines).alias("n_lines"), F.coalesce(F.col(f"{cut}.n_dropped"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []))
+
+
+def _cutter(min_chars: int):
     @F.pandas_udf("text string, n_dropped long")
     def cut(texts, dropped):
         import pandas as pd
@@ -129,11 +132,7 @@ def _without(docs: DataFrame, min_chars: int) -> DataFrame:
             rows.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n_dropped"])
 
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long")
-    hit = F.col("__dropped").isNotNull()
-    docs = docs.withColumn("__cut", cut(F.when(hit, F.col("text")), "__dropped"))
-    text = F.when(hit & F.col("text").isNotNull(), F.col("__cut.text")).otherwise(F.col("text"))
-    return docs.withColumn("__kept", F.struct(text.alias("text"), n_lines.alias("n_lines"), F.coalesce("__cut.n_dropped", F.lit(0)).cast("long").alias("n_dropped")))
+    return cut
 
 
 def digest(docs: DataFrame) -> DataFrame:

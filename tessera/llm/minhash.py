@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage, pieces
+from ._common import cut_lineage, free, pieces
 from .components import connected_components
 
 _U = np.uint64
@@ -242,8 +242,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group, that of the least doc_id."""
-    gone = components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = free(docs, "__gone")
+    gone = components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:

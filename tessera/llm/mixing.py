@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage
+from ._common import cut_lineage, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -102,10 +102,11 @@ def _renamed(goal: DataFrame) -> DataFrame:
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a document as often as its share of epochs, a document begun counts as whole."""
-    keep = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__doc")))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    doc, times, copy = (free(docs, n) for n in ("__doc", "__times", "__copy"))
+    keep = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias(doc)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(doc)))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
