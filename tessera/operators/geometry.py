@@ -52,6 +52,11 @@ def _each_line(df: DataFrame, closed_too: bool, f) -> DataFrame:
     return df.withColumns(out)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _segments(ring: Column, closed: bool) -> Column:
     """array<struct<a, b>> of neighbouring vertices."""
     ends = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)) if closed else F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0)))
@@ -356,7 +361,9 @@ def resample(df: DataFrame, spacing: float) -> DataFrame:
 
     def line(r: Column, closed: bool) -> Column:
         def spread(m: Column) -> Column:
-            total = F.aggregate(m, F.lit(0.0), lambda t, s: t + s["l"])
+            return _let(F.aggregate(m, F.lit(0.0), lambda t, s: t + s["l"]), lambda total: placed(m, total))
+
+        def placed(m: Column, total: Column) -> Column:
             n = F.round(total / spacing).cast("int")
             step = total / F.greatest(n, F.lit(1))
             k0 = lambda s: F.floor(s["at"] / step + 1e-12).cast("int") + 1
@@ -383,11 +390,16 @@ def dash(df: DataFrame, on: float, off: float, phase: float = 0.0) -> DataFrame:
 
     def line(r: Column) -> Column:
         def cut(m: Column) -> Column:
-            total = F.aggregate(m, F.lit(0.0), lambda t, s: t + s["l"])
+            return _let(F.aggregate(m, F.lit(0.0), lambda t, s: t + s["l"]), lambda total: pieces(m, total))
+
+        def pieces(m: Column, total: Column) -> Column:
             last = F.floor((total + first) / period - 1e-12).cast("int")
 
             def piece(k: Column) -> Column:
-                a, b = F.greatest(k * period - first, F.lit(0.0)), F.least(k * period - first + on, total)
+                ends = F.struct(F.greatest(k * period - first, F.lit(0.0)).alias("a"), F.least(k * period - first + on, total).alias("b"))
+                return _let(ends, lambda e: between(e["a"], e["b"]))
+
+            def between(a: Column, b: Column) -> Column:
                 at = lambda s, d: _between(s, F.try_divide(d - s["at"], s["l"]))
                 inside = F.filter(m, lambda s: (s["l"] > 0) & (s["at"] < b) & (s["at"] + s["l"] > a))
                 out = F.flatten(F.transform(inside, lambda s: F.array(at(s, F.greatest(a, s["at"])), at(s, F.least(b, s["at"] + s["l"])))))
