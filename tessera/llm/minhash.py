@@ -2,11 +2,14 @@
 
 Documents with equal shingle sets are one class, stood for by its least doc_id; each class has a signature of
 ``bands * rows`` minima, cut to one byte each for comparing, and one key per band. Within a band key every class is
-compared with the least one (never all with all). Pairs whose signatures agree in a share of ``kin`` make families; each
-class is linked to the candidate that agrees best, if the full shingle sets confirm it. Where a family then still holds
-several components, its classes outside the largest are compared with all others there, in blocks of bounded size that
-see the full sets and return one link for each two components they join: no pairs are written, and no link is missed
-because a common neighbour was none.
+compared with the least one. Classes that agree with it so well that every partner they may have agrees with it in a
+share of ``kin`` (agreement obeys the triangle inequality) are done with that key; the others of the key are compared
+among themselves, in salted blocks of bounded size that see signatures only and return one edge for each two groups they
+join. Edges make families, so that two classes with a common key and an agreement that may reach the threshold are in one
+family, whatever the least class of the key is like; each class is linked to the candidate that agrees best, if the full
+shingle sets confirm it. Where a family then still holds several components, its classes outside the largest are compared
+with all others there, in blocks of bounded size that see the full sets and return one link for each two components they
+join: no pairs are written, and no link is missed because a common neighbour was none.
 
 Signatures only rule out pairs whose agreement lies ``sigmas`` standard deviations below the threshold.
 
@@ -164,6 +167,48 @@ def _agreement(left, right) -> np.ndarray:
     return (x == y).mean(1)
 
 
+def _among(rows: pa.Table, percent: int, floor: float, kin: float, settled: float) -> pa.Table:
+    """Edges (a, b, same, fits) that connect all classes with a common (key, i, j) and an agreement of ``floor``."""
+    ids, key, n = (rows[c].to_numpy() for c in ("id", "key", "n"))
+    block = rows["i"].to_numpy().astype(np.int64) << 32 | rows["j"].to_numpy()
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(rows), -1)
+    order = np.lexsort((ids, block, key))
+    cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(block[order]) != 0)) + 1
+    root, out, wide = {}, {}, sig.shape[1]
+
+    def top(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    def edge(x: int, y: int, same: float) -> None:
+        a, b = top(int(ids[x])), top(int(ids[y]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            x, y = (x, y) if ids[x] < ids[y] else (y, x)
+            out[int(ids[x]), int(ids[y])] = same, bool(min(n[x], n[y]) * 100 >= max(n[x], n[y]) * percent)
+
+    for left in np.split(order, cuts):
+        while len(left) > 1:
+            head, left = left[0], left[1:]
+            same = np.count_nonzero(sig[left] == sig[head], axis=1) / wide
+            for at in np.flatnonzero(same >= floor):
+                edge(head, left[at], float(same[at]))
+            done, about = left[same >= settled], np.flatnonzero((same >= kin) & (same < settled))
+            # Partners of those that are done agree with the head in a share of kin: compared, or taken as they are.
+            if len(done) and len(done) * len(about) <= 200_000:
+                for at in about:
+                    with_done = np.count_nonzero(sig[done] == sig[left[at]], axis=1) / wide
+                    if with_done.max() >= floor:
+                        edge(done[with_done.argmax()], left[at], float(with_done.max()))
+            elif len(done):
+                for at in about:
+                    edge(head, left[at], float(same[at]))
+            left = left[same < settled]
+    a, b, same, fits = zip(*((*k, *v) for k, v in out.items())) if out else ((),) * 4
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same, pa.float64()), pa.array(fits, pa.bool_())], names=["a", "b", "same", "fits"])
+
+
 def _across(left: pa.Table, right: pa.Table, percent: int, floor: float) -> pa.Table:
     """Links (a, b) between documents left and right of different components: one for each two components joined here."""
     out = []
@@ -188,7 +233,7 @@ def _across(left: pa.Table, right: pa.Table, percent: int, floor: float) -> pa.T
     return pa.table([pa.array(x, pa.int64()) for x in (list(zip(*out)) or [[], []])], names=["a", "b"])
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, sigmas: float = 4.5, kin: float = 0.5, block_rows: int = 512) -> DataFrame:
+def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, sigmas: float = 4.5, kin: float = 0.5, block_rows: int = 512, task_rows: int = 20_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` with a doc_id."""
     docs = docs.where(F.col("doc_id").isNotNull())
     every = cut_lineage(sketches(docs, words, bands, rows))
@@ -198,10 +243,11 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     share = percent / 100
     floor = share - sigmas * (share * (1 - share) / (bands * rows)) ** 0.5
 
-    # Every class of a band key against the least class there; of equal agreement the least.
+    # Every class of a band key against the least class there.
     keyed = reps.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = keyed.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    met = cut_lineage(keyed.join(heads, "key").where("id <> head").select("key", F.col("head").alias("a"), F.col("id").alias("b")))
+    pairs = met.select("a", "b").distinct()
     sigs = reps.select("id", "n", "sig")
 
     @F.pandas_udf("double")
@@ -211,10 +257,22 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         return pd.Series(_agreement(left.tolist(), right.tolist()) if len(left) else [], dtype=float)
 
     side = lambda c: sigs.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", agree("sig_a", "sig_b")).where(F.col("same") >= kin)
-    scored = cut_lineage(scored.select("a", "b", "same", (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).alias("fits")))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    scored = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", agree("sig_a", "sig_b").alias("same"), fits.alias("fits")))
+
+    # What may have a partner that is not of the head's family: all of a key that are left, in blocks of two salts.
+    settled = max(floor, kin + 1 - floor)
+    rest = cut_lineage(met.join(scored.where(F.col("same") < settled).select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("id")))
+    salts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / block_rows).cast("int").alias("salts"))
+    rest = rest.join(salts, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("salts")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.when(F.col("salts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own")))))
+    rest = cut_lineage(rest.select("id", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    tasks = rest.count() // task_rows + 1
+    dealt = rest.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).join(sigs, "id")
+    edges = dealt.groupBy("task").applyInArrow(lambda t: _among(t.drop_columns(["task"]), percent, floor, kin, settled), "a long, b long, same double, fits boolean")
+    scored = cut_lineage(scored.where(F.col("same") >= kin).unionAll(edges))
     best = scored.where(F.col("fits") & (F.col("same") >= floor)).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    families = cut_lineage(connected_components(scored).withColumnsRenamed({"node": "id", "component": "family"}))
+    families = cut_lineage(connected_components(scored.select("a", "b")).withColumnsRenamed({"node": "id", "component": "family"}))
     sets = cut_lineage(_sets(docs, families.select("id"), words).groupBy("id").agg(F.first("grams").alias("grams")))
     links = cut_lineage(_confirmed(best, sets, percent))
 
