@@ -2,8 +2,9 @@
 
 A suffix automaton of a bounded sample of labelled text stands for each language. A document is parsed left to right into
 the longest phrases that occur in that text; the language whose parse costs least, phrases * log2(size of its text),
-wins. Automata are dense tables of next states in which a missing transition already points to where the next phrase
-begins, with a mark, so that all segments of a batch of documents step through all languages at once.
+wins. Each automaton has an alphabet of its own, all letters of its sample. It is a dense table of next states in which a
+missing transition already points to where the next phrase begins, with a mark, so that all segments of a batch of
+documents step through it at once; with more than ``WIDE`` symbols it is a sorted list of its transitions.
 
 Text is lower-cased letter by letter, everything else counts as one blank. Parses restart at segments of ``SEGMENT``
 characters, for every language alike.
@@ -15,7 +16,7 @@ point. Without any labelled text everything is ``und``. Letters that occur in no
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,10 @@ from ._common import free
 
 UND = "und"
 SEGMENT = 256
-#: Symbols of the automata: 0 pads, 1 is any character not in the samples, 2 is a blank.
-PAD, OTHER, BLANK, LETTERS = 0, 1, 2, 61
+#: Symbols of the automata: 0 pads, 1 is any letter not in the sample, 2 is a blank.
+PAD, OTHER, BLANK = 0, 1, 2
+#: Above so many symbols an automaton is sparse.
+WIDE = 64
 _MARK = np.int32(1 << 30)
 
 
@@ -65,39 +68,66 @@ def _suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return nexts
 
 
+class Automaton:
+    """A language's sample: ``local`` turns the model's symbols into its own."""
+
+    def __init__(self, text: np.ndarray, symbols: int):
+        own = np.unique(text[text > BLANK])
+        self.local = np.full(symbols, OTHER, np.int32)
+        self.local[[PAD, BLANK]] = PAD, BLANK
+        self.local[own] = np.arange(len(own)) + BLANK + 1
+        self.width, self.bits = BLANK + 1 + len(own), math.log2(len(text) + 2)
+        nexts = _suffix_automaton(self.local[text])
+        self.root = np.full(self.width, _MARK, np.int32)
+        for c, s in nexts[0].items():
+            self.root[c] = s | _MARK
+        self.table = self.keys = self.targets = None
+        if self.width > WIDE:
+            moves = sorted((s * self.width + c, target) for s, step in enumerate(nexts) for c, target in step.items())
+            self.keys, self.targets = np.array([k for k, _ in moves], np.int64), np.array([t for _, t in moves], np.int32)
+            return
+        table = np.empty((len(nexts), self.width), np.int32)
+        table[:] = self.root
+        for s, step in enumerate(nexts):
+            for c, target in step.items():
+                table[s, c] = target
+        table[:, PAD] = np.arange(len(nexts))
+        self.table = table.ravel()
+
+    def phrases(self, steps: np.ndarray) -> np.ndarray:
+        """Phrases that end within each column of ``steps``."""
+        state, out = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
+        for symbols in steps:
+            symbols = self.local.take(symbols)
+            if self.table is not None:
+                state *= self.width
+                state += symbols
+                state = self.table.take(state)
+            else:
+                key = state.astype(np.int64) * self.width + symbols
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                moved = np.where(self.keys[at] == key, self.targets[at], self.root[symbols])
+                state = np.where(symbols == PAD, state, moved)
+            out += state >> 30
+            state &= _MARK - 1
+        return out
+
+
 class Model:
-    """The languages' automata in one table: rows are states, columns symbols."""
+    """The languages' automata, and one symbol for each letter of their samples."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        self.symbols = {c: i + BLANK + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self._lut, tables, self.starts, self.bits, at = None, [], [], [], 0
-        width = BLANK + 1 + len(self.symbols)
-        for name in self.languages:
-            text = self.encode(samples[name])
-            nexts = _suffix_automaton(text)
-            table = np.empty((len(nexts), width), np.int32)
-            root = np.full(table.shape[1], at, np.int32)
-            for c, s in nexts[0].items():
-                root[c] = at + s
-            table[:] = root | _MARK
-            for s, step in enumerate(nexts):
-                for c, target in step.items():
-                    table[s, c] = at + target
-            table[:, PAD] = at + np.arange(len(nexts))
-            tables.append(table)
-            self.starts.append(at)
-            self.bits.append(math.log2(len(text) + 2))
-            at += len(nexts)
-        self.table = np.concatenate(tables) if tables else np.empty((0, width), np.int32)
+        seen = sorted({c for text in samples.values() for c in text.lower() if c.isalpha()})
+        self.symbols, self._lut = {c: i + BLANK + 1 for i, c in enumerate(seen)}, None
+        self.automata = [Automaton(self.encode(samples[name]), BLANK + 1 + len(seen)) for name in self.languages]
 
     def __getstate__(self):
         return self.__dict__ | {"_lut": None}
 
     def lut(self) -> np.ndarray:
         if self._lut is None:
-            lut = np.where(_letters(), OTHER, BLANK).astype(np.uint8)
+            lut = np.where(_letters(), OTHER, BLANK).astype(np.int32)
             for c, i in self.symbols.items():
                 for form in {c, c.upper(), c.title()}:
                     if len(form) == 1:
@@ -117,23 +147,14 @@ class Model:
         lettered = count[ends] > count[ends - sizes]
         segments = np.maximum(1, -(-sizes // SEGMENT))
         first = np.concatenate([[0], np.cumsum(segments)])
-        grid = np.zeros((first[-1], SEGMENT), np.uint8)
+        grid = np.zeros((first[-1], SEGMENT), np.int32)
         row = np.repeat(first[:-1], sizes) + (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)) // SEGMENT
         column = (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)) % SEGMENT
         grid[row, column] = self.lut()[flat]
-        steps = np.ascontiguousarray(grid.T).astype(np.int32)
-        width, table = self.table.shape[1], self.table.ravel()
+        steps = np.ascontiguousarray(grid.T)
         costs = np.zeros((len(texts), len(self.languages)))
-        for i, start in enumerate(self.starts):
-            state = np.full(len(grid), start, np.int32)
-            phrases = np.zeros(len(grid), np.int32)
-            for symbols in steps:
-                state *= width
-                state += symbols
-                state = table.take(state)
-                phrases += state >> 30
-                state &= _MARK - 1
-            costs[:, i] = (np.add.reduceat(phrases, first[:-1]) + segments) * self.bits[i]
+        for i, automaton in enumerate(self.automata):
+            costs[:, i] = (np.add.reduceat(automaton.phrases(steps), first[:-1]) + segments) * automaton.bits
         return costs, lettered
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
