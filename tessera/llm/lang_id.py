@@ -221,9 +221,15 @@ def identify(docs: DataFrame, model: Model, as_column: str = "language") -> Data
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are in no language: no text, or no letter in it."""
+    """``docs`` without those that are in no language: no text, or no letter in it.
+
+    Where no language could be learned, a letter is looked for in the text itself.
+    """
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     name = free(docs, "__language")
-    return identify(docs, fit(docs), name).where(F.col(f"{name}.lang") != UND).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return identify(docs, model, name).where(F.col(f"{name}.lang") != UND).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
