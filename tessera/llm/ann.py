@@ -5,12 +5,14 @@ frame. Splitters from a bounded sample cut each curve into blocks of equal share
 block and of the ``reach`` blocks to either side, on every curve. Each block returns its best for each query; the lists
 are merged and reranked by the exact inner product in double precision.
 
-The share of the table that a window spans, (2 * reach + 1) / blocks, decides recall and is the same at every size. Large
-blocks are dealt to parts of about ``part_rows`` rows, so no task holds more than that many vectors or queries at once.
+The share of the table that a window spans, (2 * reach + 1) / blocks, decides recall; a block holds at least
+``block_rows`` different vectors, so that smaller tables have fewer blocks, and one alone is searched whole. Large blocks
+are dealt to parts of about ``part_rows`` rows, so no task holds more than that many vectors or queries at once.
 
 Defined results: vectors that ``usable`` leaves out are neither queries nor candidates. Equal vectors are searched as
-one class, of which as many least ids as the result can hold come back; ties go to the smaller vec_id. Fewer candidates
-than ``k``: all that were found. Other columns are ignored. An empty table gives no rows.
+one class, of which as many least ids as the result can hold come back; ties go to the smaller vec_id. Rows that repeat a
+vec_id are candidates of their own and one query, that of their largest vector in array order, whose row alone is no
+candidate. Fewer candidates than ``k``: all of them. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,18 +87,32 @@ def _dealt(rows: DataFrame, index: Curves) -> DataFrame:
     return rows.select("cid", "v").mapInArrow(run, "curve int, block int, cid long, v array<double>")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 12, dims: int = 6, bits: int = 6, blocks: int = 20, reach: int = 1, part_rows: int = 8192, sample_rows: int = 10_000, seed: int = 11) -> DataFrame:
+def nearest(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 20,
+    curves: int = 12,
+    dims: int = 6,
+    bits: int = 6,
+    blocks: int = 20,
+    reach: int = 1,
+    block_rows: int = 256,
+    part_rows: int = 8192,
+    sample_rows: int = 10_000,
+    seed: int = 11,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each row that ``is_query`` picks."""
     rows = usable(vectors)
     every = cut_lineage(classes(rows).drop("c1", "c2"))
     count = every.count()
-    asked = rows.where(is_query)
+    blocks = max(1, min(blocks, count // max(block_rows, k + 1)))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.max(F.struct("v", "c1", "c2")).alias("x")).select("vec_id", "x.c1", "x.c2")
     n_asked = asked.count()
     spark = vectors.sparkSession
     if not count or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = Curves(sample(every, count, sample_rows), curves, dims, bits, blocks, seed)
-    ids = members(rows, k + 1)
+    ids = members(rows, k + 1)  # one more than the result holds: the query's own drops out
     parts = math.ceil(count / blocks / part_rows)
     shares = math.ceil(n_asked * (2 * reach + 1) / blocks / part_rows)
 
@@ -128,8 +144,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 12,
     found = found.groupBy("q", "cid").agg(F.max("score").alias("score"))
     first = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= take).drop("r")
-    pairs = found.join(of, found.q == of.cid).select("query_id", found.cid, "score")
-    pairs = pairs.join(ids, "cid").where("vec_id <> query_id")
+    pairs = found.join(of.select("query_id", F.col("cid").alias("q")), "q")
+    pairs = pairs.join(ids, "cid").where("NOT (q = cid AND vec_id = query_id AND nth = 1)")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

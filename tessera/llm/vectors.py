@@ -28,10 +28,14 @@ def classes(rows: DataFrame, keep: int = 1) -> DataFrame:
 
 
 def members(rows: DataFrame, keep: int) -> DataFrame:
-    """(cid, vec_id): the ``keep`` least vec_ids of each class; Spark limits each task's rows before the shuffle."""
+    """(cid, vec_id, nth): the ``keep`` least vec_ids of each class; Spark limits each task's rows before the shuffle.
+
+    ``nth`` numbers rows of equal vec_id and vector from 1.
+    """
     w = Window.partitionBy("c1", "c2").orderBy("vec_id")
     ranked = rows.select("c1", "c2", "vec_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
-    return ranked.withColumn("cid", F.min("vec_id").over(w)).select("cid", "vec_id")
+    nth = F.row_number().over(Window.partitionBy("c1", "c2", "vec_id").orderBy("r"))
+    return ranked.withColumn("cid", F.min("vec_id").over(w)).withColumn("nth", nth).select("cid", "vec_id", "nth")
 
 
 def sample(rows: DataFrame, count: int, most: int) -> np.ndarray:
