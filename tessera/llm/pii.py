@@ -2,32 +2,46 @@
 
 What looks personal is found by one pattern and validated: card numbers by their check digit, IPv4 addresses by their
 range, dates by the calendar, phone numbers by their number of digits, social security numbers by their areas, e-mail
-addresses by their form. Each value is run through a keyed Feistel network over its own format: a digit stays a digit, a
-letter a letter of its case, a card number keeps a right check digit, an address stays an address, a date stays a date
-between 1900 and 2099. The network is a permutation, so equal values stay equal and different ones different, in all
-documents; with the key it can be undone. Mail domains, country codes and everything not validated stay as they are.
-
-Defined results: null text stays null; text without such values is returned as it was. Letters of an e-mail address
-outside A-Z become letters within it (these cannot be undone). Overlapping readings go to the leftmost, then to the first
-of the kinds above. Other columns pass through untouched, whatever their names.
+addresses by their form (at most 64 characters before the @ and 127 labels after it, as mail and name servers allow). Each
+value is run through a keyed Feistel network over its own format: a digit stays a digit, a letter a letter of its case, a
+card number keeps a right check digit, an address stays an address, a date stays a date between 1900 and 2099. The network
+is a permutation, so equal values stay equal and different ones different, in all documents; with the key it can be undone.
+Mail domains, calling codes and everything not validated stay as they are.
+
+Values are equal if their digits are (cards, phone numbers, social security numbers, whatever marks stand between), if they
+name the same day or the same four numbers (dates, IPv4 addresses), or if their characters before the @ are (e-mail).
+A phone number with and without its calling code has the same pseudonym behind that code.
+
+The plan holds keys derived from ``key`` for each kind, as literals, and so do the web UI and event logs; they undo
+pseudonyms, though they do not give ``key`` away. ``spark.sql.redaction.string.regex`` hides them.
+
+Defined results: null text stays null; empty text and text without such values are returned as they were. Letters of an
+e-mail address outside A-Z become letters within it (these cannot be undone). Overlapping readings go to the leftmost; of
+those that begin together, to the first of: e-mail, card, date, IPv4, social security, phone. Rows are independent:
+repeated rows give repeated results, an empty table an empty one. Other columns pass through untouched, whatever their
+names. Texts may be of any length; the work is linear in it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-CARD = r"(?<![\d+.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-]|\.\d)"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
+CARD = r"(?<![\d+.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, CARD, DATE, IPV4, SSN, PHONE))
-#: Cheap and never false: every value above has an @ or seven characters of this kind.
-MAYBE = r"@|[\d+(][\d().\- /]{5,}\d"
+#: Cheap and never false: every value above has an @ or begins with six characters of this kind.
+MAYBE = r"@|[\d+(][\d().\- /]{5}"
+#: The calling codes of countries that have fewer than three digits.
+CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 
@@ -36,6 +50,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _derived(key: str, kind: str) -> str:
+    """The key of one kind of value."""
+    return hashlib.sha256(f"{key}|{kind}".encode()).hexdigest()
+
+
 def _stream(key: str, label: Column, seed: Column, i: Column) -> Column:
     """A pseudo-random number below 16^7 for place ``i`` (from 1), out of the key and the other half."""
     block = F.sha2(F.concat_ws("|", F.lit(key), label.cast("string"), F.floor((i - 1) / 8).cast("string"), seed), 256)
@@ -54,12 +73,17 @@ def _shift(c: Column, by: Column) -> Column:
 
 def feistel(text: Column, key: str, kind: str) -> Column:
     """A permutation of strings that keeps each place's class: digit, capital or small letter."""
+    own = _derived(key, kind)
+
+    def moved(part: Column, seed: Column, r: Column) -> Column:
+        one = lambda i: _shift(F.substring(part, i, F.lit(1)), _stream(own, r, seed, i))
+        every = F.transform(F.sequence(F.lit(1), F.length(part)), one)
+        return F.when(F.length(part) > 0, F.array_join(every, "")).otherwise("")
 
     def half_round(s: Column, r: Column) -> Column:
         cut = F.floor(F.length(s) / 2).cast("int")
         left, right = F.substring(s, F.lit(1), cut), F.substring(s, cut + 1, F.length(s))
-        moved = lambda part, seed: F.when(F.length(part) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: _shift(F.substring(part, i, F.lit(1)), _stream(key, F.concat(F.lit(kind), r.cast("string")), seed, i))), "")).otherwise("")
-        return F.when(r % 2 == 0, F.concat(moved(left, right), right)).otherwise(F.concat(left, moved(right, left)))
+        return F.when(r % 2 == 0, F.concat(moved(left, right, r), right)).otherwise(F.concat(left, moved(right, left, r)))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), text, half_round)
 
@@ -108,15 +132,20 @@ def _card(s: Column, key: str) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
-    keep = F.length(F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])", 0))
-    core = feistel(_digits(F.substring(s, keep + 1, F.length(s))), key, "phone")
-    return _fill(s, keep, core, r"\d")
+    code = lambda d: F.when(s.startswith("+"), F.regexp_extract(d, CALLING, 0)).otherwise("")
+    behind = lambda d, c: F.concat(c, feistel(F.substring(d, F.length(c) + 1, F.length(d)), key, "phone"))
+    return _fill(s, F.lit(0), _let(_digits(s), lambda d: _let(code(d), lambda c: behind(d, c))), r"\d")
 
 
 def _ssn(s: Column, key: str) -> Column:
-    """Area 001-665 or 667-899, group and serial not all zero: the serial is permuted last, until all parts are valid."""
+    """Area 001-665 or 667-899, group and serial not all zero: permuted until all parts are valid.
+
+    One step in eight ends in no such number, 64 in a row (once in 10^58) are an error.
+    """
     step = lambda d, i: F.when((i > 0) & is_ssn(d), d).otherwise(feistel(d, key, "ssn"))
-    return _fill(s, F.lit(0), F.aggregate(F.sequence(F.lit(0), F.lit(9)), _digits(s), step), r"\d")
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(64)), _digits(s), step)
+    valid = lambda d: F.when(is_ssn(d), d).otherwise(F.raise_error(F.lit("no valid number found")))
+    return _fill(s, F.lit(0), _let(found, valid), r"\d")
 
 
 def is_ssn(s: Column) -> Column:
@@ -136,11 +165,11 @@ def is_ipv4(s: Column) -> Column:
 
 def _pair_rounds(pair: Column, key: str, kind: str, left: int, right: int) -> Column:
     """Feistel on a pair of numbers below ``left`` and ``right``."""
+    own = _derived(key, kind)
 
     def step(p: Column, r: Column) -> Column:
-        label = F.concat(F.lit(kind), r.cast("string"))
-        a = F.pmod(p["a"] + _stream(key, label, p["b"].cast("string"), F.lit(1)), F.lit(left))
-        b = F.pmod(p["b"] + _stream(key, label, p["a"].cast("string"), F.lit(1)), F.lit(right))
+        a = F.pmod(p["a"] + _stream(own, r, p["b"].cast("string"), F.lit(1)), F.lit(left))
+        b = F.pmod(p["b"] + _stream(own, r, p["a"].cast("string"), F.lit(1)), F.lit(right))
         return F.when(r % 2 == 0, F.struct(a.alias("a"), p["b"].alias("b"))).otherwise(F.struct(p["a"].alias("a"), b.alias("b")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, step)
@@ -167,13 +196,16 @@ def _day(s: Column) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    """The day's number as a pair below 271 and 270, permuted again while the pair lies beyond the last day."""
+    """The day's number as a pair below 271 and 270, permuted again while the pair lies beyond the last day.
+
+    Only ``271 * 270 - DAYS`` pairs do, so one step more than these always ends within.
+    """
 
     def walk(p: Column, i: Column) -> Column:
         return F.when((i > 0) & (p["a"] * 270 + p["b"] < DAYS), p).otherwise(_pair_rounds(p, key, "date", 271, 270))
 
     n = _day(s)
-    pair = F.aggregate(F.sequence(F.lit(0), F.lit(7)), _pair(F.floor(n / 270), n % 270), walk)
+    pair = F.aggregate(F.sequence(F.lit(0), F.lit(271 * 270 - DAYS)), _pair(F.floor(n / 270), n % 270), walk)
     return _let(pair, lambda out: _as_date(s, out))
 
 
