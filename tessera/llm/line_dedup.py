@@ -1,9 +1,11 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-Lines enter in batches. The keys of a batch become one sorted run (key, lines, largest document); when a level holds
-``fanout`` runs they are merged into one run of the next level, so a key sits in few runs however many batches came. Once
-all batches are in, each batch's lines are merge-anti-joined with the runs' repeated keys: a line whose key a larger
-document holds as well does not survive.
+Lines enter in batches. The keys of a batch become one sorted run (key, documents, largest document), which is joined with
+the runs that stand already: what is new there survives, and of the rest every line is a repeat but that of the largest
+document so far; where the batch holds a larger one, the line of the earlier holder becomes a repeat. Then the run is added;
+when a level holds ``fanout`` runs they are merged into one run of the next level, so a key sits in few runs however many
+batches came. Repeats are lost once enough documents hold their key. Later batches need the runs and the repeats, never the
+earlier documents. A key that very many documents hold is one row of a run; its lines are never gathered in one task.
 
 Defined results: a null or empty text is one empty line, which is never a candidate while ``min_chars`` > 0. Rows that
 share a ``doc_id`` count as one document and all keep what the largest document keeps; rows with a null ``doc_id`` keep
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from ._common import SPACE, cut_lineage, free
 
 KEYS = ["h1", "h2"]
+#: Above so many keys (24 bytes each), they are joined by a shuffle instead of being sent to every task.
+SEND_KEYS = 200_000
 
 
 def _key(line: str, min_chars: int) -> bytes | None:
@@ -54,27 +58,52 @@ def line_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 class SortedRuns:
-    """Levels of sorted runs (h1, h2, lines, holder): how many rows hold a key, and the largest document that does."""
+    """Levels of sorted runs (h1, h2, documents, holder): how many documents hold a key, and the largest of them.
+
+    All runs are dealt by key to the same number of tasks and sorted there, so that they are merged and joined in place.
+    """
 
     def __init__(self, fanout: int = 4):
         self.fanout, self.levels = fanout, [[]]
 
-    def add(self, lines: DataFrame) -> None:
-        """Turn a batch of ``line_keys`` into a run of level 0, then merge levels that have become full."""
-        self._put(0, lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("lines"), F.max("doc_id").alias("holder")))
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Take in a batch of ``line_keys`` of documents not seen before; what is returned are the lines it makes repeats.
+
+        (doc_id, h1, h2): lines whose key a larger document of this batch or of the standing runs holds, and the lines
+        of earlier holders that this batch has a larger document for.
+        """
+        held = lines.groupBy(*KEYS, "doc_id").agg(F.lit(1).alias("one"))  # rows of one doc_id are one document
+        own = self._run(held.groupBy(*KEYS).agg(F.count("one").alias("documents"), F.max("doc_id").alias("holder")))
+        known = own.withColumn("was", F.lit(None).cast("long"))
+        if self.runs():
+            known = own.join(self.merged().select(*KEYS, F.col("holder").alias("was")).hint("merge"), KEYS, "left")
+        # The keys that the anti-join does not let pass as new.
+        shared = cut_lineage(known.where("documents > 1 OR was IS NOT NULL").withColumn("holder", F.greatest("holder", "was")))
+        again = _meet(lines, shared.select(*KEYS, "holder")).where("doc_id <> holder").select("doc_id", *KEYS)
+        beaten = shared.where("was < holder").select(F.col("was").alias("doc_id"), *KEYS)
+        repeats = cut_lineage(again.unionAll(beaten))
+        self.levels[0].append(own)
+        self._compact()
+        return repeats
+
+    def _run(self, rows: DataFrame) -> DataFrame:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cut_lineage(rows.repartition(tasks, *KEYS).sortWithinPartitions(*KEYS))
+
+    def _compact(self) -> None:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, _merged(runs))
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._run(_merged(runs)))
             level += 1
 
-    def _put(self, level: int, run: DataFrame) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(cut_lineage(run.sortWithinPartitions(*KEYS)))
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def merged(self) -> DataFrame:
-        runs = [run for level in self.levels for run in level]
+        runs = self.runs()
         return runs[0] if len(runs) == 1 else _merged(runs)
 
 
@@ -82,30 +111,56 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     union = runs[0]
     for run in runs[1:]:
         union = union.unionAll(run)
-    return union.groupBy(*KEYS).agg(F.sum("lines").alias("lines"), F.max("holder").alias("holder"))
+    return union.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.max("holder").alias("holder"))
+
+
+def _meet(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """``lines`` with a key of ``keys``: few keys go to every task, more are joined by a shuffle that splits hot keys."""
+    few = keys.limit(SEND_KEYS + 1).count() <= SEND_KEYS
+    return lines.join(F.broadcast(keys) if few else keys, KEYS)
+
 
+class LineIndex:
+    """What line dedup knows of the documents it has seen: sorted runs, and the lines that are repeats so far."""
 
-def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(doc_id, dropped array<struct<h1,h2>>): the line keys that each document loses."""
-    runs = SortedRuns(fanout)
-    for b in range(batches):
-        runs.add(line_keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b), min_chars))
-    # Rows that share a doc_id are one document, so the runs' counts of rows only bound those of documents from above.
-    often = runs.merged().where(F.col("lines") >= min_docs).drop("lines")
-    held = line_keys(docs, min_chars).join(often, KEYS).groupBy("doc_id", *KEYS, "holder").agg(F.lit(1).alias("one"))
-    counts = held.groupBy(*KEYS).agg(F.count("one").alias("documents")).where(F.col("documents") >= min_docs)
-    lost = held.where("doc_id <> holder").join(counts, KEYS, "left_semi")
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEYS)).alias("dropped"))
+    def __init__(self, min_chars: int = 40, min_docs: int = 5, fanout: int = 4):
+        self.min_chars, self.min_docs, self.runs, self.repeats = min_chars, min_docs, SortedRuns(fanout), []
 
+    def add(self, docs: DataFrame, batches: int = 1) -> None:
+        """Take in documents whose doc_ids were not seen before, as so many batches; their texts are read once."""
+        lines = line_keys(docs, self.min_chars)
+        if batches > 1:
+            lines = cut_lineage(lines)
+        for b in range(batches):
+            part = lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b) if batches > 1 else lines
+            self.repeats.append(self.runs.add(part))
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, counts: bool = False) -> DataFrame:
+    def lost(self) -> DataFrame:
+        """(doc_id, dropped array<struct<h1,h2>>): the line keys that each document loses, as of now."""
+        often = self.runs.merged().where(F.col("documents") >= self.min_docs).select(*KEYS)
+        repeats = self.repeats[0]
+        for more in self.repeats[1:]:
+            repeats = repeats.unionAll(more)
+        lost = _meet(repeats, cut_lineage(often)).groupBy("doc_id", *KEYS).agg(F.lit(1).alias("one"))
+        return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEYS)).alias("dropped"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, counts: bool = False) -> DataFrame:
     """``docs`` with the surviving lines as its text (no text stays no text); ``counts`` adds n_lines and n_dropped.
 
     Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold lose all their lines but those
     of the largest ``doc_id`` holding them.
     """
+    index = LineIndex(min_chars, min_docs, fanout)
+    index.add(docs, batches)
+    return drop_lines(docs, index, counts)
+
+
+def drop_lines(docs: DataFrame, index: LineIndex, counts: bool = False) -> DataFrame:
+    """``docs``, all seen by ``index``, with the lines that survive there."""
+    min_chars = index.min_chars
     doc, dropped, cut, n_lines = (free(docs, n) for n in ("__doc", "__dropped", "__cut", "__n_lines"))
-    lost = repeated_lines(docs, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias(doc), F.col("dropped").alias(dropped))
+    lost = index.lost().select(F.col("doc_id").alias(doc), F.col("dropped").alias(dropped))
     rows = docs.join(lost, F.col("doc_id") == F.col(doc), "left")
     hit = F.col(dropped).isNotNull() & F.col("text").isNotNull()
     # Python gets the text only of rows that lose a line.
@@ -113,7 +168,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     rows = rows.withColumn(cut, _cutter(min_chars)(F.when(hit, F.col("text")), F.col(dropped)))
     text = F.when(hit, F.col(f"{cut}.text")).otherwise(F.col("text"))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, *([F.col(n_lines).alias("n_lines"), F.coalesce(F.col(f"{cut}.n_dropped"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []))
+    if counts:
+        n_dropped = F.coalesce(F.col(f"{cut}.n_dropped"), F.lit(0)).cast("long")
+        columns += [F.col(n_lines).alias("n_lines"), n_dropped.alias("n_dropped")]
+    return rows.select(*columns)
 
 
 def _cutter(min_chars: int):
