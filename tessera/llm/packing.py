@@ -7,7 +7,9 @@ nearly all pieces; what is left is packed by first fit decreasing. The driver se
 Pieces are then ranked within their class and each rank looks up its slot.
 
 Defined results: null text is empty text; a document is its ids and a closing id 1, so an empty one has one token. Rows
-that repeat a doc_id are packed each on their own. Documents without a doc_id are packed too. An empty table gives no rows.
+that repeat a doc_id are packed each on their own. Documents without a doc_id are packed too. Texts may be of any length;
+each is cut into as many full sequences as it fills. Columns but doc_id and text are ignored, whatever their names. Pieces
+that are equal in all columns are ranked in any order. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from ._common import cut_lineage
 
 CAPACITY, END_ID = 2048, 1
-#: Words whose ids a Python worker remembers; beyond it forgets them all and starts again.
-REMEMBER = 400_000
+#: Bytes of words and ids that a Python worker remembers, each with so many of overhead; beyond, it forgets them all.
+REMEMBER, OVERHEAD = 32_000_000, 200
 _memory: dict[str, tuple] = {}
 _RUN_OF_MARKS = re.compile(rb"[.,](?<![0-9A-Za-z][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])(?<![\xc4\xc5][\x80-\xbf][.,])[ \n]")
 
@@ -93,14 +95,16 @@ def _words(text: str | None) -> list[bytes]:
 def token_ids(texts: Iterable[str | None], path: str, together: int = 200) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers."""
     known = _tokenizer(path)[1]
-    texts = iter(texts)
+    texts, held = iter(texts), sum(map(len, known)) + sum(map(len, known.values())) + OVERHEAD * len(known)
     while group := [_words(t) for t in islice(texts, together)]:
         found = [list(map(known.get, words)) for words in group]
         new = list({w for words, ids in zip(group, found) if None in ids for w, i in zip(words, ids) if i is None})
-        if len(known) + len(new) > REMEMBER:
+        if held > REMEMBER:
             known.clear()
+            held = 0
         for s in range(0, len(new), 5000):
             _learn(new[s : s + 5000], path)
+        held += sum(len(w) + len(known[w]) + OVERHEAD for w in new)
         for words, ids in zip(group, found):
             yield b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(words, ids)])
 
@@ -210,12 +214,18 @@ class Slots:
         return sequence, place
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, width: int = 8, shards: int = 64, path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece."""
-    cut = pieces(docs, capacity, path).withColumn("class", F.ceil(F.col("length") / width).cast("int"))
-    cut = cut_lineage(cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int")))
+def pack(docs: DataFrame, capacity: int = CAPACITY, width: int = 8, shards: int = 64, shard_rows: int = 500_000, path: str | None = None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
+
+    Pieces of a class are ranked in shards, at least ``shards`` and so many that one holds about ``shard_rows`` pieces, up
+    to 64 times ``shards``: what the driver counts and every task gets is one number for each class and shard.
+    """
+    cut = cut_lineage(pieces(docs, capacity, path).withColumn("class", F.ceil(F.col("length") / width).cast("int")))
+    most = cut.groupBy("class").count().agg(F.max("count")).first()[0] or 0
+    shards = min(64 * shards, max(shards, most // shard_rows))
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
     room = -(-capacity // width)
-    counts = np.zeros((room + 1, shards), np.int64)  # classes times shards: the same at every size
+    counts = np.zeros((room + 1, shards), np.int64)
     for r in cut.groupBy("class", "shard").count().collect():
         counts[r["class"], r["shard"]] = r["count"]
     chosen = patterns(counts.sum(1), room)
