@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model, as_column: str = "language") -> Data
         texts, out, at = texts.tolist(), [], 0
         while at < len(texts):
             end, size = at + 1, len(texts[at] or "")
-            while end < len(texts) and size + len(texts[end] or "") <= 500_000:
+            while end < len(texts) and size + len(texts[end] or "") <= 250_000:
                 size += len(texts[end] or "")
                 end += 1
             out += shared.value.predict(texts[at:end])

@@ -14,8 +14,11 @@ join: no pairs are written, and no link is missed because a common neighbour was
 Signatures only rule out pairs whose agreement lies ``sigmas`` standard deviations below the threshold.
 
 Defined results: words are runs of anything but blanks, A-Z lower-cased; a text with fewer words than a shingle is one
-shingle; null, empty and blank texts have no shingle and link with nothing. Rows that share a doc_id are one document
-when kept (``dedup`` keeps them all or none). Rows without a doc_id are kept. Other columns pass through untouched.
+shingle; null, empty and blank texts have no shingle and link with nothing. Texts may be of any length. Rows that share a
+doc_id are one document when kept (``dedup`` keeps them all or none if any of their texts is a copy of a smaller doc_id's);
+``components`` gives each such row the size and the component of its own text, and compares for each doc_id the text with
+the greatest set of hashes in byte order. Ties: of equal texts the least doc_id stands for all, and of equally good partners
+the least. Rows without a doc_id are kept. Other columns pass through untouched. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,8 +50,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(1 << 19)
+
+
+def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.full(size, base, _U)
@@ -57,6 +63,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64. Those for longer texts are not kept."""
+    return _kept_powers() if size <= 1 << 19 else _new_powers(size)
+
+
 def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of ``words`` words."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -64,7 +75,7 @@ def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     blank = _BLANK[data]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
+    power, inverse = _powers(len(data))
     total = np.empty(len(data) + 1, _U)
     total[0] = 0
     np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=total[1:])
@@ -101,7 +112,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, seed: int = 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in pieces(batch["text"], 1_000_000):
+            for s, e in pieces(batch["text"], 500_000):
                 sets = list(shingles(batch["text"].slice(s, e - s).to_pylist(), words))
                 size = np.array([len(x) for x in sets])
                 full = np.flatnonzero(size)
@@ -134,7 +145,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in pieces(batch["text"], 1_000_000):
+            for s, e in pieces(batch["text"], 500_000):
                 grams = [x.tobytes() for x in shingles(batch["text"].slice(s, e - s).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(s, e - s), pa.array(grams, pa.binary())], names=["id", "grams"])
 
@@ -273,7 +284,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     scored = cut_lineage(scored.where(F.col("same") >= kin).unionAll(edges))
     best = scored.where(F.col("fits") & (F.col("same") >= floor)).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
     families = cut_lineage(connected_components(scored.select("a", "b")).withColumnsRenamed({"node": "id", "component": "family"}))
-    sets = cut_lineage(_sets(docs, families.select("id"), words).groupBy("id").agg(F.first("grams").alias("grams")))
+    sets = cut_lineage(_sets(docs, families.select("id"), words).groupBy("id").agg(F.max("grams").alias("grams")))
     links = cut_lineage(_confirmed(best, sets, percent))
 
     # Families that still hold several components: what is outside the largest against all others there, in blocks.
