@@ -30,8 +30,8 @@ def words(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """1 + the share of ASCII letters, digits and blanks in eighths: whole numbers, so that every engine agrees."""
-    plain = F.length(text) - F.length(F.regexp_replace(text, r"[A-Za-z0-9 \n]+", ""))
+    """1 + the share of letters of any script, digits and blanks in eighths: whole numbers, so that every engine agrees."""
+    plain = F.length(text) - F.length(F.regexp_replace(text, r"[\p{L}\p{M}0-9 \n]+", ""))
     return F.coalesce(1 + F.floor(plain * 8 / F.greatest(F.length(text), F.lit(1))), F.lit(1)).cast("int")
 
 
