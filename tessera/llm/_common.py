@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,19 +38,34 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+@contextmanager
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def cut_lineage(df: DataFrame, dealt: bool = False) -> DataFrame:
     """Compute ``df`` once and keep it in the shared checkpoint folder, where a lost executor cannot take it along.
 
-    Meanwhile Python workers get batches of at most ``BATCH_ROWS`` rows, which bounds what they hold of long texts.
+    Meanwhile Python workers get batches of at most ``BATCH_ROWS`` rows, which bounds what they hold of long texts. With
+    ``dealt`` Spark goes on knowing how the rows are dealt and sorted: it forgets that of plans it adapts while they run.
     """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
     checkpoint_dir(spark)
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    settings = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)}
+    if dealt:
+        settings["spark__sql__adaptive__enabled"] = "false"
+    with _set(spark, **settings):
+        # Plans are made when they are first needed, so this one must be new.
+        return (df.select("*") if dealt else df).checkpoint(eager=True)
 
 
 def pieces(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:

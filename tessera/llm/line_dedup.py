@@ -88,7 +88,7 @@ class SortedRuns:
 
     def _run(self, rows: DataFrame) -> DataFrame:
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cut_lineage(rows.repartition(tasks, *KEYS).sortWithinPartitions(*KEYS))
+        return cut_lineage(rows.repartition(tasks, *KEYS).sortWithinPartitions(*KEYS), dealt=True)
 
     def _compact(self) -> None:
         level = 0
