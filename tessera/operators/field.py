@@ -54,15 +54,20 @@ def field_math(name: str, *operands: Grid | float) -> Grid:
 def density(points: DataFrame, size: int, radius: float, weight: Column | float = 1.0, intensity: float = 1.0) -> Grid:
     """Kernel density of points (z, x, y, fx, fy in pixels): each adds weight * intensity / sqrt(2 pi) * exp(-4.5 (d/r)^2).
 
-    A point is exploded to the pixels its kernel can reach, in its own tile; sums are combined before the shuffle.
+    A point is exploded to the pixels of the world that its kernel reaches, whatever tile they are in; x wraps around, y
+    stops at the poles. Sums are combined before the shuffle. Null weights add nothing.
     """
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
-    reach = lambda c: F.sequence(F.greatest(F.floor(V(c) - radius - 0.5).cast("int"), F.lit(0)), F.least(F.ceil(V(c) + radius - 0.5).cast("int"), F.lit(size - 1)))
-    near = points.where((V("fx") + radius + 0.5 > 0) & (V("fx") - radius - 0.5 < size - 1) & (V("fy") + radius + 0.5 > 0) & (V("fy") - radius - 0.5 < size - 1))
-    rows = near.select(*TILE, "fx", "fy", w.alias("w"), F.explode(reach("fx")).alias("px"))
-    rows = rows.select(*TILE, "fx", "fy", "w", "px", F.explode(reach("fy")).alias("py"))
-    d2 = (F.pow(V("px") + 0.5 - V("fx"), F.lit(2)) + F.pow(V("py") + 0.5 - V("fy"), F.lit(2))) / radius**2
-    rows = rows.select(*PIXEL, "w", d2.alias("d2")).where("d2 < 1")
+    world = F.pow(F.lit(2.0), V("z")) * size
+    rows = points.select("z", (V("x") * size + V("fx")).alias("wx"), (V("y") * size + V("fy")).alias("wy"), w.alias("w"))
+    rows = rows.where(F.col("w").isNotNull()).withColumn("world", world.cast("long"))
+    reach = lambda c: F.sequence(F.floor(V(c) - radius - 0.5), F.ceil(V(c) + radius - 0.5))
+    rows = rows.withColumn("qx", F.explode(reach("wx"))).withColumn("qy", F.explode(reach("wy"))).where("qy >= 0 AND qy < world")
+    d2 = (F.pow(V("qx") + 0.5 - V("wx"), F.lit(2)) + F.pow(V("qy") + 0.5 - V("wy"), F.lit(2))) / radius**2
+    rows = rows.withColumn("d2", d2).where("d2 < 1").withColumn("qx", F.pmod("qx", "world"))
+    cell = lambda c, n: F.floor(V(c) / size).cast("int").alias(n)
+    within = lambda c, n: (V(c) % size).cast("int").alias(n)
+    rows = rows.select("z", cell("qx", "x"), cell("qy", "y"), within("qx", "px"), within("qy", "py"), "w", "d2")
     add = V("w") * (intensity / math.sqrt(2 * math.pi)) * F.exp(-4.5 * V("d2"))
     return Grid(rows.groupBy(*PIXEL).agg(F.sum(add).alias("v")), size, size)
 
@@ -136,7 +141,7 @@ def _shade(scale: float, altitude: float, azimuth: float, gx: Column, gy: Column
     return (math.cos(zenith) + math.sin(zenith) * facing) / F.sqrt(1 + dx * dx + dy * dy)
 
 
-#: Light directions and weights of the multidirectional shade.
+# Light directions and weights of the multidirectional shade.
 DIRECTIONS = ((225.0, 1), (270.0, 2), (315.0, 2), (360.0, 1))
 
 
@@ -186,8 +191,26 @@ def dem(tiles: DataFrame, size: int, source: Grid | None, z: int, min_zoom: int
     return Grid(lattice(tiles, size, size).withColumn("v", F.lit(0.0)), size, size)
 
 
-#: Corners are bits nw 1, ne 2, se 4, sw 8; each case lists pairs of sides (n, e, s, w) that a line joins.
-CASES = {1: "wn", 2: "ne", 3: "we", 4: "es", 5: "wnes", 6: "ns", 7: "ws", 8: "sw", 9: "sn", 10: "nesw", 11: "se", 12: "ew", 13: "en", 14: "nw"}
+# Sides that the line pieces of a cell run from and to, with what is above the level on their left. Corners
+# are bits: nw 8, ne 4, se 2, sw 1; saddles whose mean is above the level count 16 more.
+CASES = {
+    1: ("sw",),
+    2: ("es",),
+    3: ("ew",),
+    4: ("ne",),
+    5: ("ne", "sw"),
+    6: ("ns",),
+    7: ("nw",),
+    8: ("wn",),
+    9: ("sn",),
+    10: ("wn", "es"),
+    11: ("en",),
+    12: ("we",),
+    13: ("se",),
+    14: ("ws",),
+    21: ("nw", "se"),
+    26: ("en", "ws"),
+}
 
 
 def contour_levels(field: Grid, interval: float, base: float = 0.0, low: float | None = None, high: float | None = None, levels: list[float] | None = None, most: int = 1000) -> list[float]:
@@ -207,23 +230,27 @@ def contour_levels(field: Grid, interval: float, base: float = 0.0, low: float |
 
 
 def contour_segments(field: Grid, levels: list[float]) -> DataFrame:
-    """(z, x, y, level, px, py, part, x0, y0, x1, y1, s0, s1): line pieces of each cell, with ends interpolated along its sides s0, s1.
+    """(z, x, y, level, px, py, part, x0, y0, x1, y1): line pieces of each cell, their ends interpolated along its sides.
 
-    A corner is inside above the level; cells with a missing corner give nothing.
+    A corner is inside above the level. Of a saddle the inside is connected if the corners' mean is above the level. Cells
+    with a missing corner give nothing, nor do pieces without length.
     """
     n = neighbourhood(field).where((V("px") < field.width - 1) & (V("py") < field.height - 1))
-    cells = n.select(*PIXEL, V("c").alias("a"), V("e").alias("b"), V("se").alias("d"), V("s").alias("f")).where("a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL AND f IS NOT NULL")
+    cells = n.select(*PIXEL, V("c").alias("a"), V("e").alias("b"), V("se").alias("d"), V("s").alias("f"))
+    cells = cells.where("a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL AND f IS NOT NULL")
     rows = cells.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
     bit = lambda c, w: F.when(V(c) > V("level"), w).otherwise(0)
-    rows = rows.withColumn("case", bit("a", 1) + bit("b", 2) + bit("d", 4) + bit("f", 8)).where("case NOT IN (0, 15)")
-    t = lambda p, q: F.coalesce(F.try_divide(V("level") - V(p), V(q) - V(p)), F.lit(0.5))
-    ends = {"n": (V("px") + t("a", "b"), V("py") + 0.0), "e": (V("px") + 1.0, V("py") + t("b", "d")), "s": (V("px") + t("f", "d"), V("py") + 1.0), "w": (V("px") + 0.0, V("py") + t("a", "f"))}
-    piece = lambda s: F.struct(*[c.alias(k) for k, c in zip(("x0", "y0", "x1", "y1", "s0", "s1"), (*ends[s[0]], *ends[s[1]], F.lit(s[0]), F.lit(s[1])))])
-    lines = F.array()
-    for case, sides in CASES.items():
-        lines = F.when(V("case") == case, F.array(*[piece(sides[i : i + 2]) for i in range(0, len(sides), 2)])).otherwise(lines) if case > 1 else F.when(V("case") == 1, F.array(piece(sides)))
-    out = rows.select(*PIXEL, "level", F.posexplode(lines).alias("part", "line"))
-    return out.select(*PIXEL, "level", "part", "line.*")
+    rows = rows.withColumn("case", bit("a", 8) + bit("b", 4) + bit("d", 2) + bit("f", 1)).where("case NOT IN (0, 15)")
+    above = V("case").isin(5, 10) & ((V("a") + V("b") + V("d") + V("f")) / 4 > V("level"))
+    rows = rows.withColumn("case", V("case") + F.when(above, 16).otherwise(0))
+    t = lambda p, q: F.try_divide(V("level") - V(p), V(q) - V(p))
+    at = lambda x, y: F.struct((V("px") + x).cast("double").alias("x"), (V("py") + y).cast("double").alias("y"))
+    sides = F.create_map(F.lit("n"), at(t("a", "b"), 0), F.lit("e"), at(1, t("b", "d")), F.lit("s"), at(t("f", "d"), 1), F.lit("w"), at(0, t("a", "f")))
+    known = F.create_map(*[c for case, pieces in CASES.items() for c in (F.lit(case), F.array(*map(F.lit, pieces)))])
+    out = rows.withColumn("sides", sides).select(*PIXEL, "level", "sides", F.posexplode(known[V("case")]).alias("part", "piece"))
+    end = lambda i: V("sides")[F.substring("piece", i, 1)]
+    out = out.select(*PIXEL, "level", "part", end(1).alias("p"), end(2).alias("q")).where("p <> q")
+    return out.select(*PIXEL, "level", "part", V("p.x").alias("x0"), V("p.y").alias("y0"), V("q.x").alias("x1"), V("q.y").alias("y1"))
 
 
 def contour_lines(segments: DataFrame) -> DataFrame:

@@ -388,27 +388,30 @@ def dash(df: DataFrame, on: float, off: float, phase: float = 0.0) -> DataFrame:
     period = on + off
     first = phase - period * math.floor(phase / period)
 
-    def line(r: Column) -> Column:
-        def cut(m: Column) -> Column:
-            return _let(F.aggregate(m, F.lit(0.0), lambda t, s: t + s["l"]), lambda total: pieces(m, total))
-
-        def pieces(m: Column, total: Column) -> Column:
-            last = F.floor((total + first) / period - 1e-12).cast("int")
-
-            def piece(k: Column) -> Column:
-                ends = F.struct(F.greatest(k * period - first, F.lit(0.0)).alias("a"), F.least(k * period - first + on, total).alias("b"))
-                return _let(ends, lambda e: between(e["a"], e["b"]))
-
-            def between(a: Column, b: Column) -> Column:
-                at = lambda s, d: _between(s, F.try_divide(d - s["at"], s["l"]))
-                inside = F.filter(m, lambda s: (s["l"] > 0) & (s["at"] < b) & (s["at"] + s["l"] > a))
-                out = F.flatten(F.transform(inside, lambda s: F.array(at(s, F.greatest(a, s["at"])), at(s, F.least(b, s["at"] + s["l"])))))
-                empty = F.array().cast(SHAPES["points"])
-                return F.when(b > a + 1e-9, F.aggregate(out, empty, lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == p), acc).otherwise(F.concat(acc, F.array(p))))).otherwise(empty)
+    empty = F.array().cast(SHAPES["points"])
+
+    def runs(s: Column) -> Column:
+        """array<struct<k, a, b>>: the ends of the stretches of one segment that lie on, with the number of their piece."""
+        low, high = s["at"] + first, s["at"] + s["l"] + first
+        ks = F.sequence(F.floor((low - on) / period).cast("int"), F.floor(high / period).cast("int"))
+        at = lambda d: _between(s, F.try_divide(F.least(F.greatest(d, s["at"]), s["at"] + s["l"]) - s["at"], s["l"]))
+        one = lambda k: F.struct(k.alias("k"), at(k * period - first).alias("a"), at(k * period - first + on).alias("b"))
+        met = lambda k: (k * period + on > low + 1e-9) & (k * period < high - 1e-9)
+        return F.transform(F.filter(ks, met), one)
+
+    def step(acc: Column, s: Column) -> Column:
+        tail = F.when(s["a"] == s["b"], F.array(s["a"])).otherwise(F.array(s["a"], s["b"]))
+        more = lambda p: F.when(F.element_at(acc["now"], -1) == p, empty).otherwise(F.array(p))
+        grown = F.concat(acc["now"], more(s["a"]), F.when(s["a"] == s["b"], empty).otherwise(F.array(s["b"])))
+        same = acc["k"] == s["k"]
+        done = F.when(same | (F.size(acc["now"]) == 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+        return F.struct(s["k"].alias("k"), F.when(same, grown).otherwise(tail).alias("now"), done.alias("done"))
 
-            return F.when(total > 0, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), piece), lambda p: F.size(p) > 0)).otherwise(F.array().cast(SHAPES["lines"]))
-
-        return F.when(F.size(r) >= 2, F.transform(F.array(_measured(r)), cut)[0]).otherwise(F.array().cast(SHAPES["lines"]))
+    def line(r: Column) -> Column:
+        stretches = F.flatten(F.transform(F.filter(_measured(r), lambda s: s["l"] > 0), runs))
+        start = F.struct(F.lit(-1 << 31).alias("k"), empty.alias("now"), F.array().cast(SHAPES["lines"]).alias("done"))
+        joined = F.aggregate(stretches, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+        return F.when(F.size(r) >= 2, joined).otherwise(F.array().cast(SHAPES["lines"]))
 
     return df.withColumn("lines", F.flatten(F.transform("lines", line)))
 
@@ -462,24 +465,32 @@ def hatch(df: DataFrame, angle_deg: float, spacing: float, phase: float = 0.0, e
     s, c = math.sin(math.radians(angle_deg)), math.cos(math.radians(angle_deg))
     origin = V("y") * (extent * c) - V("x") * (extent * s)
 
+    def turned(rings: Column) -> Column:
+        return F.transform(rings, lambda r: F.transform(r, lambda p: point(p["x"] * c + p["y"] * s, p["y"] * c - p["x"] * s)))
+
     def polygon(rings: Column) -> Column:
-        turned = F.transform(rings, lambda r: F.transform(r, lambda p: point(p["x"] * c + p["y"] * s, p["y"] * c - p["x"] * s)))
-        vs = F.transform(turned[0], lambda p: p["y"])
-        low, high = F.array_min(vs), F.array_max(vs)
-        edges = F.flatten(F.transform(turned, lambda r: _segments(r, True)))
+        edges = F.flatten(F.transform(rings, lambda r: _segments(r, True)))
+        return _let(F.struct(edges.alias("edges"), F.transform(rings[0], lambda p: p["y"]).alias("vs")), lines)
+
+    def lines(held: Column) -> Column:
+        low, high = F.array_min(held["vs"]), F.array_max(held["vs"])
         ks = F.sequence(F.floor((low + origin) / spacing - phase), F.ceil((high + origin) / spacing - phase))
 
         def line(k: Column) -> Column:
             v = (k + phase) * spacing - origin
-            hits = F.filter(edges, lambda e: (e["a"]["y"] > v) != (e["b"]["y"] > v))
-            us = F.array_sort(F.transform(hits, lambda e: e["a"]["x"] + (v - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
+            hits = F.filter(held["edges"], lambda e: (e["a"]["y"] > v) != (e["b"]["y"] > v))
+            across = lambda e: e["a"]["x"] + (v - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
+            return _let(F.array_sort(F.transform(hits, across)), lambda us: stretches(us, v))
+
+        def stretches(us: Column, v: Column) -> Column:
             back = lambda u: snapped(u * c - v * s, u * s + v * c)
-            pairs = F.filter(F.transform(us, lambda u, i: F.struct(i.alias("i"), u.alias("u"), F.get(us, i + 1).alias("w"))), lambda q: (q["i"] % 2 == 0) & q["w"].isNotNull() & (q["w"] > q["u"]))
+            pair = lambda u, i: F.struct(i.alias("i"), u.alias("u"), F.get(us, i + 1).alias("w"))
+            pairs = F.filter(F.transform(us, pair), lambda q: (q["i"] % 2 == 0) & q["w"].isNotNull() & (q["w"] > q["u"]))
             return F.transform(pairs, lambda q: F.array(back(q["u"]), back(q["w"])))
 
         return F.when(high > low, F.flatten(F.transform(ks, line))).otherwise(F.array().cast(SHAPES["lines"]))
 
-    return df.withColumn("lines", F.flatten(F.transform("polygons", polygon))).drop("polygons", "points")
+    return df.withColumn("lines", F.flatten(F.transform("polygons", lambda p: _let(turned(p), polygon)))).drop("polygons", "points")
 
 
 def dot_density(df: DataFrame, density: Column | float, dot_value: float = 1.0, spacing: float = 64.0, jitter: float = 1.0, seed: int = 0, extent: int = EXTENT) -> DataFrame:
@@ -514,12 +525,17 @@ def segment_to(df: DataFrame, lng: Column, lat: Column, gap: float = 0.0, extent
     return rows.where("x1 <> x0 OR y1 <> y0").drop("p", *[c for c in SHAPES if c in df.columns])
 
 
+def disc(p: Column, distance: float, join: str = "round") -> Column:
+    """A point as a polygon of one ring."""
+    n = max(8, math.ceil(2 * math.pi / 0.25)) if join == "round" else 32
+    r, step = abs(distance), 2 * math.pi / n
+    corners = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.array(F.transform(corners, lambda i: snapped(p["x"] + r * F.cos(i * step), p["y"] + r * F.sin(i * step))))
+
+
 def buffer_points(df: DataFrame, distance: float, join: str = "round") -> DataFrame:
     """Points as regular polygons around them."""
-    n = max(8, math.ceil(2 * math.pi / 0.25)) if join == "round" else 32
-    r = abs(distance)
-    disk = lambda p: F.array(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: snapped(p["x"] + r * F.cos(i * (2 * math.pi / n)), p["y"] + r * F.sin(i * (2 * math.pi / n)))))
-    return df.withColumn("polygons", F.transform("points", disk)).drop("points", "lines")
+    return df.withColumn("polygons", F.transform("points", lambda p: disc(p, distance, join))).drop("points", "lines")
 
 
 # Pools of a tile's features
@@ -532,22 +548,99 @@ def bbox(df: DataFrame) -> DataFrame:
     return rows.groupBy(*TILE).agg(F.min("b0").alias("x0"), F.min("b2").alias("y0"), F.max("b1").alias("x1"), F.max("b3").alias("y1"))
 
 
-def junctions(df: DataFrame) -> DataFrame:
-    """Where line ends of a tile meet exactly: place, number of arms, and mean axis in [0, 180)."""
-    arms = lambda s: F.struct(s["a"].alias("p"), F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"]).alias("t"))
+def junctions(df: DataFrame, snap: float = 0.0) -> DataFrame:
+    """(z, x, y, vx, vy, arms, axis_deg): where line ends of a tile meet, how many, and the axis of a tick across them.
+
+    Ends within ``snap`` of each other, also by way of others, are one junction at their mean. The axis, in [0, 180), lies
+    across a single arm or a straight line, else along the bisector of the arms; if that comes within 20 degrees of an arm,
+    or two arms within 40 of each other, it lies in the middle of the widest gap between arms. Equal directions (to a
+    thousandth of a degree) count once for gaps, so that what is gathered of a place stays small.
+    """
+    arms = lambda s: F.struct(s["a"].alias("p"), F.degrees(F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"])).alias("t"))
     turned = lambda s: F.struct(s["b"].alias("a"), s["a"].alias("b"))
-    ends = F.flatten(F.transform(F.filter("lines", lambda r: F.size(r) >= 2), lambda r: F.array(arms(_segments(r, False)[0]), arms(turned(F.element_at(_segments(r, False), -1))))))
-    rows = df.select(*TILE, F.explode(ends).alias("e"))
-    double = 2 * V("e.t")
-    out = rows.groupBy(*TILE, V("e.p.x").alias("vx"), V("e.p.y").alias("vy")).agg(F.count(F.lit(1)).alias("arms"), F.sum(F.cos(double)).alias("c"), F.sum(F.sin(double)).alias("s"))
-    axis = F.degrees(F.atan2("s", "c")) / 2
-    return out.select(*TILE, "vx", "vy", "arms", (axis - 180 * F.floor(axis / 180)).alias("axis_deg"))
-
-
-def nearest_seed(df: DataFrame, seeds: DataFrame, aspect: float = 1.0) -> DataFrame:
-    """Each point row (vx, vy) with the nearest seed (seed_ix, sx, sy) of its tile; ties to the smaller seed."""
-    s = seeds.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct("seed_ix", "sx", "sy"))).alias("seeds"))  # a tile's seeds
-    rows = df.join(s, list(TILE))
-    d = lambda q: F.pow(q["sx"] - V("vx"), F.lit(2)) + F.pow((q["sy"] - V("vy")) * aspect, F.lit(2))
-    best = F.array_min(F.transform("seeds", lambda q: F.struct(d(q).alias("d"), q["seed_ix"].alias("seed_ix"))))
-    return rows.withColumn("seed_ix", best["seed_ix"]).drop("seeds")
+    moving = lambda r: F.filter(_segments(r, False), lambda s: s["a"] != s["b"])
+    two = lambda m: F.when(F.size(m) > 0, F.array(arms(m[0]), arms(turned(F.element_at(m, -1)))))
+    ends = F.flatten(F.filter(F.transform("lines", lambda r: _let(moving(r), two)), lambda e: e.isNotNull()))
+    rows = df.select(*TILE, F.explode(ends).alias("e")).select(*TILE, V("e.p.x").alias("vx"), V("e.p.y").alias("vy"), V("e.t").alias("t"))
+    place = ["vx", "vy"]
+    if snap > 0:
+        rows, place = rows.join(_merged_places(rows, snap), [*TILE, "vx", "vy"]), ["g"]
+    turn = F.radians("t")
+    out = rows.groupBy(*TILE, *place).agg(
+        F.avg("vx").alias("mx"),
+        F.avg("vy").alias("my"),
+        F.count(F.lit(1)).alias("arms"),
+        F.sum(F.cos(turn)).alias("c"),
+        F.sum(F.sin(turn)).alias("s"),
+        F.array_sort(F.collect_set(F.pmod(F.round("t", 3), F.lit(360.0)))).alias("ts"),
+    )
+    after = F.transform("ts", lambda t, i: F.struct((F.coalesce(F.get("ts", i + 1), V("ts")[0] + 360) - t).alias("gap"), (-t).alias("from")))
+    out = out.withColumns({"widest": F.array_max(after), "least": F.array_min(after)["gap"]})
+    bisector = F.degrees(F.atan2("s", "c"))
+    near_arm = F.exists("ts", lambda t: F.abs(F.pmod(t - bisector + 180, F.lit(360.0)) - 180) < 20)
+    straight = V("c") * V("c") + V("s") * V("s") < 1e-6
+    middle = -V("widest.from") + V("widest.gap") / 2
+    axis = F.when(V("arms") == 1, V("ts")[0] + 90).when(straight, V("ts")[0] + 90).when(near_arm | (V("least") < 40), middle).otherwise(bisector)
+    return out.select(*TILE, F.round("mx").alias("vx"), F.round("my").alias("vy"), "arms", F.pmod(axis, F.lit(180.0)).alias("axis_deg"))
+
+
+def _merged_places(rows: DataFrame, snap: float) -> DataFrame:
+    """(tile, vx, vy, g): a number for each group of a tile's places that are within ``snap`` of each other, chained."""
+    import numpy as np
+    import pandas as pd
+
+    def run(key, pdf):
+        xy = pdf[["vx", "vy"]].to_numpy()
+        cells: dict = {}
+        for i, (cx, cy) in enumerate(np.floor(xy / snap).astype(int).tolist()):
+            cells.setdefault((cx, cy), []).append(i)
+        root = list(range(len(xy)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for (cx, cy), own in cells.items():
+            near = np.array([j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ())])
+            for i in own:
+                for j in near[((xy[near] - xy[i]) ** 2).sum(1) <= snap * snap]:
+                    a, b = top(i), top(int(j))
+                    root[max(a, b)] = min(a, b)
+        return pdf.assign(g=[top(i) for i in range(len(xy))])
+
+    places = rows.select(*TILE, "vx", "vy").distinct()
+    return places.groupBy(*TILE).applyInPandas(run, "z int, x int, y int, vx double, vy double, g int")
+
+
+def nearest_seed(df: DataFrame, seeds: DataFrame, aspect: float = 1.0, per_cell: int = 4, extent: int = EXTENT) -> DataFrame:
+    """Each point row (vx, vy) with the nearest seed (seed_ix, sx, sy) of its tile; ties to the smaller seed.
+
+    Vertical distance counts ``aspect`` times. Points look into their cell of the tile and the eight around it; those whose
+    best lies beyond what these surely cover look again in cells four times as wide, up to the whole tile. The finest cells
+    hold about ``per_cell`` seeds in the fullest tile; seeds at one place are one, as are points equal in all columns. Tiles
+    without seeds give no row.
+    """
+    places = seeds.groupBy(*TILE, "sx", "sy").agg(F.min("seed_ix").alias("seed_ix"))
+    most = places.groupBy(*TILE).count().agg(F.max("count")).first()[0] or 0
+    levels = max(1, math.ceil(math.log2(max(most / per_cell, 1)) / 4) + 1)
+    keys = [c for c in df.columns if c not in ("seed_ix", "sx", "sy")]
+    left, found = df.select(*keys), None
+    stretch = min(1.0, aspect)
+    for level in range(levels):
+        side = extent / 4 ** (levels - 1 - level)
+        last = level == levels - 1
+        cell = lambda c, s=side, whole=last: F.lit(0) if whole else F.floor(V(c) / s)
+        held = places.withColumns({"cx": cell("sx"), "cy": cell("sy")})
+        around = F.array(F.lit(0)) if last else F.array(F.lit(-1), F.lit(0), F.lit(1))
+        asks = left.withColumns({"ax": cell("vx"), "ay": cell("vy")}).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        asks = asks.withColumns({"cx": V("ax") + V("dx"), "cy": V("ay") + V("dy")}).drop("ax", "ay", "dx", "dy")
+        d = F.pow(V("sx") - V("vx"), F.lit(2)) + F.pow((V("sy") - V("vy")) * aspect, F.lit(2))
+        best = asks.join(held, [*TILE, "cx", "cy"], "inner" if last else "left")
+        best = best.groupBy(*keys).agg(F.min(F.when(V("sx").isNotNull(), F.struct(d.alias("d"), "seed_ix"))).alias("best"))
+        sure = F.lit(True) if last else F.coalesce(V("best.d") < (side * stretch) ** 2, F.lit(False))
+        done = best.where(sure).select(*keys, V("best.seed_ix").alias("seed_ix"))
+        found = done if found is None else found.unionByName(done)
+        left = best.where(~sure).select(*keys)
+    return found

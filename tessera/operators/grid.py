@@ -1,8 +1,7 @@
 """Dense lattices of samples: fields (column v) and rasters (columns r, g, b, a; premultiplied bytes), one row per pixel.
 
 Rows are keyed by tile (z, x, y) and pixel (px, py). A field's missing sample is a null; a raster's blank pixel may be
-left out and counts as transparent. Everything that looks at neighbours first deals rows by tile once; the windows along
-rows and columns then sort within tasks and shuffle nothing.
+left out and counts as transparent. Everything that looks at neighbours first deals rows by tile once (see ``dense``).
 """
 
 from __future__ import annotations
@@ -47,10 +46,15 @@ def one_tile(spark: SparkSession, z: int = 0, x: int = 0, y: int = 0) -> DataFra
 
 
 def dense(grid: Grid) -> Grid:
-    """Every pixel of every tile that has any: missing samples as null, blank pixels as zeros."""
-    df = grid.df.repartition(*TILE)
-    pixels = lattice(df.groupBy(*TILE).agg(F.first("px").alias("_")), grid.width, grid.height)
-    out = pixels.join(df, list(PIXEL), "left")
+    """Every pixel of every tile that has any: missing samples as null, blank pixels as zeros.
+
+    Rows are dealt by tile once; the blank lattice of those tiles is grouped with them where they are, and later windows
+    and groupings within tiles shuffle nothing either.
+    """
+    df = grid.df.repartition(*TILE).select(*PIXEL, *grid.bands)
+    blank = lattice(df.groupBy(*TILE).agg(F.first("px").alias("_")), grid.width, grid.height)
+    blank = blank.select(*PIXEL, *[F.lit(None).cast(df.schema[b].dataType).alias(b) for b in grid.bands])
+    out = blank.unionAll(df).groupBy(*PIXEL).agg(*[F.max(b).alias(b) for b in grid.bands])
     return grid.with_df(out if "v" in grid.bands else out.fillna(0, list(grid.bands)))
 
 
@@ -58,23 +62,30 @@ def _line(along: str, across: str):
     return Window.partitionBy(*TILE, across).orderBy(along)
 
 
-def beside(grid: Grid, column: str, step: int, axis: str) -> Column:
-    """The neighbour ``step`` pixels along px or py; beyond the edge, the edge's own pixel."""
-    w = _line(axis, "py" if axis == "px" else "px")
-    size = grid.width if axis == "px" else grid.height
-    if step < 0:
-        return F.when(F.col(axis) < -step, F.first(column).over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.lag(column, -step).over(w))
-    last = F.last(column).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return F.when(F.col(axis) >= size - step, last).otherwise(F.lead(column, step).over(w))
+NEAR = ("nw", "n", "ne", "w", "c", "e", "sw", "s", "se")
 
 
-def neighbourhood(grid: Grid, column: str = "v") -> DataFrame:
-    """The dense grid with the 3 x 3 neighbours of ``column`` as nw, n, ne, w, c, e, sw, s, se; edges repeat."""
+def neighbourhoods(grid: Grid) -> DataFrame:
+    """The dense grid with the 3 x 3 neighbours of every band as band_nw, band_n ... band_se; edges repeat."""
     g = dense(grid)
-    edge = lambda axis, size, step, name: F.when(F.col(axis) == (0 if step < 0 else size - 1), F.col(name)).otherwise((F.lag if step < 0 else F.lead)(name, 1).over(_line(axis, "py" if axis == "px" else "px")))
-    df = g.df.withColumn("c", F.col(column))
-    df = df.withColumns({"w": edge("px", g.width, -1, "c"), "e": edge("px", g.width, 1, "c")})
-    return df.withColumns({new: edge("py", g.height, step, old) for new, step, old in (("nw", -1, "w"), ("n", -1, "c"), ("ne", -1, "e"), ("sw", 1, "w"), ("s", 1, "c"), ("se", 1, "e"))})
+
+    def beside_edge(axis: str, size: int, step: int, name: str) -> Column:
+        line = _line(axis, "py" if axis == "px" else "px")
+        near = (F.lag if step < 0 else F.lead)(name, 1).over(line)
+        return F.when(F.col(axis) == (0 if step < 0 else size - 1), F.col(name)).otherwise(near)
+
+    df = g.df.withColumns({f"{b}_c": F.col(b) for b in grid.bands})
+    sides = ((-1, "w"), (1, "e"))
+    df = df.withColumns({f"{b}_{k}": beside_edge("px", g.width, step, f"{b}_c") for b in grid.bands for step, k in sides})
+    ends = ((-1, ("nw", "n", "ne")), (1, ("sw", "s", "se")))
+    up = {f"{b}_{new}": beside_edge("py", g.height, step, f"{b}_{old}") for b in grid.bands for step, names in ends for new, old in zip(names, "wce")}
+    return df.withColumns(up)
+
+
+def neighbourhood(grid: Grid, column: str = "v") -> DataFrame:
+    """The dense grid with the neighbours of one band as nw, n, ne, w, c, e, sw, s, se."""
+    df = neighbourhoods(grid.with_df(grid.df.select(*PIXEL, column)))
+    return df.select(*PIXEL, column, *[F.col(f"{column}_{k}").alias(k) for k in NEAR])
 
 
 def per_tile(grid: Grid, kernel: Callable, schema: str) -> DataFrame:

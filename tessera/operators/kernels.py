@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import TILE
+from .overlay import LINES, POINT, POLYGONS, RULES, _arrays, _structs, overlay
 
 POINT_ROWS = "z int, x int, y int, {}"
 
@@ -42,9 +48,9 @@ def convex_hull(vertices: DataFrame) -> DataFrame:
 def simplify(df: DataFrame, epsilon: float) -> DataFrame:
     """Lines without the vertices that lie within ``epsilon`` of the chord that replaces them."""
 
-    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda lines: [_thinned([(p["x"], p["y"]) for p in line], epsilon) for line in lines])
+    @F.arrow_udf("array<array<struct<x:double,y:double>>>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([[_thinned([(p["x"], p["y"]) for p in line], epsilon) for line in lines or []] for lines in column.to_pylist()], LINES)
 
     return df.withColumn("lines", run("lines"))
 
@@ -107,15 +113,249 @@ def triangulate(sites: DataFrame) -> DataFrame:
     return sites.groupBy(*TILE).applyInPandas(run, POINT_ROWS.format("tri int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double"))
 
 
-def voronoi(sites: DataFrame) -> DataFrame:
-    """Edges (x0, y0, x1, y1) between cells of neighbouring sites: the segments joining their triangles' circle centres."""
+def voronoi_cells(sites: list, box: tuple[float, float, float, float]) -> dict:
+    """Site -> ring of its cell within ``box`` (x0, y0, x1, y1). Sites are different places.
+
+    A cell starts as the box and is cut by the middle lines to other sites, the nearer first, until none left can reach it:
+    that are those further away than twice its farthest corner. Near sites are looked up in squares around it.
+    """
+    x0, y0, x1, y1 = box
+    xs, ys = [p[0] for p in sites], [p[1] for p in sites]
+    side = max(max(xs) - min(xs), max(ys) - min(ys), 1e-9) / max(1.0, len(sites) ** 0.5)
+    squares: dict = {}
+    for p in sites:
+        squares.setdefault((int(p[0] // side), int(p[1] // side)), []).append(p)
+    widest = int(max(x1 - x0, y1 - y0, max(xs) - min(xs), max(ys) - min(ys)) // side) + 2
+    out = {}
+    for p in sites:
+        ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        cx, cy = int(p[0] // side), int(p[1] // side)
+        for k in range(widest + 1):
+            # What lies k squares away is further than k - 1 sides.
+            if k > 1 and ring and 2 * max(((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2) ** 0.5 for q in ring) < (k - 1) * side:
+                break
+            edge = [(cx + i, cy + j) for i in range(-k, k + 1) for j in range(-k, k + 1) if max(abs(i), abs(j)) == k]
+            near = [q for at in edge for q in squares.get(at, ()) if q != p]
+            for q in sorted(near, key=lambda q: (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2):
+                ring = _nearer(ring, p, q)
+        if len(ring) >= 3:
+            out[p] = ring
+    return out
+
+
+def _nearer(ring: list, p, q) -> list:
+    """The part of a convex ring that is nearer to ``p`` than to ``q``."""
+    nx, ny = q[0] - p[0], q[1] - p[1]
+    c = (q[0] ** 2 + q[1] ** 2 - p[0] ** 2 - p[1] ** 2) / 2
+    far = [nx * x + ny * y - c for x, y in ring]
+    out = []
+    for i, (a, fa) in enumerate(zip(ring, far)):
+        b, fb = ring[(i + 1) % len(ring)], far[(i + 1) % len(ring)]
+        if fa <= 0:
+            out.append(a)
+        if (fa < 0 < fb) or (fb < 0 < fa):
+            t = fa / (fa - fb)
+            out.append((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t))
+    return out
+
+
+def _half_up(v: float) -> float:
+    return math.copysign(math.floor(abs(v) + 0.5), v) if abs(v) >= 0.5 else 0.0
+
+
+def _sides(cells: dict) -> list:
+    """The different edges of cells, as pairs of places rounded to a millionth."""
+    found = set()
+    for ring in cells.values():
+        whole = [(round(x, 6), round(y, 6)) for x, y in ring]
+        found.update((min(a, b), max(a, b)) for a, b in zip(whole, whole[1:] + whole[:1]) if a != b)
+    return sorted(found)
+
+
+def voronoi(sites: DataFrame, expand: float = 1.0) -> DataFrame:
+    """Edges (x0, y0, x1, y1) of the cells of a tile's sites, within the sites' box grown by ``expand``; whole coordinates.
+
+    Cells at the rim are closed along the box. Fewer than three different sites give nothing.
+    """
 
     def run(key, pdf):
-        by_edge: dict = {}
-        for t in delaunay(list(zip(pdf.vx.astype(float), pdf.vy.astype(float)))):
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                by_edge.setdefault(tuple(sorted(e)), []).append(_circle(*t)[:2])
-        rows = sorted({tuple(c for p in sorted(ends) for c in p) for ends in by_edge.values() if len(ends) == 2})
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*TILE, "x0", "y0", "x1", "y1"])
+        pts = sorted(set(zip(pdf.vx.astype(float), pdf.vy.astype(float))))
+        rows = []
+        if len(pts) >= 3:
+            xs, ys = [p[0] for p in pts], [p[1] for p in pts]
+            box = min(xs) - expand, min(ys) - expand, max(xs) + expand, max(ys) + expand
+            rows = [tuple(_half_up(c) for p in side for c in p) for side in _sides(voronoi_cells(pts, box))]
+        return pd.DataFrame([(*key, *r) for r in sorted(set(rows)) if r[:2] != r[2:]], columns=[*TILE, "x0", "y0", "x1", "y1"])
 
     return sites.groupBy(*TILE).applyInPandas(run, POINT_ROWS.format("x0 double, y0 double, x1 double, y1 double"))
+
+
+def voronoi_fracture(df: DataFrame, seeds: str = "seeds", aspect: float = 1.0) -> DataFrame:
+    """(other columns, site, polygons): each feature's polygons cut into the cells of its ``seeds`` (array of points).
+
+    Vertical distance counts ``aspect`` times. A cell that a polygon cuts in several pieces holds them all. Polygons of
+    features with fewer than three different seeds give nothing.
+    """
+    if not aspect > 0:
+        return df.where(F.lit(False)).withColumn("site", F.lit(None).cast("struct<x:double,y:double>")).drop(seeds)
+
+    def pieces(polygons, own) -> list:
+        up = {(p["x"], _half_up(p["y"] * aspect)): (p["x"], p["y"]) for p in reversed(list(own))}
+        if len(up) < 3:
+            return []
+        out: dict = {}
+        for polygon in _arrays(polygons):
+            tall = [r * [1.0, aspect] for r in polygon]
+            low, high = tall[0].min(0) - 2, tall[0].max(0) + 2
+            for site, ring in sorted(voronoi_cells(sorted(up), (*low, *high)).items()):
+                found = overlay([tall], [[np.array(ring)]], RULES["intersection"])
+                flat = [[np.array([(x, _half_up(y / aspect)) for x, y in r]) for r in piece] for piece in found]
+                if flat:
+                    out.setdefault(up[site], []).extend(flat)
+        return [{"site": {"x": s[0], "y": s[1]}, "polygons": _structs(p)} for s, p in out.items()]
+
+    place = "struct<x:double,y:double>"
+
+    kind = pa.list_(pa.struct([("site", POINT), ("polygons", POLYGONS)]))
+
+    @F.arrow_udf(f"array<struct<site:{place},polygons:array<array<array<{place}>>>>>")
+    def cut(polygons: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array([pieces(p or [], s or []) for p, s in zip(polygons.to_pylist(), own.to_pylist())], kind)
+
+    rest = [c for c in df.columns if c not in ("points", "lines", "polygons", seeds)]
+    return df.select(*rest, F.explode(cut("polygons", seeds)).alias("piece")).select(*rest, "piece.site", "piece.polygons")
+
+
+def _densified(ring: list, step: float) -> list:
+    out = []
+    for a, b in zip(ring, ring[1:] + ring[:1]):
+        n = max(1, math.ceil(math.dist(a, b) / step))
+        out += [(a[0] + (b[0] - a[0]) * k / n, a[1] + (b[1] - a[1]) * k / n) for k in range(n)]
+    return out
+
+
+def _axis(rings: list, step: float, shortest: float) -> list:
+    """Polylines in the middle of a polygon."""
+    sites = sorted({(_half_up(x), _half_up(y)) for r in rings for x, y in _densified(r, step)})
+    if len(sites) < 4:
+        return []
+    xs, ys = [p[0] for p in sites], [p[1] for p in sites]
+    cells = voronoi_cells(sites, (min(xs) - 4 * step, min(ys) - 4 * step, max(xs) + 4 * step, max(ys) + 4 * step))
+    # A corner of a cell is as far from its own site as from any.
+    radius: dict = {}
+    for site, ring in cells.items():
+        for q in ring:
+            k = (round(q[0], 6), round(q[1], 6))
+            radius[k] = min(radius.get(k, math.inf), math.dist(q, site))
+    inside = {q for q, r in radius.items() if r >= 0.9 * step and _within(rings, q)}
+    near: dict = {}
+    for a, b in _sides(cells):
+        if a in inside and b in inside:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    used, out = set(), []
+    for start in sorted(near, key=lambda q: (len(near[q]) == 2, q)):
+        for b in sorted(near[start]):
+            if (start, b) in used:
+                continue
+            path = [start, b]
+            used |= {(start, b), (b, start)}
+            while len(near[path[-1]]) == 2 and path[-1] != start:
+                follow = [q for q in near[path[-1]] if (path[-1], q) not in used]
+                if not follow:
+                    break
+                used |= {(path[-1], follow[0]), (follow[0], path[-1])}
+                path.append(follow[0])
+            if sum(map(math.dist, path, path[1:])) >= shortest:
+                whole = [(_half_up(x), _half_up(y)) for x, y in path]
+                out.append([{"x": p[0], "y": p[1]} for i, p in enumerate(whole) if i == 0 or p != whole[i - 1]])
+    return [line for line in out if len(line) > 1]
+
+
+def _within(rings: list, q) -> bool:
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (ay > q[1]) != (by > q[1]) and q[0] < ax + (q[1] - ay) * (bx - ax) / (by - ay):
+                odd = not odd
+    return odd
+
+
+def _pairs(polygons) -> list:
+    return [[[(float(p["x"]), float(p["y"])) for p in ring] for ring in polygon] for polygon in polygons]
+
+
+def medial_axis(df: DataFrame, densify: float = 6.0, shortest: float = 0.0) -> DataFrame:
+    """Lines in the middle of each feature's polygons, in place of these: cell edges of points along the outline.
+
+    Only edges well inside count, with both ends at least 0.9 of a step from the outline; they are chained between places
+    where more than two meet, and chains below ``shortest`` dropped. Features without any line go.
+    """
+
+    @F.arrow_udf("array<array<struct<x:double,y:double>>>")
+    def run(column: pa.Array) -> pa.Array:
+        found = [[line for rings in _pairs(p or []) if rings and len(rings[0]) >= 3 for line in _axis(rings, densify, shortest)] for p in column.to_pylist()]
+        return pa.array(found, LINES)
+
+    if densify <= 0:
+        return df.where(F.lit(False)).withColumn("lines", F.array().cast("array<array<struct<x:double,y:double>>>")).drop("polygons", "points")
+    return df.withColumn("lines", run("polygons")).drop("polygons", "points").where(F.size("lines") > 0)
+
+
+def _outline_distance(rings: list, x: float, y: float) -> float:
+    """Distance to the outline, below zero outside."""
+    best = math.inf
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            dx, dy = bx - ax, by - ay
+            t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            best = min(best, math.hypot(x - ax - dx * t, y - ay - dy * t))
+    return best if _within(rings, (x, y)) else -best
+
+
+def _pole(rings: list, precision: float) -> dict | None:
+    """Squares that may still hold a better place than the best so far by ``precision`` are split, the most promising first."""
+    if not rings or not rings[0]:
+        return None
+    ox, oy = rings[0][0]
+    rings = [[(x - ox, y - oy) for x, y in r] for r in rings]
+    xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
+    side = min(max(xs) - min(xs), max(ys) - min(ys))
+    if side == 0:
+        return {"x": _half_up(min(xs) + ox), "y": _half_up(min(ys) + oy)}
+    queue: list = []
+
+    def push(x: float, y: float, h: float) -> tuple:
+        d = _outline_distance(rings, x, y)
+        heapq.heappush(queue, (-(d + h * math.sqrt(2)), x, y, h, d))
+        return d, x, y
+
+    twice = sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(rings[0], rings[0][1:] + rings[0][:1]))
+    best = (-math.inf, 0.0, 0.0)
+    if twice:
+        mid = [sum((a[k] + b[k]) * (a[0] * b[1] - b[0] * a[1]) for a, b in zip(rings[0], rings[0][1:] + rings[0][:1])) / (3 * twice) for k in (0, 1)]
+        best = (_outline_distance(rings, *mid), *mid)
+    h = side / 2
+    for i in range(math.ceil((max(xs) - min(xs)) / side)):
+        for j in range(math.ceil((max(ys) - min(ys)) / side)):
+            push(min(xs) + i * side + h, min(ys) + j * side + h, h)
+    while queue:
+        most, x, y, h, d = heapq.heappop(queue)
+        if d > best[0]:
+            best = (d, x, y)
+        if -most - best[0] <= precision:
+            break
+        for sx in (-h / 2, h / 2):
+            for sy in (-h / 2, h / 2):
+                push(x + sx, y + sy, h / 2)
+    return {"x": _half_up(best[1] + ox), "y": _half_up(best[2] + oy)}
+
+
+def polylabel(df: DataFrame, precision: float = 1.0) -> DataFrame:
+    """Points inside each polygon furthest from its outline, holes included, found to within ``precision``."""
+
+    @F.arrow_udf("array<struct<x:double,y:double>>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([[p for rings in _pairs(polygons or []) if (p := _pole(rings, precision))] for polygons in column.to_pylist()], pa.list_(POINT))
+
+    return df.withColumn("points", run("polygons")).drop("polygons", "lines").where(F.size("points") > 0)

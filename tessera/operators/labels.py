@@ -72,11 +72,17 @@ def text_draw(candidates: DataFrame, placements: DataFrame, layer_ix: int) -> Da
     return candidates.where(V("layer_ix") == layer_ix).join(placements.where("placed").select(*TILE, "layer_ix", "cand_ix"), [*TILE, "layer_ix", "cand_ix"])
 
 
-def frame_features(features: DataFrame, keys: list[str], box: tuple[float, float, float, float]) -> DataFrame:
-    """Rows whose box (x0, y0, x1, y1) meets the page, the first per key in reading order (tile y, x, feature), ranked by key.
+def frame_features(features: DataFrame, keys: list[str], box: tuple[float, float, float, float], present: dict[str, str] | None = None) -> DataFrame:
+    """Rows whose box (x0, y0, x1, y1) meets the page, the first per key in reading order (tile y, x, feature), sorted by key.
 
-    Missing and null keys are a group of their own; groups sort null, then numbers before strings as typed columns do.
+    A key that a feature lacks and one that is null are two keys: ``present`` names, for keys that may be lacking, the
+    boolean columns that say whether it is there. Keys sort missing, null, then by value as typed columns do.
     """
+    lacking = {k: ~V(c) for k, c in (present or {}).items()}
+    rank = lambda k: F.when(lacking.get(k, F.lit(False)), 0).when(V(k).isNull(), 1).otherwise(2)
     meets = (V("x1") >= box[0]) & (V("x0") <= box[2]) & (V("y1") >= box[1]) & (V("y0") <= box[3])
-    first = Window.partitionBy(*keys).orderBy("y", "x", "feature_ix")
-    return features.where(meets).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").orderBy(*[F.asc_nulls_first(k) for k in keys])
+    ranks = {f"__rank{i}": rank(k) for i, k in enumerate(keys)}
+    values = {f"__key{i}": F.when(rank(k) == 2, V(k)) for i, k in enumerate(keys)}
+    first = Window.partitionBy(*ranks, *values).orderBy("y", "x", "feature_ix")
+    out = features.where(meets).withColumns(ranks | values).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return out.orderBy(*[c for pair in zip(ranks, values) for c in pair]).drop("__n", *ranks, *values)

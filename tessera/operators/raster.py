@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.arith import clamp, to_byte
-from .grid import BANDS, PIXEL, TILE, Grid, beside, dense, lattice, neighbourhood, per_tile
+from .grid import BANDS, NEAR, PIXEL, TILE, Grid, dense, lattice, neighbourhoods, per_tile
 
 V = F.col
 
@@ -378,22 +378,31 @@ def dilate(grid: Grid, radius: float) -> Grid:
 
 
 def blur(grid: Grid, sigma: float) -> Grid:
-    """Separable Gaussian of radius ceil(3 sigma); edges repeat. Missing samples are skipped and weights made up for."""
+    """Separable Gaussian of radius ceil(3 sigma); edges repeat. Missing samples are skipped and weights made up for.
+
+    Along each axis a pixel is exploded to those it reaches, in its own task, and these sum what reaches them. At an edge it
+    also stands for all that lies beyond: it reaches a pixel with the sum of the kernel from there on.
+    """
     if sigma <= 0:
         return grid
     r = math.ceil(3 * sigma)
-    kernel = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1)]
-    total = sum(kernel)
-    g = dense(grid)
-    for axis in ("px", "py"):
-        out = {}
-        for c in grid.bands:
-            near = [beside(g, c, i, axis) if i else V(c) for i in range(-r, r + 1)]
-            weighed = sum((F.coalesce(n * k, F.lit(0.0)) for n, k in zip(near[1:], kernel[1:])), F.coalesce(near[0] * kernel[0], F.lit(0.0)))
-            seen = sum((F.when(n.isNotNull(), k).otherwise(0.0) for n, k in zip(near[1:], kernel[1:])), F.when(near[0].isNotNull(), kernel[0]).otherwise(0.0))
-            out[c] = F.try_divide(weighed, seen) if c == "v" else weighed / total
-        g = g.select(**out)
-    return g if "v" in grid.bands else g.select(**{c: F.round(V(c)).cast("int") for c in BANDS})
+    kernel = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(r + 1)]
+    total = kernel[0] + 2 * sum(kernel[1:])
+    near = F.array(*[F.lit(k / total) for k in kernel])
+    beyond = F.array(*[F.lit(sum(kernel[i:]) / total) for i in range(r + 1)])
+    df, own = dense(grid).df, "v" in grid.bands
+    for axis, size in (("px", grid.width), ("py", grid.height)):
+        reached = F.sequence(F.greatest(V(axis) - r, F.lit(0)), F.least(V(axis) + r, F.lit(size - 1)))
+        far = F.abs(V("t") - V(axis))
+        last = (V(axis) == 0) & (V("t") >= V(axis)) | (V(axis) == size - 1) & (V("t") <= V(axis))
+        w = F.when(last, beyond[far]).otherwise(near[far]) if size > 1 else F.lit(1.0)
+        rows = df.withColumn("t", F.explode(reached)).withColumn("w", w).drop(axis).withColumnRenamed("t", axis).groupBy(*PIXEL)
+        if own:
+            df = rows.agg((F.sum(V("w") * V("v")) / F.sum(F.when(V("v").isNotNull(), V("w")))).alias("v"))
+        else:
+            df = rows.agg(*[F.sum(V("w") * V(c)).alias(c) for c in BANDS])
+    g = grid.with_df(df)
+    return g if own else g.select(**{c: F.round(F.round(V(c), 9)).cast("int") for c in BANDS})
 
 
 def _cut(x: Column) -> Column:
@@ -402,26 +411,24 @@ def _cut(x: Column) -> Column:
 
 def sharpen(grid: Grid, amount: float = 1.0) -> Grid:
     """c (1 + 4k) - k (n + s + e + w). Rasters: all four bands, cut to bytes; fields: a missing neighbour is the centre."""
-    out = None
+    out = {}
     for band in grid.bands:
-        n = neighbourhood(grid, band)
-        near = [F.coalesce(V(k), V("c")) for k in ("n", "s", "e", "w")]
-        v = V("c") * (1 + 4 * amount) - amount * (near[0] + near[1] + near[2] + near[3])
-        own = n.select(*PIXEL, (v if band == "v" else _cut(v)).alias(band))
-        out = own if out is None else out.join(own, list(PIXEL))
-    return grid.with_df(out)
+        c = V(f"{band}_c")
+        near = [F.coalesce(V(f"{band}_{k}"), c) for k in ("n", "s", "e", "w")]
+        v = c * (1 + 4 * amount) - amount * (near[0] + near[1] + near[2] + near[3])
+        out[band] = v if band == "v" else _cut(v)
+    return grid.with_df(neighbourhoods(grid)).select(**out)
 
 
 def edge_detect(raster: Grid, strength: float = 1.0) -> Grid:
     """Size of the 3 x 3 weighted slopes per band, cut to bytes."""
-    out = None
+    out = {}
     for band in BANDS:
-        n = neighbourhood(raster, band)
-        gx = (V("ne") + 2 * V("e") + V("se")) - (V("nw") + 2 * V("w") + V("sw"))
-        gy = (V("sw") + 2 * V("s") + V("se")) - (V("nw") + 2 * V("n") + V("ne"))
-        own = n.select(*PIXEL, _cut(F.sqrt((gx * gx + gy * gy).cast("double")) * strength).alias(band))
-        out = own if out is None else out.join(own, list(PIXEL))
-    return raster.with_df(out)
+        nw, n, ne, w, _, e, sw, s, se = (V(f"{band}_{k}") for k in NEAR)
+        gx = (ne + 2 * e + se) - (nw + 2 * w + sw)
+        gy = (sw + 2 * s + se) - (nw + 2 * n + ne)
+        out[band] = _cut(F.sqrt((gx * gx + gy * gy).cast("double")) * strength)
+    return raster.with_df(neighbourhoods(raster)).select(**out)
 
 
 def mosaic(raster: Grid, block: float, mode: str = "average", anchor: str = "world") -> Grid:
@@ -508,24 +515,48 @@ def cell_hash(*parts: Column, salt: int = 0) -> Column:
     return h
 
 
-def noise(tiles: DataFrame, size: int, kind: str = "white", scale_px: float = 16.0, octaves: int = 1, gain: float = 0.5, lacunarity: float = 2.0, seed: int = 0, anchor: str = "world") -> Grid:
-    """white: a number per pixel; cell and worley: number and distance of the nearest of jittered cell points;
-    value: smooth between lattice numbers; perlin: between lattice slopes. Sums of octaves are scaled back to [0, 1]."""
+def noise(
+    tiles: DataFrame,
+    size: int,
+    kind: str = "white",
+    scale_px: float | tuple[float, float] = 16.0,
+    octaves: int = 1,
+    gain: float = 0.5,
+    lacunarity: float = 2.0,
+    seed: int = 0,
+    anchor: str = "world",
+    warp_amp: float = 0.0,
+    warp_freq: float = 1.0,
+) -> Grid:
+    """Raw noise within [-1, 1]; ``scale_px`` may differ along x and y.
+
+    white: a number per pixel; cell and worley: number and nearness (1 at it, -1 a cell away) of the nearest of jittered
+    cell points; value: smooth between lattice numbers; perlin and simplex: sums of slopes around the corners of squares and
+    triangles. Octaves are averaged by their amplitudes. ``warp_amp`` (in wavelengths) moves places by two other noises.
+    """
     rows = lattice(tiles, size, size)
     wx, wy = (V(p) + (V(w) * size if anchor == "world" else 0) for p, w in (("px", "x"), ("py", "y")))
     if kind == "white":
-        return Grid(rows.withColumn("v", cell_hash(wx, wy, salt=seed) / 2147483647), size, size)
+        return Grid(rows.withColumn("v", cell_hash(wx, wy, salt=seed) / 2147483647 * 2 - 1), size, size)
+    sx, sy = scale_px if isinstance(scale_px, tuple) else (scale_px, scale_px)
+    u, v = wx / sx, wy / sy
+    if warp_amp:
+        rows = rows.withColumns({"wu": _lattice_noise(kind, u * warp_freq, v * warp_freq, seed + 1000), "wv": _lattice_noise(kind, u * warp_freq, v * warp_freq, seed + 2000)})
+        u, v = u + warp_amp * V("wu"), v + warp_amp * V("wv")
+    rows = rows.withColumns({"u": u, "v": v})
     total, top, k, f = F.lit(0.0), 0.0, 1.0, 1.0
-    for o in range(octaves):
-        total = total + k * _lattice_noise(kind, wx * (f / scale_px), wy * (f / scale_px), seed + o)
+    for o in range(max(1, octaves)):
+        total = total + k * _lattice_noise(kind, V("u") * f, V("v") * f, seed + o)
         top, k, f = top + k, k * gain, f * lacunarity
-    return Grid(rows.withColumn("v", total / top), size, size)
+    return Grid(rows.select(*PIXEL, clamp(total / top, -1, 1).alias("v")), size, size)
 
 
 def _lattice_noise(kind: str, u: Column, v: Column, seed: int) -> Column:
+    if kind == "simplex":
+        return _simplex(u, v, seed)
     i, j = F.floor(u), F.floor(v)
     fx, fy = u - i, v - j
-    h = lambda dx, dy, s=0: cell_hash(i + dx + 1, j + dy + 1, salt=seed * 4 + s) / 2147483647
+    h = lambda dx, dy, s=0: _cell_number(i + dx, j + dy, seed * 4 + s)
     if kind in ("worley", "cell"):
         best = None
         for dx in (-1, 0, 1):
@@ -533,26 +564,46 @@ def _lattice_noise(kind: str, u: Column, v: Column, seed: int) -> Column:
                 ex, ey = dx + h(dx, dy, 1) - fx, dy + h(dx, dy, 2) - fy
                 here = F.struct(F.sqrt(ex * ex + ey * ey).alias("d"), h(dx, dy, 3).alias("n"))
                 best = here if best is None else F.least(best, here)
-        return F.least(best["d"], F.lit(1.0)) if kind == "worley" else best["n"]
+        return 1 - 2 * F.least(best["d"], F.lit(1.0)) if kind == "worley" else best["n"] * 2 - 1
     fade = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
     sx, sy = fade(fx), fade(fy)
     if kind == "value":
-        at = h
+        at = lambda dx, dy: h(dx, dy) * 2 - 1
     else:
-
-        def at(dx, dy):
-            turn = h(dx, dy) * (2 * math.pi)
-            return 0.5 + (F.cos(turn) * (fx - dx) + F.sin(turn) * (fy - dy)) / math.sqrt(2)
-
+        at = lambda dx, dy: _slope(h(dx, dy), fx - dx, fy - dy) * math.sqrt(2)
     low, high = (at(0, d) + (at(1, d) - at(0, d)) * sx for d in (0, 1))
     return low + (high - low) * sy
 
 
+def _cell_number(i: Column, j: Column, salt: int) -> Column:
+    """In [0, 1), of a cell anywhere on the plane."""
+    return cell_hash(F.pmod(i, F.lit(2147483647)), F.pmod(j, F.lit(2147483647)), salt=salt) / 2147483647
+
+
+def _slope(number: Column, dx: Column, dy: Column) -> Column:
+    turn = number * (2 * math.pi)
+    return F.cos(turn) * dx + F.sin(turn) * dy
+
+
+def _simplex(u: Column, v: Column, seed: int) -> Column:
+    """Slopes around the corners of the triangle a place lies in, each fading to nothing at the far side."""
+    skew, back = (math.sqrt(3) - 1) / 2, (3 - math.sqrt(3)) / 6
+    i, j = F.floor(u + (u + v) * skew), F.floor(v + (u + v) * skew)
+    x0, y0 = u - (i - (i + j) * back), v - (j - (i + j) * back)
+    first = F.when(x0 > y0, 1).otherwise(0)
+    total = F.lit(0.0)
+    for di, dj in ((F.lit(0), F.lit(0)), (first, 1 - first), (F.lit(1), F.lit(1))):
+        dx, dy = x0 - di + (di + dj) * back, y0 - dj + (di + dj) * back
+        fade = F.greatest(0.5 - dx * dx - dy * dy, F.lit(0.0))
+        total = total + F.pow(fade, F.lit(4)) * _slope(_cell_number(i + di, j + dj, seed * 4), dx, dy)
+    return total * 99.2  # brings the largest sum near 1
+
+
 def warp(source: Grid, scale_px: float, amp_x: float, amp_y: float | None = None, octaves: int = 1, gain: float = 0.5, lacunarity: float = 2.0, seed: int = 0, anchor: str = "world", boundary: str = "clamp") -> Grid:
     """Displaced by two smooth noises."""
     amp_y, tiles = amp_x if amp_y is None else amp_y, source.df.select(*TILE).distinct()
     by = [noise(tiles, source.width, "value", scale_px, octaves, gain, lacunarity, seed + 101 * k, anchor).df.withColumnRenamed("v", n) for k, n in enumerate(("nx", "ny"))]
-    at = by[0].join(by[1], list(PIXEL)).select(*PIXEL, (V("px") + (V("nx") - 0.5) * 2 * amp_x).alias("sx"), (V("py") + (V("ny") - 0.5) * 2 * amp_y).alias("sy"))
+    at = by[0].join(by[1], list(PIXEL)).select(*PIXEL, (V("px") + V("nx") * amp_x).alias("sx"), (V("py") + V("ny") * amp_y).alias("sy"))
     return source.with_df(_taps(source, at, boundary))
 
 

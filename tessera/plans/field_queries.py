@@ -45,10 +45,14 @@ def density_ramp(spark, d):
     return O.color_ramp(O.map_range(Grid(bins, 16, 16), 0, 200, 0, 1, clamped=True), STOPS, "step").df
 
 
-@query("density", f"""WITH {FP}, k AS (SELECT CAST(unnest(range(32)) AS INT) AS i), h AS (SELECT z, x, y, px.i AS px, py.i AS py, value, (pow(px.i + 0.5 - fx, 2) + pow(py.i + 0.5 - fy, 2)) / 9 AS d2
-FROM p JOIN k AS px ON abs(px.i + 0.5 - fx) < 3 JOIN k AS py ON abs(py.i + 0.5 - fy) < 3)
-SELECT {KEY}, CAST(round(sum(value * {1 / math.sqrt(2 * math.pi)!r} * exp(-4.5 * d2)) * 1000) AS BIGINT) AS v3 FROM h WHERE d2 < 1 GROUP BY {KEY}""", "lift_tiled")
+@query("density", f"""WITH {FP}, w AS (SELECT z, value, x * 32 + fx AS wx, y * 32 + fy AS wy FROM p),
+q AS (SELECT *, floor(wx) + i AS qx, floor(wy) + j AS qy FROM w, (SELECT unnest(range(-4, 5)) AS i) AS a, (SELECT unnest(range(-4, 5)) AS j) AS b),
+h AS (SELECT *, (pow(qx + 0.5 - wx, 2) + pow(qy + 0.5 - wy, 2)) / 9 AS d2 FROM q WHERE qy >= 0 AND qy < 512),
+k AS (SELECT *, CAST((CAST(qx AS BIGINT) + 512) % 512 AS INT) AS gx, CAST(qy AS INT) AS gy FROM h WHERE d2 < 1)
+SELECT z, CAST(floor(gx / 32.0) AS INT) AS x, CAST(floor(gy / 32.0) AS INT) AS y, gx % 32 AS px, gy % 32 AS py,
+CAST(round(sum(value * {1 / math.sqrt(2 * math.pi)!r} * exp(-4.5 * d2)) * 1000) AS BIGINT) AS v3 FROM k GROUP BY ALL""", "lift_tiled")
 def density(spark, d):
+    """Kernels reach into the tiles around."""
     out = O.density(_points(spark, d), 32, 3.0, weight=F.col("value"))
     return out.df.select("z", "x", "y", "px", "py", F.round(F.col("v") * 1000).cast("long").alias("v3"))
 
@@ -154,15 +158,29 @@ def dem_decode(spark, d):
     return v6(O.dem_decode(pixels(spark, d)).df)
 
 
+_SIDE = {"n": "px + (level - c) / (e - c), py", "e": "px + 1, py + (level - e) / (se - e)", "s": "px + (level - s) / (se - s), py + 1", "w": "px, py + (level - c) / (s - c)"}
+
+
+def _end(i: int, axis: int) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v.split(', ')[axis]}" for k, v in _SIDE.items())
+    return f"CASE substr(piece, {i}, 1) {cases} END"
+
+
+_ENDS = ", ".join(f"{_end(i, a)} AS {n}" for i, a, n in ((1, 0, "x0"), (1, 1, "y0"), (2, 0, "x1"), (2, 1, "y1")))
+#: Written from the rule: what is above the level is on a piece's left, going through the cell's corners nw, ne, se, sw.
+_CELLS = "(1, 0, 'sw'), (2, 0, 'es'), (3, 0, 'ew'), (4, 0, 'ne'), (6, 0, 'ns'), (7, 0, 'nw'), (8, 0, 'wn'), (9, 0, 'sn'), (11, 0, 'en'), (12, 0, 'we'), (13, 0, 'se'), (14, 0, 'ws')"
+_SADDLES = "(5, 0, 'ne'), (5, 1, 'sw'), (10, 0, 'wn'), (10, 1, 'es'), (105, 0, 'nw'), (105, 1, 'se'), (110, 0, 'en'), (110, 1, 'ws')"
+
+
 @query("contour_segments", f"""WITH {D}, {near('v')}, l AS (SELECT *, unnest([40.0, 80.0, 120.0]) AS level FROM nb WHERE px < 31 AND py < 31 AND c IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL),
-k AS (SELECT *, (CASE WHEN c > level THEN 1 ELSE 0 END) + (CASE WHEN e > level THEN 2 ELSE 0 END) + (CASE WHEN se > level THEN 4 ELSE 0 END) + (CASE WHEN s > level THEN 8 ELSE 0 END) AS cs FROM l)
-SELECT z, x, y, CAST(level AS INT) AS level, CAST(sum(CASE WHEN cs IN (5, 10) THEN 2 ELSE 1 END) AS BIGINT) AS segments,
-CAST(sum(CASE WHEN (c > level) <> (e > level) THEN CAST(round((px + (level - c) / (e - c)) * 1000) AS BIGINT) ELSE 0 END) AS BIGINT) AS top_ends FROM k WHERE cs NOT IN (0, 15) GROUP BY z, x, y, level""", "lift_field")
+k AS (SELECT *, (c > level)::INT * 8 + (e > level)::INT * 4 + (se > level)::INT * 2 + (s > level)::INT AS corners, (c + e + s + se) / 4 > level AS middle FROM l),
+m AS (SELECT *, corners + CASE WHEN corners IN (5, 10) AND middle THEN 100 ELSE 0 END AS cs FROM k),
+p AS (SELECT m.*, part, {_ENDS} FROM m JOIN (VALUES {_CELLS}, {_SADDLES}) AS t(cs, part, piece) USING (cs))
+SELECT {KEY}, CAST(level AS INT) AS level, part, {', '.join(f"CAST(round({c} * 1000) AS BIGINT) AS {c}" for c in ("x0", "y0", "x1", "y1"))} FROM p WHERE x0 <> x1 OR y0 <> y1""", "lift_field")
 def contour_segments(spark, d):
     s = O.contour_segments(field(spark, d), [40.0, 80.0, 120.0])
-    on_top = lambda i: F.when(F.col(f"s{i}") == "n", F.round(F.col(f"x{i}") * 1000).cast("long")).otherwise(0)
-    top = on_top(0) + on_top(1)
-    return s.groupBy("z", "x", "y", F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("segments"), F.sum(top).alias("top_ends"))
+    ends = [F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    return s.select("z", "x", "y", "px", "py", F.col("level").cast("int").alias("level"), "part", *ends)
 
 
 @query("contour_lines")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import raster as O
 from ..operators.grid import BANDS, Grid
 from ..sources.lift import field, pixels
-from .registry import DENSE, KEY, V6, near, query, recolored, sql_byte, v6
+from .registry import DENSE, KEY, PRIME, V6, near, query, recolored, sql_byte, sql_draw, v6
 
 PX = "lift_pixels"
 D4 = DENSE.format(t=PX, cols="coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a")
@@ -178,12 +178,32 @@ _gen("gradient_radial", clip01(f"sqrt(pow(({_UX} - 0.5) / 1.5, 2) + pow({_UY} -
 _gen("gradient_diamond", clip01(f"(abs((x + {_UX}) / 8 - 0.5) + abs((y + {_UY}) / 8 - 0.5)) / 0.5"), lambda t: O.gradient(t, 32, "diamond", anchor="world"), True)
 _TURN = f"((atan2({_UY} - 0.5, {_UX} - 0.5) - {math.radians(30)!r}) / {2 * math.pi!r})"
 _gen("gradient_conic", f"{_TURN} - floor({_TURN})", lambda t: O.gradient(t, 32, "conic", start_angle_deg=30.0), True)
-_H1 = "((7 * 48271 + (px + x * 32) * 69621 + 12345) % 2147483647)"
-_H2 = f"(({_H1} * 16807 + CAST(floor({_H1} / 65536.0) AS BIGINT)) % 2147483647)"
-_H3 = f"(({_H2} * 48271 + (py + y * 32) * 69621 + 12345) % 2147483647)"
-_gen("noise_white", f"(({_H3} * 16807 + CAST(floor({_H3} / 65536.0) AS BIGINT)) % 2147483647) / CAST(2147483647 AS DOUBLE)".replace("(7 * 48271", "(CAST(7 AS BIGINT) * 48271"), lambda t: O.noise(t, 32, "white", seed=7), True)
+_gen("noise_white", f"{sql_draw('px + x * 32', 'py + y * 32', salt=7)} * 2 - 1", lambda t: O.noise(t, 32, "white", seed=7), True)
+
+
+def _noise_sql(kind: str) -> str:
+    """Two octaves of noise of 8 pixels with seed 3: the numbers of a place's cell and those around, folded by kind."""
+    around = "(-1), (0), (1)" if kind in ("worley", "cell") else "(0), (1)"
+    number = lambda s: sql_draw(f"((i + dx) % {PRIME} + {PRIME}) % {PRIME}", f"((j + dy) % {PRIME} + {PRIME}) % {PRIME}", salt=f"(3 + o) * 4 + {s}")
+    fade = lambda t: f"({t} * {t} * {t} * ({t} * ({t} * 6 - 15) + 10))"
+    share = " * ".join(f"CASE WHEN d{a} = 1 THEN {fade('f' + a)} ELSE 1 - {fade('f' + a)} END" for a in "xy")
+    d = f"sqrt(pow(dx + {number(1)} - fx, 2) + pow(dy + {number(2)} - fy, 2))"
+    slope = f"(cos({number(0)} * {2 * math.pi!r}) * (fx - dx) + sin({number(0)} * {2 * math.pi!r}) * (fy - dy)) * {math.sqrt(2)!r}"
+    fold = {
+        "value": f"sum({share} * ({number(0)} * 2 - 1))",
+        "perlin": f"sum({share} * {slope})",
+        "worley": f"1 - 2 * least(min({d}), 1)",
+        "cell": f"min_by({number(3)}, {d}) * 2 - 1",
+    }[kind]
+    return f"""WITH {_TILES}, u AS (SELECT *, (px + x * 32) / 8.0 * (o + 1) AS u, (py + y * 32) / 8.0 * (o + 1) AS v FROM lat, (VALUES (0), (1)) AS k(o)),
+f AS (SELECT *, CAST(floor(u) AS BIGINT) AS i, CAST(floor(v) AS BIGINT) AS j, u - floor(u) AS fx, v - floor(v) AS fy FROM u),
+n AS (SELECT {KEY}, o, {fold} AS n FROM f, (VALUES {around}) AS a(dx), (VALUES {around}) AS b(dy) GROUP BY {KEY}, o)
+SELECT {KEY}, CAST(round(least(greatest(sum(n * CASE WHEN o = 0 THEN 1 ELSE 0.5 END) / 1.5, -1), 1) * 1000000) AS BIGINT) AS v6 FROM n GROUP BY {KEY}"""
+
+
 for _k in ("value", "perlin", "worley", "cell"):
-    query(f"noise_{_k}")(lambda spark, d, k=_k: v6(O.noise(tiles(spark, d), 32, k, 8.0, octaves=2, seed=3).df))
+    query(f"noise_{_k}", _noise_sql(_k))(lambda spark, d, k=_k: v6(O.noise(tiles(spark, d), 32, k, 8.0, octaves=2, seed=3).df))
+query("noise_simplex")(lambda spark, d: v6(O.noise(tiles(spark, d), 32, "simplex", (8.0, 20.0), octaves=2, seed=3, warp_amp=0.2).df))
 
 
 def _image(spark, d) -> Grid:

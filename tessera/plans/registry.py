@@ -64,3 +64,20 @@ def recolored(f, alpha: str = "a / CAST(255 AS DOUBLE)", out_a: str = "a", table
     """SELECT that maps straight r, g, b (names sr, sg, sb) through ``f`` and premultiplies again."""
     cols = ", ".join(f"CASE WHEN a > 0 THEN {sql_byte(f'({f(c)}) * ({alpha})')} ELSE 0 END AS {c}" for c in "rgb")
     return f"SELECT {KEY}, {cols}, {out_a} AS a FROM (SELECT *, {S_R} AS sr, {S_G} AS sg, {S_B} AS sb FROM {table}) AS s"
+
+
+PRIME = 2147483647
+
+
+def sql_hash(*parts: str, salt: str | int = 0) -> str:
+    """SQL of ``raster.cell_hash``."""
+    h = f"CAST(({salt}) % {PRIME} AS BIGINT)"
+    for p in parts:
+        h = f"(({h} * 48271 + CAST({p} AS BIGINT) % {PRIME} * 69621 + 12345) % {PRIME})"
+        h = f"(({h} * 16807 + CAST(floor({h} / CAST(65536 AS DOUBLE)) AS BIGINT)) % {PRIME})"
+    return h
+
+
+def sql_draw(*parts: str, salt: str | int = 0) -> str:
+    """The hash as a share of 1."""
+    return f"({sql_hash(*parts, salt=salt)} / CAST({PRIME} AS DOUBLE))"

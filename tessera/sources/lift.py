@@ -19,20 +19,24 @@ SQL = {
     "lift_line_vertices": """SELECT user_id AS feature_ix, 2 AS z, CAST(user_id % 4 AS INT) AS x, CAST(floor(user_id / CAST(4 AS DOUBLE)) AS INT) % 4 AS y,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS i,
   (event_id * 7919 + user_id * 31) % 4096 AS vx, (event_id * 104729 + user_id * 17) % 4096 AS vy FROM events""",
-    "lift_field": """SELECT 2 AS z, CAST(l_suppkey % 4 AS INT) AS x, CAST(l_suppkey % 2 AS INT) AS y, CAST(l_orderkey % 32 AS INT) AS px, CAST(l_partkey % 32 AS INT) AS py,
+    "lift_field": """SELECT 12 AS z, CAST(floor(l_orderkey / CAST(512 AS DOUBLE)) AS INT) % 64 AS x, CAST(floor(l_orderkey / CAST(32768 AS DOUBLE)) AS INT) AS y, CAST(l_orderkey % 32 AS INT) AS px, CAST(l_partkey % 32 AS INT) AS py,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3, 4, 5""",
     "lift_pixels": """SELECT z, x, y, px, py, CAST(floor(r * a / CAST(255 AS DOUBLE)) AS INT) AS r, CAST(floor(g * a / CAST(255 AS DOUBLE)) AS INT) AS g, CAST(floor(b * a / CAST(255 AS DOUBLE)) AS INT) AS b, a FROM (
-  SELECT 2 AS z, CAST(l_suppkey % 4 AS INT) AS x, CAST(l_suppkey % 2 AS INT) AS y, CAST(l_orderkey % 32 AS INT) AS px, CAST(l_partkey % 32 AS INT) AS py,
+  SELECT 12 AS z, CAST(floor(l_orderkey / CAST(512 AS DOUBLE)) AS INT) % 64 AS x, CAST(floor(l_orderkey / CAST(32768 AS DOUBLE)) AS INT) AS y, CAST(l_orderkey % 32 AS INT) AS px, CAST(l_partkey % 32 AS INT) AS py,
   CAST(sum(l_orderkey * 37) % 256 AS INT) AS r, CAST(sum(l_partkey * 53) % 256 AS INT) AS g, CAST(sum(l_orderkey * 11 + l_partkey) % 256 AS INT) AS b, CAST(255 - sum(l_linenumber) % 3 * 100 AS INT) AS a
   FROM lineitem GROUP BY 1, 2, 3, 4, 5) AS raw""",
     "lift_overlay": """SELECT z, x, y, px, py, CAST(floor(r * a / CAST(255 AS DOUBLE)) AS INT) AS r, CAST(floor(g * a / CAST(255 AS DOUBLE)) AS INT) AS g, CAST(floor(b * a / CAST(255 AS DOUBLE)) AS INT) AS b, a FROM (
-  SELECT 2 AS z, CAST(o_custkey % 4 AS INT) AS x, CAST(o_custkey % 2 AS INT) AS y, CAST(o_orderkey % 32 AS INT) AS px, CAST(floor(o_orderkey / CAST(32 AS DOUBLE)) AS INT) % 32 AS py,
+  SELECT 12 AS z, CAST(floor(o_orderkey / CAST(512 AS DOUBLE)) AS INT) % 64 AS x, CAST(floor(o_orderkey / CAST(32768 AS DOUBLE)) AS INT) AS y, CAST(o_orderkey % 32 AS INT) AS px, CAST(floor(o_orderkey / CAST(32 AS DOUBLE)) AS INT) % 32 AS py,
   CAST(sum(o_custkey * 41) % 256 AS INT) AS r, CAST(sum(o_orderkey * 13) % 256 AS INT) AS g, CAST(sum(o_custkey * 7 + o_orderkey) % 256 AS INT) AS b, CAST(255 - count(*) % 4 * 60 AS INT) AS a
   FROM orders GROUP BY 1, 2, 3, 4, 5) AS raw""",
+    "lift_seeds": """SELECT c_custkey AS seed_ix, 4 AS z, CAST(floor(gx) AS INT) AS x, CAST(floor(gy) AS INT) AS y,
+  CAST(floor((gx - floor(gx)) * 4096) AS BIGINT) AS sx, CAST(floor((gy - floor(gy)) * 4096) AS BIGINT) AS sy
+  FROM (SELECT c_custkey, (c_custkey * 7919) % 36000 / CAST(2250 AS DOUBLE) AS gx, 3 + (c_custkey * 15485) % 10000 / CAST(1000 AS DOUBLE) AS gy FROM customer) AS g""",
     "lift_candidates": """SELECT p_partkey AS cand_ix, p_name AS text, p_size AS sort_key, 2 AS z, CAST(p_partkey % 4 AS INT) AS x, CAST(p_size % 4 AS INT) AS y, (p_partkey * 7919) % 4096 AS wax, (p_partkey * 104729) % 4096 AS way,
   4 * length(p_name) AS half_w, 8 AS half_h FROM part""",
 }
-READS = {"lift_points": "events", "lift_tiled": "events", "lift_rects": "orders", "lift_line_vertices": "events", "lift_field": "lineitem", "lift_pixels": "lineitem", "lift_overlay": "orders", "lift_candidates": "part"}
+#: Fields and rasters have a tile for each 512 orders, so that the number of tiles grows with the tables.
+READS = {"lift_points": "events", "lift_tiled": "events", "lift_rects": "orders", "lift_line_vertices": "events", "lift_field": "lineitem", "lift_pixels": "lineitem", "lift_overlay": "orders", "lift_candidates": "part", "lift_seeds": "customer"}
 SIZE = 32
 
 
