@@ -293,7 +293,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     counts = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     main = main.select("family", "main", F.ceil((F.col("all") - F.col("most")) / block_rows).cast("int").alias("lefts"), F.ceil(F.col("all") / block_rows).cast("int").alias("rights"))
-    mixed = members.join(main, "family").join(sigs, "id").join(sets, "id")
+    main = cut_lineage(main)
+    few = main.limit(SEND_IDS + 1).count() <= SEND_IDS
+    mixed = members.join(F.broadcast(main) if few else main, "family").join(sigs, "id").join(sets, "id")
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = ("id", "comp", "n", "sig", "grams")
