@@ -186,7 +186,7 @@ def _collated(text: Column, options: dict) -> Column:
     """Text as a collator compares it: with or without regard to case and accents."""
     suffix = "" if options.get("case-sensitive") else "_CI"
     suffix += "" if options.get("diacritic-sensitive") else "_AI"
-    return F.collate(text, F.lit(f"UNICODE{suffix}"))
+    return F.collate(text, f"UNICODE{suffix}")
 
 
 def _type_of(c: Column) -> Column:
