@@ -11,6 +11,8 @@ characters, for every language alike.
 
 Defined results: null text or text without a letter is ``und`` with score 0. Ties go to the first language by code
 point. Without any labelled text everything is ``und``. Letters that occur in no sample end a phrase in all languages.
+Texts may be of any length and are read whole. Rows are judged each on their own, so repeated rows get equal results; an
+empty table gives an empty one. Of rows that share a doc_id all or none are held out.
 """
 
 from __future__ import annotations
@@ -138,38 +140,39 @@ class Model:
     def encode(self, text: str) -> np.ndarray:
         return self.lut()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text's parse per language, and whether it has a letter."""
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each text's parse per language, its number of letters, and of those that occur in any sample."""
         sizes = np.array([len(t) for t in texts])
         flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(sizes)
-        count = np.concatenate([[0], np.cumsum(_letters()[flat])])
-        lettered = count[ends] > count[ends - sizes]
+        symbols = self.lut()[flat]
+        of_texts = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[np.concatenate([[0], ends])])
+        letters, known = of_texts(_letters()[flat]), of_texts(symbols > BLANK)
         segments = np.maximum(1, -(-sizes // SEGMENT))
         first = np.concatenate([[0], np.cumsum(segments)])
         grid = np.zeros((first[-1], SEGMENT), np.int32)
         row = np.repeat(first[:-1], sizes) + (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)) // SEGMENT
         column = (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)) % SEGMENT
-        grid[row, column] = self.lut()[flat]
+        grid[row, column] = symbols
         steps = np.ascontiguousarray(grid.T)
         costs = np.zeros((len(texts), len(self.languages)))
         for i, automaton in enumerate(self.automata):
             costs[:, i] = (np.add.reduceat(automaton.phrases(steps), first[:-1]) + segments) * automaton.bits
-        return costs, lettered
+        return costs, letters, known
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score): the score is the winner's share when languages weigh 2^-(bits per character)."""
-        out = [(UND, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, known): the winner's share when languages weigh 2^-(bits per character), the share of known letters."""
+        out = [(UND, 0.0, 0.0)] * len(texts)
         some = [i for i, t in enumerate(texts) if t]
         if not some or not self.languages:
             return out
-        costs, lettered = self.costs([texts[i] for i in some])
+        costs, letters, known = self.costs([texts[i] for i in some])
         best = costs.argmin(1)
         rate = costs / np.array([len(texts[i]) for i in some])[:, None]
         share = 1 / np.exp2(rate.min(1)[:, None] - rate).sum(1)
-        for i, b, s, ok in zip(some, best.tolist(), share.tolist(), lettered):
-            if ok:
-                out[i] = (self.languages[b], float(s))
+        for i, b, s, n, k in zip(some, best.tolist(), share.tolist(), letters.tolist(), known.tolist()):
+            if n:
+                out[i] = (self.languages[b], float(s), k / n)
         return out
 
 
@@ -200,10 +203,10 @@ def fit(docs: DataFrame, chars: int = 24_000, rows: int = 120, row_chars: int =
 
 
 def identify(docs: DataFrame, model: Model, as_column: str = "language") -> DataFrame:
-    """``docs`` with a struct column (lang, score) of the prediction from its text."""
+    """``docs`` with a struct column (lang, score, known) of the prediction from its text; one of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, known double")
     def predict(texts):
         import pandas as pd
 
@@ -215,21 +218,23 @@ def identify(docs: DataFrame, model: Model, as_column: str = "language") -> Data
                 end += 1
             out += shared.value.predict(texts[at:end])
             at = end
-        return pd.DataFrame(out, columns=["lang", "score"])
+        return pd.DataFrame(out, columns=["lang", "score", "known"])
 
     return docs.withColumn(as_column, predict(F.col("text")))
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are in no language: no text, or no letter in it.
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without those that are in no learned language: no text, no letter, or fewer than ``least`` of its letters known.
 
-    Where no language could be learned, a letter is looked for in the text itself.
+    Known are letters that occur in any language's sample: what is written in another script is in none of them. Where no
+    language could be learned, a letter is looked for in the text itself.
     """
     model = fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     name = free(docs, "__language")
-    return identify(docs, model, name).where(F.col(f"{name}.lang") != UND).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = identify(docs, model, name).where((F.col(f"{name}.lang") != UND) & (F.col(f"{name}.known") >= least))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

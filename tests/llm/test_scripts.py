@@ -19,4 +19,4 @@ def test_many_scripts():
     texts |= {"greek2": _words(0x3B1, 0x3CA, 100), "han2": _words(0x4E00, 0x5400, 101)}
     model = lang_id.Model({k: "\n".join(v[:-5]) for k, v in texts.items()})
     for k, v in texts.items():
-        assert [lang for lang, _ in model.predict(v[-5:])] == [k] * 5
+        assert [lang for lang, *_ in model.predict(v[-5:])] == [k] * 5
