@@ -1,4 +1,9 @@
-"""A corpus pipeline: language ID, line dedup, near-dedup, mixing and packing, each an operator of ``tessera.llm``."""
+"""A corpus pipeline: language ID, line dedup, near-dedup, mixing and packing, each an operator of ``tessera.llm``.
+
+All stages but the last return the columns of ``documents`` as they came, whatever further ones there are. Each takes nulls
+in any column, empty and very long texts, ties, repeated rows and an empty table; what comes of them is said below and in
+the operators.
+"""
 
 from __future__ import annotations
 
@@ -8,25 +13,39 @@ from tessera.llm import lang_id, line_dedup, minhash, mixing, packing
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go; so does nothing else."""
+    """Documents in no language go: without text or letters, or mostly in letters that no learned language has.
+
+    Where no language could be learned, those without letters go. Repeated rows stay or go together.
+    """
     return lang_id.keep_known(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 characters that at least 5 documents hold stay in the largest of these only.
+
+    Every document stays, if without text; null text stays null. Rows that share a doc_id count as one document.
+    """
     return line_dedup.dedup_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group stays, that of the least doc_id: shingles of five words, similarity of 0.8 or more.
+
+    Documents without text are copies of nothing and stay, as do rows without a doc_id.
+    """
     return minhash.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them."""
+    """Documents come as often as the mix takes them, 0 to 2 times; one in which a budget ends counts as whole.
+
+    Documents without words are never taken; a null source is one of its own. Ties of keys go by doc_id, so reruns agree.
+    """
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in sequences of 2048 tokens; null text is one closing token, repeated rows are packed each."""
     return packing.pack(docs)
 
 

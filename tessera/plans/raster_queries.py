@@ -86,7 +86,12 @@ _BIAS = "(([" + ", ".join(str(v) for row in O.BAYER for v in row) + "][(py % 4)
 _op("dither_ordered", _nearest_sql("SELECT *, " + ", ".join(f"{clip01(f'{c} / CAST(a AS DOUBLE) + {_BIAS}')} AS q_{c}" for c in "rgb") + " FROM lift_pixels WHERE a > 0"), lambda p: O.dither(p, PALETTE, amount=0.8))
 query("quantize_lab")(lambda spark, d: O.quantize(pixels(spark, d), PALETTE).df)
 query("dither_diffusion")(lambda spark, d: O.dither(pixels(spark, d), PALETTE, "floyd-steinberg").df)
-query("raster_adjust")(lambda spark, d: O.adjust(pixels(spark, d), 0.8, 30.0, 0.2, 0.1, 0.1, 0.9).df)
+_COS, _SIN = math.cos(math.radians(30)), math.sin(math.radians(30))
+_TURN3 = [(2 * _COS + 1) / 3, (-math.sqrt(3) * _SIN - _COS + 1) / 3, (math.sqrt(3) * _SIN - _COS + 1) / 3]
+_HUED = [" + ".join(f"s{c} * {_TURN3[(j - i) % 3]!r}" for j, c in enumerate("rgb")) for i in range(3)]
+_MEAN = "(" + " + ".join(f"({h})" for h in _HUED) + ") / 3"
+_ADJUSTED = {c: clip01(f"0.1 + 0.8 * (((({h}) + ({_MEAN} - ({h})) * {1 - 1 / (1.001 - 0.2)!r}) - 0.5) * {1 / 0.9!r} + 0.5)") for c, h in zip("rgb", _HUED)}
+_op("raster_adjust", recolored(lambda c: _ADJUSTED[c], "a / CAST(255 AS DOUBLE) * 0.8", f"CASE WHEN a > 0 THEN {sql_byte('a / CAST(255 AS DOUBLE) * 0.8')} ELSE 0 END"), lambda p: O.adjust(p, 0.8, 30.0, 0.2, 0.1, 0.1, 0.9))
 
 # Two rasters
 _PAIR = """j AS (SELECT coalesce(p.z, o.z) AS z, coalesce(p.x, o.x) AS x, coalesce(p.y, o.y) AS y, coalesce(p.px, o.px) AS px, coalesce(p.py, o.py) AS py, """ + ", ".join(f"coalesce(p.{c}, 0) AS b_{c}, coalesce(o.{c}, 0) AS s_{c}" for c in BANDS) + """ FROM lift_pixels AS p FULL JOIN lift_overlay AS o ON p.z = o.z AND p.x = o.x AND p.y = o.y AND p.px = o.px AND p.py = o.py)"""
@@ -137,7 +142,12 @@ query("dilate_field", f"WITH {_DF} SELECT {KEY}, {V6} FROM (SELECT c.z, c.x, c.y
 _W = [math.exp(-(i * i) / (2 * 0.8**2)) for i in range(4)]
 _KX = lambda axis, other: f"""SELECT z, x, y, px, py, sum(CASE WHEN v IS NOT NULL THEN w * v END) / nullif(sum(CASE WHEN v IS NOT NULL THEN w ELSE 0 END), 0) AS v FROM (SELECT c.z, c.x, c.y, c.px, c.py, k.w, n.v FROM {{t}} AS c CROSS JOIN kern AS k JOIN {{t}} AS n ON n.z = c.z AND n.x = c.x AND n.y = c.y AND n.{other} = c.{other} AND n.{axis} = least(greatest(c.{axis} + k.i, 0), 31)) AS q GROUP BY z, x, y, px, py"""
 query("blur_field", f"""WITH {_DF}, kern AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_W[abs(i)]!r})' for i in range(-3, 4))}) AS k(i, w)), h AS ({_KX('px', 'py').format(t='d')}), b2 AS ({_KX('py', 'px').format(t='h')}) SELECT {KEY}, {V6} FROM b2""", "lift_field")(lambda spark, d: v6(O.blur(field(spark, d), 0.8).df))
-query("blur_raster")(lambda spark, d: O.blur(pixels(spark, d), 0.8).df)
+_KERN = ", ".join(f"({i}, {_W[abs(i)] / (_W[0] + 2 * sum(_W[1:]))!r})" for i in range(-3, 4))
+_op("blur_raster", f"""WITH {D4}, kern AS (SELECT i, CAST(w AS DOUBLE) AS w FROM (VALUES {_KERN}) AS k(i, w)),
+h AS (SELECT c.z, c.x, c.y, c.px, c.py, {', '.join(f'sum(w * n.{b}) AS {b}' for b in BANDS)} FROM d AS c CROSS JOIN kern
+  JOIN d AS n ON n.z = c.z AND n.x = c.x AND n.y = c.y AND n.py = c.py AND n.px = least(greatest(c.px + i, 0), 31) GROUP BY ALL)
+SELECT c.z, c.x, c.y, c.px, c.py, {', '.join(f'CAST(round(round(sum(w * n.{b}), 9)) AS INT) AS {b}' for b in BANDS)} FROM h AS c CROSS JOIN kern
+  JOIN h AS n ON n.z = c.z AND n.x = c.x AND n.y = c.y AND n.px = c.px AND n.py = least(greatest(c.py + i, 0), 31) GROUP BY ALL""", lambda p: O.blur(p, 0.8))
 
 
 def _near4(b: str) -> str:
