@@ -127,8 +127,8 @@ g AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w + 360) - t AS gap
 k AS (SELECT z, x, y, vx, vy, arms, min(t0) AS t0, min(gap) AS least_gap, max_by(t + gap / 2, gap - t / 100000000) AS middle, any_value(c) AS c, any_value(sn) AS sn,
 min(abs((t - degrees(atan2(sn, c)) + 540) % 360 - 180)) AS near FROM g JOIN a USING (z, x, y, vx, vy) GROUP BY z, x, y, vx, vy, arms),
 o AS (SELECT *, CASE WHEN arms = 1 OR c * c + sn * sn < 0.000001 THEN t0 + 90 WHEN near < 20 OR least_gap < 40 THEN middle ELSE degrees(atan2(sn, c)) END AS axis FROM k)
-SELECT z, x, y, CAST(vx AS BIGINT) AS vx, CAST(vy AS BIGINT) AS vy, arms, CAST(round((axis - 180 * floor(axis / 180)) * 100) AS BIGINT) % 18000 AS axis2 FROM o""", LV)(
-    lambda spark, d: O.junctions(lines(spark, d)).select("z", "x", "y", F.col("vx").cast("long").alias("vx"), F.col("vy").cast("long").alias("vy"), "arms", (F.round(F.col("axis_deg") * 100).cast("long") % 18000).alias("axis2")))
+SELECT z, x, y, CAST(vx AS BIGINT) AS vx, CAST(vy AS BIGINT) AS vy, arms, CAST(round((axis - 180 * floor(axis / 180)) * 10000) AS BIGINT) % 1800000 AS axis4 FROM o""", LV)(
+    lambda spark, d: O.junctions(lines(spark, d)).select("z", "x", "y", F.col("vx").cast("long").alias("vx"), F.col("vy").cast("long").alias("vy"), "arms", (F.round(F.col("axis_deg") * 10000).cast("long") % 1800000).alias("axis4")))
 query("junctions_snapped")(lambda spark, d: O.junctions(lines(spark, d), snap=40.0))
 _CORNER = "CASE WHEN i IN (0, 3) THEN {0} ELSE {1} END AS vx, CASE WHEN i IN (0, 1) THEN {2} ELSE {3} END AS vy"
 _FOUR = "(VALUES (0), (1), (2), (3)) AS k4(i)"

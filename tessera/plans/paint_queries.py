@@ -40,17 +40,17 @@ cover AS (SELECT {FK}, px, CAST({_RANGE('y0 / 64.0', 'y1 / 64.0')} AS INT) AS py
 
 _NEAR = "sqrt(pow(px + 0.5 - (ax + (bx - ax) * t), 2) + pow(py + 0.5 - (ay + (by_ - ay) * t), 2))"
 query("stroke", painted(f"""WITH {SEG}, f AS (SELECT {FK}, ax / 64.0 AS ax, ay / 64.0 AS ay, bx / 64.0 AS bx, by_ / 64.0 AS by_ FROM g WHERE l > 0),
-c AS (SELECT *, {_RANGE('least(ax, bx) - 0.75', 'greatest(ax, bx) + 0.75')} AS px FROM f), p AS (SELECT *, {_RANGE('least(ay, by_) - 0.75', 'greatest(ay, by_) + 0.75')} AS py FROM c),
+c AS (SELECT *, {_RANGE('least(ax, bx) - 0.735', 'greatest(ax, bx) + 0.735')} AS px FROM f), p AS (SELECT *, {_RANGE('least(ay, by_) - 0.735', 'greatest(ay, by_) + 0.735')} AS py FROM c),
 n AS (SELECT *, least(greatest(((px + 0.5 - ax) * (bx - ax) + (py + 0.5 - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)), 0), 1) AS t FROM p),
-cover AS (SELECT DISTINCT {FK}, CAST(px AS INT) AS px, CAST(py AS INT) AS py, {INK} FROM n WHERE {_NEAR} < 0.75)"""), LV)(
-    lambda spark, d: O.stroke(lines(spark, d), SIZE, _ink(), 1.5, cap="round", join="round").df)
+cover AS (SELECT DISTINCT {FK}, CAST(px AS INT) AS px, CAST(py AS INT) AS py, {INK} FROM n WHERE {_NEAR} < 0.735)"""), LV)(
+    lambda spark, d: O.stroke(lines(spark, d), SIZE, _ink(), 1.47, cap="round", join="round").df)
 query("stroke_mitred")(lambda spark, d: O.stroke(lines(spark, d), SIZE, _ink(), 3.0, cap="square", join="miter", dash_px=(6.0, 3.0)).df)
 
 _DISK = "pow(px + 0.5 - vx / 64.0, 2) + pow(py + 0.5 - vy / 64.0, 2)"
-query("circles", painted(f"""WITH p AS {_SEGTO}, c AS (SELECT *, {_RANGE('vx / 64.0 - 3', 'vx / 64.0 + 3')} AS px FROM p), d AS (SELECT *, {_RANGE('vy / 64.0 - 3', 'vy / 64.0 + 3')} AS py FROM c),
-i AS (SELECT *, {INK} FROM d WHERE {_DISK} < 9),
-cover AS (SELECT {FK}, CAST(px AS INT) AS px, CAST(py AS INT) AS py, {', '.join(f"CASE WHEN {_DISK} >= 4 THEN {v} ELSE {c} END AS {c}" for c, v in (('r', '1.0'), ('g', '1.0'), ('b', '1.0'), ('a', '0.75')))} FROM i)"""), "lift_tiled")(
-    lambda spark, d: O.circles(_dots(spark, d), SIZE, 2.0, _ink(), stroke_width=1.0, stroke_color="#ffffff", stroke_opacity=0.75).df)
+query("circles", painted(f"""WITH p AS {_SEGTO}, c AS (SELECT *, {_RANGE('vx / 64.0 - 3.07', 'vx / 64.0 + 3.07')} AS px FROM p), d AS (SELECT *, {_RANGE('vy / 64.0 - 3.07', 'vy / 64.0 + 3.07')} AS py FROM c),
+i AS (SELECT *, {INK} FROM d WHERE {_DISK} < 9.4249),
+cover AS (SELECT {FK}, CAST(px AS INT) AS px, CAST(py AS INT) AS py, {', '.join(f"CASE WHEN {_DISK} >= 4.1209 THEN {v} ELSE {c} END AS {c}" for c, v in (('r', '1.0'), ('g', '1.0'), ('b', '1.0'), ('a', '0.75')))} FROM i)"""), "lift_tiled")(
+    lambda spark, d: O.circles(_dots(spark, d), SIZE, 2.03, _ink(), stroke_width=1.04, stroke_color="#ffffff", stroke_opacity=0.75).df)
 
 
 def _dots(spark, d):
