@@ -141,8 +141,8 @@ def dedup_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
-    ``cells``: a quarter of the root of the number of vectors in each table, at most 4096. Each vector has ``tables`` times
-    ``probes`` copies at every size. Of pairs at a cosine of 0.95 among random vectors of 64 dimensions, those that no table
+    ``cells`` of each table: one for 500 vectors up to 4096 and from then on a quarter of the root of their number; the sample
+    on the driver has ``sample_rows`` vectors, or 4 a cell. Each vector has ``tables`` times ``probes`` copies at every size. Of pairs at a cosine of 0.95 among random vectors of 64 dimensions, those that no table
     shows to each other are 1 in 10,000 with 64 cells a table, 1 in 1,400 with 256 and 1 in 550 with 1024, and fewer of more
     similar pairs; more ``tables`` or ``probes`` find more. Vectors of one group are mostly found by way of others, too.
     """
@@ -153,14 +153,14 @@ def dedup_vectors(
     count = every.count()
     keys = ["c1", "c2"]
     if count:
-        fit = sample(every, count, sample_rows)
-        many = cells or max(1, min(4096, round(math.sqrt(count) / 4)))
+        many = cells or max(1, min(4096, count // 500), round(math.sqrt(count) / 4))
+        fit = sample(every, count, max(sample_rows, 4 * many))
         centers = [spherical_kmeans(fit, many, seed=3 + t) for t in range(tables if many > 1 else 1)]
         shown, at = _shown(every, centers, probes, kind), ["tab", "cell"]
         held = shown.groupBy(*at).agg(F.count_if("home").alias("own"), F.count(F.lit(1)).alias("all")).collect()
         sizes = [(r.tab, r.cell, math.ceil(max(r.own, 1) / block_rows), math.ceil(r["all"] / block_rows)) for r in held]
         size = vectors.sparkSession.createDataFrame(sizes, "tab int, cell int, lefts int, rights int")
-        shown = shown.join(F.broadcast(size), at)  # one row per centroid: at most 4096 a table
+        shown = shown.join(F.broadcast(size), at)  # one row per centroid
         deal = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
         every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = shown.where("home").withColumn("i", deal("lefts", 1)).withColumn("j", every_of("rights"))
