@@ -99,20 +99,6 @@ def color_ramp(source: Grid, stops: list[tuple[float, str]], interpolation: str
     return known.with_df(known.df.select(*PIXEL, *color.premultiplied([r, g, b], alpha), to_byte(alpha).alias("a")))
 
 
-def lut(stops: list[tuple[float, str]], size: int = 256) -> list[tuple[int, int, int, int, int]]:
-    """(index, r, g, b, a) at ``size`` even steps from 0 to 1: a ramp baked when the plan is built."""
-    stops = [(s, color.parse(c)) for s, c in sorted(stops)]
-    out = []
-    for i in range(size):
-        v = i / (size - 1)
-        low = max([k for k, (s, _) in enumerate(stops) if s <= v], default=0)
-        high = min(low + 1, len(stops) - 1)
-        (s0, c0), (s1, c1) = stops[low], stops[high]
-        t = min(max((v - s0) / (s1 - s0), 0), 1) if s1 > s0 else 0
-        out.append((i, *[math.floor((a + (b - a) * t) * 255 + 0.5) for a, b in zip(c0, c1)]))
-    return out
-
-
 def gradient(field: Grid) -> DataFrame:
     """The dense field with gx and gy, the 3 x 3 weighted slopes; a missing neighbour counts as the centre."""
     n = neighbourhood(field)
