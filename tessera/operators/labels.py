@@ -32,32 +32,50 @@ def identical_once(candidates: DataFrame) -> DataFrame:
 
 
 def label_placement(candidates: DataFrame, dedupe_distance: float = 0.0) -> DataFrame:
-    """(tile, layer_ix, cand_ix, placed, drop_reason): greedy in placement order, tile by tile.
+    """(tile, layer_ix, cand_ix, placed, variant, drop_reason): greedy in placement order, tile by tile.
 
     Each decision depends on all before it, so a tile's candidates are placed by one task; tiles are independent. With a
-    ``dedupe_distance`` a text is not placed again within that distance of itself.
+    ``dedupe_distance`` a text is not placed again within that distance of itself. Columns that candidates may have:
+
+    * ``variants`` array<struct<dx, dy>>: shifts of the box to try in turn; the first that fits is taken.
+    * ``overlap``: never (as where it is null); always placed; cooperative, which collides only with labels that never overlap.
+    * ``ignored`` boolean: what is placed stands in nobody's way.
     """
     import pandas as pd
 
+    extra = {"variants": "array<struct<dx:double,dy:double>>", "overlap": "string", "ignored": "boolean"}
+
     def place(key, pdf):
         pdf = pdf.sort_values(["layer_ix", "sort_key", "cand_ix"], ascending=[False, True, True], kind="stable")
         cells, by_text, rows = {}, {}, []
         size = max(1.0, float(2 * max(pdf.half_w.max(), pdf.half_h.max())))
+
+        def collides(r, cx, cy) -> bool:
+            near = (b for i in (-1, 0, 1) for j in (-1, 0, 1) for b in cells.get((int(cx // size) + i, int(cy // size) + j), ()))
+            met = (mode for x, y, w, h, mode in near if abs(cx - x) < r.half_w + w and abs(cy - y) < r.half_h + h)
+            return any(mode == "never" for mode in met) if r.overlap == "cooperative" else any(True for _ in met)
+
         for r in pdf.itertuples():
-            near = [b for i in (-1, 0, 1) for j in (-1, 0, 1) for b in cells.get((int(r.wax // size) + i, int(r.way // size) + j), ())]
-            reason = None
-            if any(abs(r.wax - x) < r.half_w + w and abs(r.way - y) < r.half_h + h for x, y, w, h in near):
-                reason = "collision"
-            elif dedupe_distance > 0 and any((r.wax - x) ** 2 + (r.way - y) ** 2 < dedupe_distance**2 for x, y in by_text.get(r.text, ())):
-                reason = "duplicate"
-            else:
-                cells.setdefault((int(r.wax // size), int(r.way // size)), []).append((r.wax, r.way, r.half_w, r.half_h))
+            shifts = [(0.0, 0.0)] if r.variants is None or not len(r.variants) else [(v["dx"], v["dy"]) for v in r.variants]
+            fits = [k for k, (dx, dy) in enumerate(shifts) if r.overlap == "always" or not collides(r, r.wax + dx, r.way + dy)]
+            chosen, reason = (fits[0], None) if fits else (None, "collision")
+            if fits and dedupe_distance > 0 and any((r.wax - x) ** 2 + (r.way - y) ** 2 < dedupe_distance**2 for x, y in by_text.get(r.text, ())):
+                chosen, reason = None, "duplicate"
+            if reason is None:
+                x, y = r.wax + shifts[chosen][0], r.way + shifts[chosen][1]
+                if not r.ignored:
+                    cells.setdefault((int(x // size), int(y // size)), []).append((x, y, r.half_w, r.half_h, r.overlap or "never"))
                 by_text.setdefault(r.text, []).append((r.wax, r.way))
-            rows.append((*key, r.layer_ix, r.cand_ix, reason is None, reason))
-        return pd.DataFrame(rows, columns=[*TILE, "layer_ix", "cand_ix", "placed", "drop_reason"])
+            rows.append((*key, r.layer_ix, r.cand_ix, reason is None, chosen, reason))
+        out = pd.DataFrame(rows, columns=[*TILE, "layer_ix", "cand_ix", "placed", "variant", "drop_reason"])
+        return out.astype({"variant": "Int32"})
 
     columns = [*TILE, "layer_ix", "cand_ix", "sort_key", "text", "wax", "way", "half_w", "half_h"]
-    return candidates.select(*columns).groupBy(*TILE).applyInPandas(place, "z int, x int, y int, layer_ix int, cand_ix long, placed boolean, drop_reason string")
+    full = candidates.select(*columns, *[V(c) if c in candidates.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()])
+    full = full.withColumns({"overlap": F.coalesce("overlap", F.lit("never")), "ignored": F.coalesce("ignored", F.lit(False))})
+    # Null arrays break the way to pandas where a batch has no other.
+    full = full.withColumn("variants", F.coalesce("variants", F.array(F.struct(F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")))))
+    return full.groupBy(*TILE).applyInPandas(place, "z int, x int, y int, layer_ix int, cand_ix long, placed boolean, variant int, drop_reason string")
 
 
 def label_boxes(candidates: DataFrame, placements: DataFrame, include: str = "placed") -> DataFrame:

@@ -68,6 +68,15 @@ def test_labels_touching_do_not_collide(spark):
     assert {r.cand_ix: r.placed for r in labels.label_placement(df).collect()} == {1: True, 2: True, 3: False}
 
 
+def test_label_variants_and_overlap(spark):
+    """The second label moves aside, the third has no room, the fourth may always overlap, the fifth only meets it."""
+    at = lambda i, x, variants, overlap, ignored=False: (0, 0, 0, 0, i, i, "t", float(x), 0.0, 5.0, 5.0, variants, overlap, ignored)
+    rows = [at(1, 0, None, None), at(2, 4, [(0.0, 0.0), (0.0, 12.0)], None), at(3, 2, [(0.0, 0.0), (0.0, 8.0)], "never"), at(4, 3, None, "always"), at(5, 100, None, "cooperative"), at(6, 101, None, "cooperative"), at(7, 102, None, None), at(8, 200, None, None, True), at(9, 200, None, None)]
+    df = spark.createDataFrame(rows, "z int, x int, y int, layer_ix int, cand_ix long, sort_key long, text string, wax double, way double, half_w double, half_h double, variants array<struct<dx:double,dy:double>>, overlap string, ignored boolean")
+    out = {r.cand_ix: (r.placed, r.variant) for r in labels.label_placement(df).collect()}
+    assert out == {1: (True, 0), 2: (True, 1), 3: (False, None), 4: (True, 0), 5: (True, 0), 6: (True, 0), 7: (False, None), 8: (True, 0), 9: (True, 0)}
+
+
 def test_expressions(spark):
     df = spark.createDataFrame([(4, "park", 12.0), (4, None, None)], "z int, kind string, n double")
     size = compile_expression(["interpolate", ["exponential", 2], ["zoom"], 0, 0, 8, 255], df.columns)
