@@ -12,11 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import lang_id, line_dedup, minhash, mixing, packing
 
 
+#: Rows of documents that Python workers get at once: bounds what they, and Spark's buffers beside them, hold of long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For this session, also where a stage's result is written after its function has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language go: without text or letters, or mostly in letters that no learned language has.
 
     Where no language could be learned, those without letters go. Repeated rows stay or go together.
     """
+    small_batches(spark)
     return lang_id.keep_known(docs)
 
 
@@ -25,6 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Every document stays, if without text; null text stays null. Rows that share a doc_id count as one document.
     """
+    small_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
@@ -33,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without text are copies of nothing and stay, as do rows without a doc_id.
     """
+    small_batches(spark)
     return minhash.dedup(docs)
 
 
@@ -41,11 +55,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are never taken; a null source is one of its own. Ties of keys go by doc_id, so reruns agree.
     """
+    small_batches(spark)
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 2048 tokens; null text is one closing token, repeated rows are packed each."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
