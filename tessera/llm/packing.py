@@ -29,7 +29,7 @@ from ._common import cut_lineage
 
 CAPACITY, END_ID = 2048, 1
 #: Bytes of words and ids that a Python worker remembers, each with so many of overhead; beyond, it forgets them all.
-REMEMBER, OVERHEAD = 48_000_000, 200
+REMEMBER, OVERHEAD = 80_000_000, 200
 _memory: dict[str, tuple] = {}
 _RUN_OF_MARKS = re.compile(rb"[.,](?<![0-9A-Za-z][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])(?<![\xc4\xc5][\x80-\xbf][.,])[ \n]")
 
