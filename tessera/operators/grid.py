@@ -45,16 +45,28 @@ def one_tile(spark: SparkSession, z: int = 0, x: int = 0, y: int = 0) -> DataFra
     return spark.range(1).select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt by tile into as many tasks as shuffles have, never fewer: what tasks make of them may be far larger.
+
+    By x and y alone, which windows and groupings within tiles take as they are even where z is one number.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+
+
 def dense(grid: Grid) -> Grid:
     """Every pixel of every tile that has any: missing samples as null, blank pixels as zeros.
 
-    Rows are dealt by tile once; the blank lattice of those tiles is grouped with them where they are, and later windows
-    and groupings within tiles shuffle nothing either.
+    Rows are dealt by tile once; a pixel then also stands for the blank ones up to the next, the first of a tile for those
+    before it. Later windows and groupings within tiles shuffle nothing either.
     """
-    df = grid.df.repartition(*TILE).select(*PIXEL, *grid.bands)
-    blank = lattice(df.groupBy(*TILE).agg(F.first("px").alias("_")), grid.width, grid.height)
-    blank = blank.select(*PIXEL, *[F.lit(None).cast(df.schema[b].dataType).alias(b) for b in grid.bands])
-    out = blank.unionAll(df).groupBy(*PIXEL).agg(*[F.max(b).alias(b) for b in grid.bands])
+    df = dealt(grid.df.select(*PIXEL, *grid.bands)).groupBy(*PIXEL).agg(*[F.max(b).alias(b) for b in grid.bands])
+    inside = F.col("px").between(0, grid.width - 1) & F.col("py").between(0, grid.height - 1)
+    own, order = F.col("own"), Window.partitionBy(*TILE).orderBy("own")
+    df = df.where(inside).withColumn("own", F.col("py") * grid.width + F.col("px"))
+    df = df.withColumns({"first": F.lag("own").over(order).isNull(), "next": F.lead("own", 1, grid.width * grid.height).over(order)})
+    df = df.withColumn("at", F.explode(F.sequence(F.when(F.col("first"), 0).otherwise(own), F.col("next") - 1)))
+    place = ((F.col("at") % grid.width).cast("int").alias("px"), F.floor(F.col("at") / grid.width).cast("int").alias("py"))
+    out = df.select(*TILE, *place, *[F.when(F.col("at") == own, F.col(b)).alias(b) for b in grid.bands])
     return grid.with_df(out if "v" in grid.bands else out.fillna(0, list(grid.bands)))
 
 

@@ -439,13 +439,13 @@ def mosaic(raster: Grid, block: float, mode: str = "average", anchor: str = "wor
     g = dense(raster)
     at = lambda p, w, size: V(p) + (V(w) * size if anchor == "world" else 0)
     df = g.df.withColumns({"bx": F.floor(at("px", "x", g.width) / b), "by": F.floor(at("py", "y", g.height) / b)})
-    key = [*TILE, "bx", "by"]
+    block_of = Window.partitionBy(*TILE, "bx", "by")
     if mode == "average":
-        blocks = df.groupBy(*key).agg(*[F.floor(F.sum(c) / F.count(c)).cast("int").alias(f"m_{c}") for c in BANDS])
+        one = {c: F.floor(F.sum(c).over(block_of) / F.count(c).over(block_of)).cast("int") for c in BANDS}
     else:
         middle = (at("px", "x", g.width) - V("bx") * b == b // 2) & (at("py", "y", g.height) - V("by") * b == b // 2)
-        blocks = df.where(middle).select(*key, *[V(c).alias(f"m_{c}") for c in BANDS])
-    return raster.with_df(df.join(blocks, key, "left").select(*PIXEL, *[F.coalesce(f"m_{c}", F.lit(0)).alias(c) for c in BANDS]))
+        one = {c: F.max(F.when(middle, V(c))).over(block_of) for c in BANDS}
+    return raster.with_df(df.select(*PIXEL, *[F.coalesce(v, F.lit(0)).alias(c) for c, v in one.items()]))
 
 
 # Generators
@@ -534,10 +534,16 @@ def noise(
     cell points; value: smooth between lattice numbers; perlin and simplex: sums of slopes around the corners of squares and
     triangles. Octaves are averaged by their amplitudes. ``warp_amp`` (in wavelengths) moves places by two other noises.
     """
-    rows = lattice(tiles, size, size)
+    rows = with_noise(lattice(tiles, size, size), "v", size, kind, scale_px, octaves, gain, lacunarity, seed, anchor, warp_amp, warp_freq)
+    return Grid(rows, size, size)
+
+
+def with_noise(rows: DataFrame, name: str, size: int, kind: str, scale_px: float | tuple[float, float], octaves: int, gain: float, lacunarity: float, seed: int, anchor: str, warp_amp: float = 0.0, warp_freq: float = 1.0) -> DataFrame:
+    """Pixel rows with the noise at each as a column."""
+    own = rows.columns
     wx, wy = (V(p) + (V(w) * size if anchor == "world" else 0) for p, w in (("px", "x"), ("py", "y")))
     if kind == "white":
-        return Grid(rows.withColumn("v", cell_hash(wx, wy, salt=seed) / 2147483647 * 2 - 1), size, size)
+        return rows.withColumn(name, cell_hash(wx, wy, salt=seed) / 2147483647 * 2 - 1)
     sx, sy = scale_px if isinstance(scale_px, tuple) else (scale_px, scale_px)
     u, v = wx / sx, wy / sy
     if warp_amp:
@@ -548,7 +554,7 @@ def noise(
     for o in range(max(1, octaves)):
         total = total + k * _lattice_noise(kind, V("u") * f, V("v") * f, seed + o)
         top, k, f = top + k, k * gain, f * lacunarity
-    return Grid(rows.select(*PIXEL, clamp(total / top, -1, 1).alias("v")), size, size)
+    return rows.select(*own, clamp(total / top, -1, 1).alias(name))
 
 
 def _lattice_noise(kind: str, u: Column, v: Column, seed: int) -> Column:
@@ -600,10 +606,11 @@ def _simplex(u: Column, v: Column, seed: int) -> Column:
 
 
 def warp(source: Grid, scale_px: float, amp_x: float, amp_y: float | None = None, octaves: int = 1, gain: float = 0.5, lacunarity: float = 2.0, seed: int = 0, anchor: str = "world", boundary: str = "clamp") -> Grid:
-    """Displaced by two smooth noises."""
-    amp_y, tiles = amp_x if amp_y is None else amp_y, source.df.select(*TILE).distinct()
-    by = [noise(tiles, source.width, "value", scale_px, octaves, gain, lacunarity, seed + 101 * k, anchor).df.withColumnRenamed("v", n) for k, n in enumerate(("nx", "ny"))]
-    at = by[0].join(by[1], list(PIXEL)).select(*PIXEL, (V("px") + V("nx") * amp_x).alias("sx"), (V("py") + V("ny") * amp_y).alias("sy"))
+    """Displaced by two smooth noises, both made on the pixels where these are: a lattice is never joined or sent around."""
+    amp_y, at = amp_x if amp_y is None else amp_y, dense(source).df.select(*PIXEL)
+    for k, n in enumerate(("nx", "ny")):
+        at = with_noise(at, n, source.width, "value", scale_px, octaves, gain, lacunarity, seed + 101 * k, anchor)
+    at = at.select(*PIXEL, (V("px") + V("nx") * amp_x).alias("sx"), (V("py") + V("ny") * amp_y).alias("sy"))
     return source.with_df(_taps(source, at, boundary))
 
 
