@@ -103,9 +103,9 @@ def gradient(field: Grid) -> DataFrame:
     """The dense field with gx and gy, the 3 x 3 weighted slopes; a missing neighbour counts as the centre."""
     n = neighbourhood(field)
     z = {k: F.coalesce(V(k), V("c")) for k in ("nw", "n", "ne", "w", "e", "sw", "s", "se")}
-    scale = 1.0 / (8.0 * max(field.pitch, 1e-6))
-    gx = ((z["ne"] + 2 * z["e"] + z["se"]) - (z["nw"] + 2 * z["w"] + z["sw"])) * scale
-    gy = ((z["sw"] + 2 * z["s"] + z["se"]) - (z["nw"] + 2 * z["n"] + z["ne"])) * scale
+    across = 8.0 * max(field.pitch, 1e-6)
+    gx = ((z["ne"] + 2 * z["e"] + z["se"]) - (z["nw"] + 2 * z["w"] + z["sw"])) / across
+    gy = ((z["sw"] + 2 * z["s"] + z["se"]) - (z["nw"] + 2 * z["n"] + z["ne"])) / across
     return n.select(*PIXEL, V("c").alias("v"), gx.alias("gx"), gy.alias("gy"))
 
 

@@ -39,9 +39,12 @@ def _step_sql(v: str, alpha: str = "1.0") -> str:
 m AS (SELECT z, x, y, px, py, least(greatest(v / 200, 0), 1) AS v FROM b)
 SELECT {KEY}{_step_sql('v')} FROM m""", "lift_tiled")
 def density_ramp(spark, d):
-    """Flagship: filtered scan, binned sums per tile, remap, step ramp."""
+    """Flagship: filtered scan, binned sums per tile, remap, step ramp.
+
+    Sums are rounded to a billionth: else the order of adding decides on which side of a step a bin falls that lies on it.
+    """
     p = _points(spark, d, F.col("kind").isin("click", "purchase"))
-    bins = p.groupBy("z", "x", "y", F.floor(F.col("fx") / 2).cast("int").alias("px"), F.floor(F.col("fy") / 2).cast("int").alias("py")).agg(F.sum("value").alias("v"))
+    bins = p.groupBy("z", "x", "y", F.floor(F.col("fx") / 2).cast("int").alias("px"), F.floor(F.col("fy") / 2).cast("int").alias("py")).agg(F.round(F.sum("value"), 9).alias("v"))
     return O.color_ramp(O.map_range(Grid(bins, 16, 16), 0, 200, 0, 1, clamped=True), STOPS, "step").df
 
 

@@ -1,13 +1,15 @@
 """Plans and kernels whose cost grew faster than their tables."""
 
 import io
+import math
 from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import grid as G
-from tessera.operators import raster
+from tessera.operators import field, raster
+from tessera.plans import catalog
 
 
 def plan(df) -> str:
@@ -46,3 +48,30 @@ def test_warp_sends_no_lattice_around(tiles):
     out = raster.warp(g, 8.0, 3.0).df
     p = plan(out)
     assert p.count("Join") == 1 and out.count() == 400 * 64
+
+
+def test_flow_of_whole_slopes(spark):
+    """Planes whose slopes make colours that end in a half: what rounding makes of them depends on the last bit."""
+    planes = [(k * a, k * b) for a, b in ((3, 4), (8, 15), (13, 84), (36, 77), (40, 75), (24, 45)) for k in range(1, 60)]
+    planes += [(b, a) for a, b in planes]
+    rows = [(9, i, 0, px, py, float(a * px + b * py)) for i, (a, b) in enumerate(planes) for px in range(3) for py in range(3)]
+    f = G.Grid(spark.createDataFrame(rows, "z int, x int, y int, px int, py int, v double"), 3, 3, 30.0)
+    found = {r.x: (r.r, r.g) for r in field.flow_field(f).df.where("px = 1 AND py = 1").collect()}
+    for i, (a, b) in enumerate(planes):
+        gx, gy = 8 * a / 240, 8 * b / 240
+        m = math.sqrt(gx * gx + gy * gy)
+        share = min(math.atan(m) / math.radians(45), 1.0)
+        assert found[i] == tuple(math.floor((0.5 + 0.5 * (-g / m * share)) * 255 + 0.5) for g in (gx, gy)), (a, b)
+
+
+def test_sums_on_a_step(spark, tmp_path):
+    """Values that make 50, but just less when added in this order."""
+    low = [1.3, 7.64, 6.9, 2.37, 4.51, 4.1, 5.9, 7.12, 0.94, 9.22]
+    total = 0.0
+    for v in low:
+        total += v
+    assert total < 50 == round(total, 9)
+    rows = [(0, 0, "click", v) for v in low]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).selectExpr("*", "timestamp'2020-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    (row,) = catalog.QUERIES["density_ramp"](spark, str(tmp_path)).collect()
+    assert (row.r, row.g, row.b) == (0x30, 0x60, 0xC0)
