@@ -54,8 +54,17 @@ def clip_polygons(polygons: Column, x0: Column, y0: Column, x1: Column, y1: Colu
             ring = _let(ring, _beyond(axis, limit, above))
         return _tidy(ring)
 
+    return _with_area(polygons, clipped)
+
+
+def tidy_polygons(polygons: Column) -> Column:
+    """``clip_polygons`` for polygons that lie within the rectangle."""
+    return _with_area(polygons, _tidy)
+
+
+def _with_area(polygons: Column, of_ring) -> Column:
     def polygon(rings: Column) -> Column:
-        cut = F.transform(rings, clipped)
+        cut = F.transform(rings, of_ring)
         kept = F.filter(F.transform(cut, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda q: (q["i"] == 0) | _has_area(q["r"]))
         return F.transform(kept, lambda q: q["r"])
 

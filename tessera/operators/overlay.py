@@ -2,6 +2,8 @@
 
 Spark deals polygons by tile (or by feature) and a small kernel overlays each group: all edges are split where they meet,
 and a piece of an edge belongs to the result's outline if the place just left of it is inside and that just right is not.
+Where all edges are parallel to the axes, places are counted on the grid of their coordinates instead, which is linear in it.
+Polygons that are the same in a square are first made one by Spark (by parity those that are there twice are none).
 With ``cells`` > 1 a tile is cut into that many squares a side first, which bounds a group; the result is the same area, cut
 along the squares' sides. Whole coordinates are rounded half away from zero; rings that lose their area are dropped.
 """
@@ -11,12 +13,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clipping import clip_polygons
+from .clipping import clip_polygons, tidy_polygons
 from .geometry import EXTENT, SHAPES, disc, shape, stitched
 from .grid import TILE
 
@@ -26,6 +28,8 @@ LINES = pa.list_(pa.list_(POINT))
 POLYGONS = pa.list_(LINES)
 #: How far beside an edge a place is tested, and how near two places count as one.
 BESIDE, SAME = 1e-4, 1e-7
+#: Most cells of a grid of coordinates.
+GRID = 1 << 24
 RULES = {
     "union": lambda a, b: a | b,
     "intersection": lambda a, b: a & b,
@@ -118,8 +122,10 @@ def _rings(edges: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _simple(path: list[tuple]) -> list[np.ndarray]:
-    """A ring as rings without repeated places, without places on straight stretches."""
+def _parted(path: list) -> list[list]:
+    """A ring as rings without repeated places."""
+    if len(set(path)) == len(path):
+        return [path]
     seen, out, stack = {}, [], []
     for p in path:
         if p in seen:
@@ -131,8 +137,13 @@ def _simple(path: list[tuple]) -> list[np.ndarray]:
         else:
             seen[p] = len(stack)
             stack.append(p)
+    return [*out, stack]
+
+
+def _simple(path: list[tuple]) -> list[np.ndarray]:
+    """A ring as rings without repeated places, without places on straight stretches."""
     found = []
-    for ring in (*out, stack):
+    for ring in _parted(path):
         r = np.array(ring)
         if len(r) >= 3:
             before, after = r - np.roll(r, 1, axis=0), np.roll(r, -1, axis=0) - r
@@ -146,10 +157,17 @@ def overlay(a: list[list[np.ndarray]], b: list[list[np.ndarray]], rule, wound: b
 
     Places are inside by even and odd crossings, or with ``wound`` if any polygon's interior covers them.
     """
-    ea, eb = _edges(a, wound), _edges(b, wound)
+    return _overlaid(_edges(a, wound), _edges(b, wound), rule, wound)
+
+
+def _overlaid(ea: np.ndarray, eb: np.ndarray, rule, wound: bool) -> list[list[np.ndarray]]:
     every = np.concatenate([ea, eb])
     if not len(every):
         return []
+    if ((every[:, 0] == every[:, 2]) | (every[:, 1] == every[:, 3])).all():
+        grid = [np.unique(np.round(every[:, k::2], 6)) for k in (0, 1)]
+        if len(grid[0]) * len(grid[1]) <= GRID:
+            return _assembled(*_gridded(ea, eb, rule, wound, *grid))
     pieces = _split(every)
     mid, along = (pieces[:, :2] + pieces[:, 2:]) / 2, pieces[:, 2:] - pieces[:, :2]
     normal = np.column_stack([-along[:, 1], along[:, 0]]) / np.hypot(*along.T)[:, None] * BESIDE
@@ -159,19 +177,119 @@ def overlay(a: list[list[np.ndarray]], b: list[list[np.ndarray]], rule, wound: b
         inside.append(rule(*[(x != 0) if wound else (x % 2 == 1) for x in w]))
     left, right = inside
     turned = pieces[:, [2, 3, 0, 1]]
-    rings = _rings(np.concatenate([pieces[left & ~right], turned[right & ~left]]))
+    return _assembled(_rings(np.concatenate([pieces[left & ~right], turned[right & ~left]])))
+
+
+def _assembled(rings: list[np.ndarray], regions: list[int] | None = None) -> list[list[np.ndarray]]:
+    """Rings as polygons with whole coordinates: a hole goes to the exterior of its region, or if these are not known to the least around it."""
     whole = [np.sign(r) * np.floor(np.abs(r) + 0.5) for r in rings]
-    kept = [(w, r) for w, r in zip(whole, rings) if area2(w) != 0]
-    outer = sorted(([w, r] for w, r in kept if area2(r) > 0), key=lambda o: (area2(o[1]), o[0].tolist()))
-    out = [[w] for w, _ in outer]
-    for w, r in kept:
+    kept = [(w, r, g) for w, r, g in zip(whole, rings, regions or [None] * len(rings)) if area2(w) != 0]
+    outer = sorted(([w, r, g] for w, r, g in kept if area2(r) > 0), key=lambda o: (area2(o[1]), o[0].tolist()))
+    out = [[o[0]] for o in outer]
+    if regions is None and outer:
+        low, high = (np.array([f(o[1], axis=0) for o in outer]) for f in (np.min, np.max))
+    known = {o[2]: k for k, o in enumerate(outer)}
+    for w, r, g in kept:
         if area2(r) < 0:
+            if regions is not None:
+                if g in known:
+                    out[known[g]].append(w)
+                continue
             at = (r[:1] + r[1:2]) / 2
-            for k, (_, big) in enumerate(outer):
+            for k in np.nonzero(((low <= at) & (at <= high)).all(1))[0] if outer else ():
+                big = outer[k][1]
                 if area2(big) > -area2(r) and _winding(np.hstack([big, np.roll(big, -1, axis=0)]), at[:, 0], at[:, 1])[0]:
                     out[k].append(w)
                     break
-    return sorted(out, key=lambda p: min(p[0].tolist()))
+    return sorted(out, key=lambda p: p[0][np.lexsort(p[0].T[::-1])[0]].tolist())
+
+
+def _gridded(ea: np.ndarray, eb: np.ndarray, rule, wound: bool, xs: np.ndarray, ys: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Rings of what ``rule`` leaves of edges parallel to the axes, each with the number of its region.
+
+    An edge counts for the cells of the grid that lie left of it: differences are put down at its ends and summed up.
+    """
+    nx, ny = len(xs), len(ys)
+    masks = []
+    for e in (ea, eb):
+        e = np.round(e[e[:, 1] != e[:, 3]], 6)
+        i, low, high = np.searchsorted(xs, e[:, 0]), np.searchsorted(ys, e[:, 1::2].min(1)), np.searchsorted(ys, e[:, 1::2].max(1))
+        sign = np.where(e[:, 3] > e[:, 1], 1, -1)
+        turns = np.bincount(low * nx + i, sign, nx * ny) - np.bincount(high * nx + i, sign, nx * ny)
+        turns = turns.astype(np.int32).reshape(ny, nx).cumsum(0, dtype=np.int32)[:-1, :0:-1].cumsum(1, dtype=np.int32)[:, ::-1]
+        masks.append(turns != 0 if wound else turns % 2 == 1)
+    inside = np.zeros((ny + 1, nx + 1), bool)
+    inside[1:-1, 1:-1] = rule(*masks)
+    region = _regions(inside)
+    # Sides of cells between inside and outside: 1 up or right, -1 down or left, the inside on their left.
+    up = inside[1:-1, :-1].astype(np.int8) - inside[1:-1, 1:]
+    right = inside[1:, 1:-1].astype(np.int8) - inside[:-1, 1:-1]
+    # Stretches end where a side of the other kind meets them.
+    edges = []
+    for code, other, flip in ((up.T, right.T, True), (right, up, False)):
+        padded, beside = np.pad(code, ((0, 0), (1, 1))), np.pad(other, ((1, 1), (0, 0)))
+        ends = (beside[:-1] != 0) | (beside[1:] != 0)
+        before, after = padded[:, :-1], padded[:, 1:]
+        first = (after != 0) & ((before != after) | ends)
+        last = (before != 0) & ((before != after) | ends)
+        line, a = np.nonzero(first)
+        b = np.nonzero(last)[1]
+        way = after[line, a]
+        edges.append((line, np.where(way > 0, a, b), np.where(way > 0, b, a), way, a, flip))
+    place = lambda line, at, flip: at * nx + line if flip else line * nx + at
+    start = np.concatenate([place(g[0], g[1], g[5]) for g in edges])
+    end = np.concatenate([place(g[0], g[2], g[5]) for g in edges])
+    heading = np.concatenate([np.where(g[3] > 0, 1, 3) if g[5] else np.where(g[3] > 0, 0, 2) for g in edges])
+    (v, _, _, vw, va, _), (h, _, _, hw, ha, _) = edges
+    cell = np.concatenate([region[va + 1, np.where(vw > 0, v, v + 1)], region[np.where(hw > 0, h + 1, h), ha + 1]])
+    if not len(start):
+        return [], []
+    # Where two stretches leave a place, the one to the left follows.
+    order = np.lexsort((heading, start))
+    slot = np.searchsorted(start[order], end)
+    two = (slot + 1 < len(order)) & (start[order][np.minimum(slot + 1, len(order) - 1)] == end)
+    second = np.where(two, slot + 1, slot)
+    follow = np.where(two & (heading[order[second]] == (heading + 1) % 4), order[second], order[slot]).tolist()
+    # Starts by place; of two that leave one, the one that comes last by the other kernel's order.
+    px, py = start % nx, start // nx
+    turned = heading >= 2
+    begin = np.lexsort((-end, ~turned, py, px)).tolist()
+    used, froms, cells = bytearray(len(start)), start.tolist(), cell.tolist()
+    rings, regions = [], []
+    for k in begin:
+        if used[k]:
+            continue
+        path, region_of = [], cells[k]
+        while not used[k]:
+            used[k] = 1
+            path.append(froms[k])
+            k = follow[k]
+        for ring in _parted(path):
+            at = np.array(ring)
+            r = np.column_stack([xs[at % nx], ys[at // nx]])
+            before, after = r - np.roll(r, 1, axis=0), np.roll(r, -1, axis=0) - r
+            r = r[before[:, 0] * after[:, 1] != before[:, 1] * after[:, 0]]
+            if len(r) >= 3:
+                rings.append(r)
+                regions.append(region_of)
+    return rings, regions
+
+
+def _regions(inside: np.ndarray) -> np.ndarray:
+    """A number for each set of inside cells that hang together by their sides."""
+    first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+    run = np.where(inside, first.ravel().cumsum().reshape(inside.shape) - 1, -1)
+    both = inside[:-1] & inside[1:]
+    a, b = np.unique(np.column_stack([run[:-1][both], run[1:][both]]), axis=0).T if both.any() else (np.empty(0, int),) * 2
+    number = np.arange(int(run.max()) + 1)
+    while len(a):
+        a, b = number[a], number[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(number, np.maximum(a, b), np.minimum(a, b))
+        while (number[number] != number).any():
+            number = number[number]
+    return np.where(inside, number[run] if len(number) else -1, -1)
 
 
 def _arrays(polygons) -> list[list[np.ndarray]]:
@@ -192,29 +310,76 @@ def _in_cells(df: DataFrame, cells: int, low: float, high: float, *by: str) -> D
     place = lambda v: F.least(F.greatest(F.floor((v - low) / side), F.lit(0)), F.lit(last)).cast("int")
     along = lambda k: F.transform(F.col("p")[0], lambda q: q[k])
     span = lambda k: F.sequence(place(F.array_min(along(k))), place(F.array_max(along(k))))
-    rows = rows.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    rows = rows.withColumns({"across": span("x"), "down": span("y")})
+    alone = (F.size("across") == 1) & (F.size("down") == 1) & (F.size("p") == 1)  # holes may reach further
+    rows = rows.withColumn("alone", alone).withColumn("cx", F.explode("across")).withColumn("cy", F.explode("down"))
     # The outer squares take what lies beyond.
     first = lambda c: F.when(F.col(c) == 0, F.lit(-1e9)).otherwise(F.col(c) * side + low)
     end = lambda c: F.when(F.col(c) == last, F.lit(1e9)).otherwise((F.col(c) + 1) * side + low)
     clipped = clip_polygons(F.array("p"), first("cx"), first("cy"), end("cx"), end("cy"))
+    clipped = F.when(F.col("alone"), tidy_polygons(F.array("p"))).otherwise(clipped)
     return rows.withColumn("p", F.explode(clipped)).select(*keys, "cx", "cy", "p")
 
 
+def _edges_of(polygons: pa.Array, wound: bool) -> np.ndarray:
+    """``_edges`` of a column of polygons."""
+    rings = polygons.flatten()
+    n, places = np.asarray(rings.value_lengths()), rings.flatten()
+    x, y = (np.asarray(c) for c in places.flatten())
+    if not len(x):
+        return np.empty((0, 4))
+    first = np.repeat(n.cumsum() - n, n)
+    follow = np.arange(1, len(x) + 1)
+    last = n.cumsum()[n > 0] - 1
+    follow[last] = first[last]
+    edges = np.column_stack([x, y, x[follow], y[follow]])
+    if wound:
+        twice = np.bincount(np.repeat(np.arange(len(n)), n), x * y[follow] - x[follow] * y, len(n))
+        per = np.asarray(polygons.value_lengths())
+        exterior = np.zeros(len(n), bool)
+        exterior[(per.cumsum() - per)[per > 0]] = True
+        turned = np.repeat((twice > 0) != exterior, n)
+        edges[turned] = edges[turned][:, [2, 3, 0, 1]]
+    return edges[np.repeat(n >= 3, n)]
+
+
+def _one_row(key: tuple, columns: list[str], polygons: list[list[np.ndarray]]) -> pa.Table:
+    """The group's key and its polygons as one row, or no row."""
+    rings = [r for p in polygons for r in p]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    xy = np.concatenate(rings) if rings else np.empty((0, 2))
+    places = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k]), pa.float64()) for k in (0, 1)], ["x", "y"])
+    nested = pa.ListArray.from_arrays(ends([len(r) for r in rings]), places)
+    nested = pa.ListArray.from_arrays(ends([len(p) for p in polygons]), nested)
+    nested = pa.ListArray.from_arrays(ends([len(polygons)]), nested)
+    out = pa.table([pa.array([k.as_py()], k.type) for k in key] + [nested], [*columns, "polygons"])
+    return out if polygons else out.slice(0, 0)
+
+
+def _per_square(rows: DataFrame, keys: list[str], kernel, types: str) -> DataFrame:
+    """``kernel(first column, second column of polygons)`` on each square, in as many tasks as shuffles have: few bytes are much work."""
+    squares = [*keys, "cx", "cy"]
+
+    def run(key, table):
+        own = table.combine_chunks()
+        parts = [own.filter(own["second"] if k else pc.invert(own["second"]))["p"].combine_chunks() for k in (False, True)]
+        parts = [c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], LINES) for c in parts]
+        return _one_row(key, squares, kernel(*parts))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *squares).groupBy(*squares).applyInArrow(run, f"{types}, cx int, cy int, polygons {SHAPES['polygons']}")
+
+
 def feature_boolean(a: DataFrame, b: DataFrame, mode: str = "union", cells: int = 1, extent: int = EXTENT) -> DataFrame:
     """(z, x, y, cx, cy, polygons): set operation between all polygons of ``a`` and of ``b`` in each tile, without properties.
 
     Insides are by even and odd crossings over an input's rings. Points and lines are dropped; nothing gives no row.
     """
-    rule, columns = RULES[mode], [*TILE, "cx", "cy"]
+    rule = RULES[mode]
     rows = _in_cells(a, cells, 0, extent).withColumn("second", F.lit(False))
     rows = rows.unionByName(_in_cells(b, cells, 0, extent).withColumn("second", F.lit(True)))
-
-    def run(key, pdf):
-        first, second = (_arrays(pdf.p[pdf.second == k]) for k in (False, True))
-        found = overlay(first, second, rule)
-        return pd.DataFrame([(*key, _structs(found))] if found else [], columns=[*columns, "polygons"])
-
-    return rows.groupBy(*columns).applyInPandas(run, f"z int, x int, y int, cx int, cy int, polygons {SHAPES['polygons']}")
+    odd = rows.groupBy(*TILE, "cx", "cy", "second", "p").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    return _per_square(odd, [*TILE], lambda p, q: _overlaid(_edges_of(p, False), _edges_of(q, False), rule, False), "z int, x int, y int")
 
 
 def dissolve(df: DataFrame, *by: str, cells: int = 1, low: float = 0, high: float = EXTENT) -> DataFrame:
@@ -224,13 +389,8 @@ def dissolve(df: DataFrame, *by: str, cells: int = 1, low: float = 0, high: floa
     """
     keys = [*TILE, *by]
     types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-
-    def run(key, pdf):
-        found = overlay(_arrays(pdf.p), [], lambda a, b: a, wound=True)
-        return pd.DataFrame([(*key, _structs(found))] if found else [], columns=[*keys, "cx", "cy", "polygons"])
-
-    rows = _in_cells(df, cells, low, high, *by)
-    return rows.groupBy(*keys, "cx", "cy").applyInPandas(run, f"{types}, cx int, cy int, polygons {SHAPES['polygons']}")
+    rows = _in_cells(df, cells, low, high, *by).distinct().withColumn("second", F.lit(False))
+    return _per_square(rows, keys, lambda p, _: _overlaid(_edges_of(p, True), np.empty((0, 4)), lambda a, b: a, True), types)
 
 
 def stitch(df: DataFrame, *by: str, cells: int = 1, extent: int = EXTENT) -> DataFrame:
@@ -241,7 +401,8 @@ def stitch(df: DataFrame, *by: str, cells: int = 1, extent: int = EXTENT) -> Dat
     """
     own = df.withColumn("polygons", clip_polygons(F.col("polygons"), F.lit(0.0), F.lit(0.0), F.lit(float(extent)), F.lit(float(extent))))
     own = own.where(F.size("polygons") > 0)
-    around = stitched(own.select(*TILE, *by, "polygons"), extent)
+    once = own.select(*TILE, *by, F.explode("polygons").alias("p")).distinct().select(*TILE, *by, F.array("p").alias("polygons"))
+    around = stitched(once, extent)
     asked = own.select(*TILE, *by).distinct()
     around = around.join(asked, [*TILE, *by], "left_semi")
     # Squares' sides lie beside those of tiles, where pieces meet.
