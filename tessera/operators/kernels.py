@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import TILE
-from .overlay import LINES, POINT, POLYGONS, RULES, _arrays, _structs, overlay
+from .overlay import LINES, POINT, POLYGONS, RULES, overlay
 
 POINT_ROWS = "z int, x int, y int, {}"
 
@@ -163,11 +163,16 @@ def _half_up(v: float) -> float:
     return math.copysign(math.floor(abs(v) + 0.5), v) if abs(v) >= 0.5 else 0.0
 
 
+def _place(q: tuple) -> tuple:
+    """Rounded to a millionth. The nudge keeps what lies between two, such as 128ths, from going either way by its last bits."""
+    return round(q[0] + 3e-9, 6), round(q[1] + 3e-9, 6)
+
+
 def _sides(cells: dict) -> list:
     """The different edges of cells, as pairs of places rounded to a millionth."""
     found = set()
     for ring in cells.values():
-        whole = [(round(x, 6), round(y, 6)) for x, y in ring]
+        whole = [_place(q) for q in ring]
         found.update((min(a, b), max(a, b)) for a, b in zip(whole, whole[1:] + whole[:1]) if a != b)
     return sorted(found)
 
@@ -190,6 +195,53 @@ def voronoi(sites: DataFrame, expand: float = 1.0) -> DataFrame:
     return sites.groupBy(*TILE).applyInPandas(run, POINT_ROWS.format("x0 double, y0 double, x1 double, y1 double"))
 
 
+#: Most shapes a task remembers.
+REMEMBERED = 20_000
+
+
+def _by_shape(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose polygons (and points) are the same but for their place go to one task, which works each shape out once."""
+    from .geometry import SHAPES
+
+    p = F.coalesce(F.col(columns[0]), F.array().cast(SHAPES["polygons"]))
+    first = p[0][0][0]
+    rings = F.transform(p, lambda q: F.transform(q, lambda r: F.transform(r, lambda v: F.struct(v["x"] - first["x"], v["y"] - first["y"]))))
+    rest = [F.transform(F.col(c), lambda v: F.struct(v["x"] - first["x"], v["y"] - first["y"])) for c in columns[1:]]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(rings, *rest))
+
+
+class _Remembered:
+    """``kernel(polygons, points)`` of shapes moved to the corner of their box, once for each of the last shapes.
+
+    Polygons (and points) are arrays of rings; whole distances keep what is rounded as it is. Shapes with a coordinate
+    below zero, where halves are rounded the other way, stay where they are.
+    """
+
+    def __init__(self, kernel):
+        self.kernel, self.known = kernel, {}
+
+    def __call__(self, polygons: list, points: list = ()) -> tuple:
+        """What the kernel finds, and how far it is to be moved."""
+        own = [[[(p["x"], p["y"]) for p in ring] for ring in polygon] for polygon in polygons or []]
+        more = [(p["x"], p["y"]) for p in points or []]
+        places = [p for polygon in own for ring in polygon for p in ring] + more
+        if not places:
+            return self.kernel(own, more), 0.0, 0.0
+        dx, dy = (float(max(0, math.floor(min(p[k] for p in places)))) for k in (0, 1))
+        move = lambda ring: tuple((x - dx, y - dy) for x, y in ring)
+        key = tuple(tuple(map(move, polygon)) for polygon in own), move(more)
+        if key not in self.known:
+            if len(self.known) >= REMEMBERED:
+                del self.known[next(iter(self.known))]
+            self.known[key] = self.kernel([list(map(list, polygon)) for polygon in key[0]], list(key[1]))
+        return self.known[key], dx, dy
+
+
+def _moved(ring: list, dx: float, dy: float) -> list:
+    return [{"x": x + dx, "y": y + dy} for x, y in ring]
+
+
 def voronoi_fracture(df: DataFrame, seeds: str = "seeds", aspect: float = 1.0) -> DataFrame:
     """(other columns, site, polygons): each feature's polygons cut into the cells of its ``seeds`` (array of points).
 
@@ -200,29 +252,34 @@ def voronoi_fracture(df: DataFrame, seeds: str = "seeds", aspect: float = 1.0) -
         return df.where(F.lit(False)).withColumn("site", F.lit(None).cast("struct<x:double,y:double>")).drop(seeds)
 
     def pieces(polygons, own) -> list:
-        up = {(p["x"], _half_up(p["y"] * aspect)): (p["x"], p["y"]) for p in reversed(list(own))}
+        up = {(x, _half_up(y * aspect)): (x, y) for x, y in reversed(own)}
         if len(up) < 3:
             return []
         out: dict = {}
-        for polygon in _arrays(polygons):
-            tall = [r * [1.0, aspect] for r in polygon]
+        for polygon in polygons:
+            tall = [np.array(r, float).reshape(-1, 2) * [1.0, aspect] for r in polygon]
             low, high = tall[0].min(0) - 2, tall[0].max(0) + 2
             for site, ring in sorted(voronoi_cells(sorted(up), (*low, *high)).items()):
                 found = overlay([tall], [[np.array(ring)]], RULES["intersection"])
-                flat = [[np.array([(x, _half_up(y / aspect)) for x, y in r]) for r in piece] for piece in found]
+                flat = [[[(x, _half_up(y / aspect)) for x, y in r.tolist()] for r in piece] for piece in found]
                 if flat:
                     out.setdefault(up[site], []).extend(flat)
-        return [{"site": {"x": s[0], "y": s[1]}, "polygons": _structs(p)} for s, p in out.items()]
+        return sorted(out.items())
 
     place = "struct<x:double,y:double>"
-
     kind = pa.list_(pa.struct([("site", POINT), ("polygons", POLYGONS)]))
+    # Only undistorted shapes may be moved: else heights are rounded where they are.
+    known = _Remembered(pieces) if aspect == 1 else lambda polygons, own: (pieces(_pairs(polygons or []), [(p["x"], p["y"]) for p in own or []]), 0.0, 0.0)
+
+    def placed(found: list, dx: float, dy: float) -> list:
+        return [{"site": {"x": x + dx, "y": y + dy}, "polygons": [[_moved(r, dx, dy) for r in polygon] for polygon in polygons]} for (x, y), polygons in found]
 
     @F.arrow_udf(f"array<struct<site:{place},polygons:array<array<array<{place}>>>>>")
     def cut(polygons: pa.Array, own: pa.Array) -> pa.Array:
-        return pa.array([pieces(p or [], s or []) for p, s in zip(polygons.to_pylist(), own.to_pylist())], kind)
+        return pa.array([placed(*known(p, s)) for p, s in zip(polygons.to_pylist(), own.to_pylist())], kind)
 
     rest = [c for c in df.columns if c not in ("points", "lines", "polygons", seeds)]
+    df = _by_shape(df, "polygons", seeds)
     return df.select(*rest, F.explode(cut("polygons", seeds)).alias("piece")).select(*rest, "piece.site", "piece.polygons")
 
 
@@ -245,7 +302,7 @@ def _axis(rings: list, step: float, shortest: float) -> list:
     radius: dict = {}
     for site, ring in cells.items():
         for q in ring:
-            k = (round(q[0], 6), round(q[1], 6))
+            k = _place(q)
             radius[k] = min(radius.get(k, math.inf), math.dist(q, site))
     inside = {q for q, r in radius.items() if r >= 0.9 * step and _within(rings, q)}
     near: dict = {}
@@ -268,7 +325,7 @@ def _axis(rings: list, step: float, shortest: float) -> list:
                 path.append(follow[0])
             if sum(map(math.dist, path, path[1:])) >= shortest:
                 whole = [(_half_up(x), _half_up(y)) for x, y in path]
-                out.append([{"x": p[0], "y": p[1]} for i, p in enumerate(whole) if i == 0 or p != whole[i - 1]])
+                out.append([p for i, p in enumerate(whole) if i == 0 or p != whole[i - 1]])
     return [line for line in out if len(line) > 1]
 
 
@@ -292,14 +349,18 @@ def medial_axis(df: DataFrame, densify: float = 6.0, shortest: float = 0.0) -> D
     where more than two meet, and chains below ``shortest`` dropped. Features without any line go.
     """
 
+    known = _Remembered(lambda polygons, _: [line for rings in polygons if rings and len(rings[0]) >= 3 for line in _axis(rings, densify, shortest)])
+
+    def placed(lines: list, dx: float, dy: float) -> list:
+        return [_moved(line, dx, dy) for line in lines]
+
     @F.arrow_udf("array<array<struct<x:double,y:double>>>")
     def run(column: pa.Array) -> pa.Array:
-        found = [[line for rings in _pairs(p or []) if rings and len(rings[0]) >= 3 for line in _axis(rings, densify, shortest)] for p in column.to_pylist()]
-        return pa.array(found, LINES)
+        return pa.array([placed(*known(p)) for p in column.to_pylist()], LINES)
 
     if densify <= 0:
         return df.where(F.lit(False)).withColumn("lines", F.array().cast("array<array<struct<x:double,y:double>>>")).drop("polygons", "points")
-    return df.withColumn("lines", run("polygons")).drop("polygons", "points").where(F.size("lines") > 0)
+    return _by_shape(df, "polygons").withColumn("lines", run("polygons")).drop("polygons", "points").where(F.size("lines") > 0)
 
 
 def _outline_distance(rings: list, x: float, y: float) -> float:
@@ -313,7 +374,7 @@ def _outline_distance(rings: list, x: float, y: float) -> float:
     return best if _within(rings, (x, y)) else -best
 
 
-def _pole(rings: list, precision: float) -> dict | None:
+def _pole(rings: list, precision: float) -> tuple | None:
     """Squares that may still hold a better place than the best so far by ``precision`` are split, the most promising first."""
     if not rings or not rings[0]:
         return None
@@ -322,7 +383,7 @@ def _pole(rings: list, precision: float) -> dict | None:
     xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
     side = min(max(xs) - min(xs), max(ys) - min(ys))
     if side == 0:
-        return {"x": _half_up(min(xs) + ox), "y": _half_up(min(ys) + oy)}
+        return _half_up(min(xs) + ox), _half_up(min(ys) + oy)
     queue: list = []
 
     def push(x: float, y: float, h: float) -> tuple:
@@ -348,14 +409,16 @@ def _pole(rings: list, precision: float) -> dict | None:
         for sx in (-h / 2, h / 2):
             for sy in (-h / 2, h / 2):
                 push(x + sx, y + sy, h / 2)
-    return {"x": _half_up(best[1] + ox), "y": _half_up(best[2] + oy)}
+    return _half_up(best[1] + ox), _half_up(best[2] + oy)
 
 
 def polylabel(df: DataFrame, precision: float = 1.0) -> DataFrame:
     """Points inside each polygon furthest from its outline, holes included, found to within ``precision``."""
 
+    known = _Remembered(lambda polygons, _: [p for rings in polygons if (p := _pole(rings, precision))])
+
     @F.arrow_udf("array<struct<x:double,y:double>>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([[p for rings in _pairs(polygons or []) if (p := _pole(rings, precision))] for polygons in column.to_pylist()], pa.list_(POINT))
+        return pa.array([_moved(*known(polygons)) for polygons in column.to_pylist()], pa.list_(POINT))
 
-    return df.withColumn("points", run("polygons")).drop("polygons", "lines").where(F.size("points") > 0)
+    return _by_shape(df, "polygons").withColumn("points", run("polygons")).drop("polygons", "lines").where(F.size("points") > 0)

@@ -105,9 +105,9 @@ query("buffer_polygons", f"""SELECT {FK}, CAST(CASE WHEN i IN (0, 3) THEN x0 - 1
     lambda spark, d: _corners(overlay.buffer(rects(spark, d), 10.0)))
 query("buffer_shrunk", f"""SELECT {FK}, CAST(CASE WHEN i IN (0, 3) THEN x0 + 9 ELSE x1 - 9 END AS BIGINT) AS vx, CAST(CASE WHEN i IN (0, 1) THEN y0 + 9 ELSE y1 - 9 END AS BIGINT) AS vy FROM lift_rects, (VALUES (0), (1), (2), (3)) AS k(i) WHERE x1 - x0 > 18 AND y1 - y0 > 18""", "lift_rects")(
     lambda spark, d: _corners(overlay.buffer(rects(spark, d), -9.0)))
-query("polylabel")(lambda spark, d: geometry.vertices(kernels.polylabel(rects(spark, d).repartition(32)), "points"))
-query("medial_axis")(lambda spark, d: geometry.vertices(kernels.medial_axis(rects(spark, d).repartition(32), 32.0), "lines"))
-query("voronoi_fracture")(lambda spark, d: geometry.vertices(kernels.voronoi_fracture(_seeded(spark, d).repartition(32)), "polygons"))
+query("polylabel")(lambda spark, d: geometry.vertices(kernels.polylabel(rects(spark, d)), "points"))
+query("medial_axis")(lambda spark, d: geometry.vertices(kernels.medial_axis(rects(spark, d), 32.0), "lines"))
+query("voronoi_fracture")(lambda spark, d: geometry.vertices(kernels.voronoi_fracture(_seeded(spark, d)), "polygons"))
 
 
 def _corners(df):

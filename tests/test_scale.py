@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import grid as G
-from tessera.operators import field, geometry, overlay, raster
+from tessera.operators import field, geometry, kernels, overlay, raster
 from tessera.plans import catalog
 
 
@@ -108,3 +108,24 @@ def test_squares_are_dealt_out_and_copies_cancel(spark):
     assert overlay.feature_boolean(rows, none).count() == 0  # by even and odd crossings, twice is not at all
     out = overlay.dissolve(rows)
     assert out.count() == 32 and out.rdd.getNumPartitions() == 4
+
+
+def test_shapes_are_worked_out_once(spark):
+    seen = []
+    known = kernels._Remembered(lambda polygons, points: seen.append(points) or polygons)
+    box = lambda x, y: [[[{"x": x + a, "y": y + b} for a, b in ((0.0, 0.0), (30.0, 0.0), (30.0, 20.0), (0.0, 20.0))]]]
+    for i in range(50):
+        found, dx, dy = known(box(7.0 * i, 11.0 * i), [{"x": 7.0 * i + 3, "y": 11.0 * i + 4}])
+        assert (dx, dy) == (7.0 * i, 11.0 * i) and found[0][0][2] == (30.0, 20.0)
+    assert len(seen) == 1
+    rows = spark.createDataFrame([(box(7.0 * i, 11.0 * i),) for i in range(50)], "polygons " + geometry.SHAPES["polygons"])
+    assert kernels._by_shape(rows, "polygons").groupBy(F.spark_partition_id()).count().count() == 1
+    assert {(r.points[0].x, r.points[0].y) for r in kernels.polylabel(rows).collect()} == {(7.0 * i + 15, 11.0 * i + 10) for i in range(50)}
+
+
+def test_medial_axis_is_the_same_at_every_place():
+    """Corners of cells at 128ths were rounded either way, and lines broken there."""
+    for x, y, w, h in [(834, 1247, 102, 159), (3336, 2613, 160, 213), (1025, 2413, 191, 213), (2262, 2976, 114, 160)]:
+        ring = lambda x, y, w=w, h=h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        here, there = kernels._axis([ring(float(x), float(y))], 32.0, 0.0), kernels._axis([ring(0.0, 0.0)], 32.0, 0.0)
+        assert here == [[(p[0] + x, p[1] + y) for p in line] for line in there]
