@@ -618,7 +618,8 @@ def nearest_seed(df: DataFrame, seeds: DataFrame, aspect: float = 1.0, per_cell:
     """Each point row (vx, vy) with the nearest seed (seed_ix, sx, sy) of its tile; ties to the smaller seed.
 
     Vertical distance counts ``aspect`` times. Points look into their cell of the tile and the eight around it; those whose
-    best lies beyond what these surely cover look again in cells four times as wide, up to the whole tile. The finest cells
+    best lies beyond what these surely cover look again in cells four times as wide, up to the whole tile. It is seeds that are
+    shown in nine cells: a point is shuffled once a level. The finest cells
     hold about ``per_cell`` seeds in the fullest tile; seeds at one place are one, as are points equal in all columns. Tiles
     without seeds give no row.
     """
@@ -632,10 +633,10 @@ def nearest_seed(df: DataFrame, seeds: DataFrame, aspect: float = 1.0, per_cell:
         side = extent / 4 ** (levels - 1 - level)
         last = level == levels - 1
         cell = lambda c, s=side, whole=last: F.lit(0) if whole else F.floor(V(c) / s)
-        held = places.withColumns({"cx": cell("sx"), "cy": cell("sy")})
         around = F.array(F.lit(0)) if last else F.array(F.lit(-1), F.lit(0), F.lit(1))
-        asks = left.withColumns({"ax": cell("vx"), "ay": cell("vy")}).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        asks = asks.withColumns({"cx": V("ax") + V("dx"), "cy": V("ay") + V("dy")}).drop("ax", "ay", "dx", "dy")
+        held = places.withColumns({"ax": cell("sx"), "ay": cell("sy")}).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        held = held.withColumns({"cx": V("ax") + V("dx"), "cy": V("ay") + V("dy")}).drop("ax", "ay", "dx", "dy")
+        asks = left.withColumns({"cx": cell("vx"), "cy": cell("vy")})
         d = F.pow(V("sx") - V("vx"), F.lit(2)) + F.pow((V("sy") - V("vy")) * aspect, F.lit(2))
         best = asks.join(held, [*TILE, "cx", "cy"], "inner" if last else "left")
         best = best.groupBy(*keys).agg(F.min(F.when(V("sx").isNotNull(), F.struct(d.alias("d"), "seed_ix"))).alias("best"))

@@ -200,7 +200,10 @@ REMEMBERED = 20_000
 
 
 def _by_shape(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows whose polygons (and points) are the same but for their place go to one task, which works each shape out once."""
+    """Rows whose polygons (and points) are the same but for their place go to one task, which works each shape out once.
+
+    What is filtered by the outcome must not be worked out before the shuffle too: such functions are called nondeterministic.
+    """
     from .geometry import SHAPES
 
     p = F.coalesce(F.col(columns[0]), F.array().cast(SHAPES["polygons"]))
@@ -360,7 +363,7 @@ def medial_axis(df: DataFrame, densify: float = 6.0, shortest: float = 0.0) -> D
 
     if densify <= 0:
         return df.where(F.lit(False)).withColumn("lines", F.array().cast("array<array<struct<x:double,y:double>>>")).drop("polygons", "points")
-    return _by_shape(df, "polygons").withColumn("lines", run("polygons")).drop("polygons", "points").where(F.size("lines") > 0)
+    return _by_shape(df, "polygons").withColumn("lines", run.asNondeterministic()("polygons")).drop("polygons", "points").where(F.size("lines") > 0)
 
 
 def _outline_distance(rings: list, x: float, y: float) -> float:
@@ -421,4 +424,4 @@ def polylabel(df: DataFrame, precision: float = 1.0) -> DataFrame:
     def run(column: pa.Array) -> pa.Array:
         return pa.array([_moved(*known(polygons)) for polygons in column.to_pylist()], pa.list_(POINT))
 
-    return _by_shape(df, "polygons").withColumn("points", run("polygons")).drop("polygons", "lines").where(F.size("points") > 0)
+    return _by_shape(df, "polygons").withColumn("points", run.asNondeterministic()("polygons")).drop("polygons", "lines").where(F.size("points") > 0)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import grid as G
-from tessera.operators import field, geometry, kernels, overlay, raster
+from tessera.operators import coverage, field, geometry, kernels, overlay, raster
 from tessera.plans import catalog
 
 
@@ -129,3 +129,22 @@ def test_medial_axis_is_the_same_at_every_place():
         ring = lambda x, y, w=w, h=h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
         here, there = kernels._axis([ring(float(x), float(y))], 32.0, 0.0), kernels._axis([ring(0.0, 0.0)], 32.0, 0.0)
         assert here == [[(p[0] + x, p[1] + y) for p in line] for line in there]
+
+
+def test_seeds_not_points_are_shown_in_nine_cells(spark):
+    points = spark.range(200).select(F.lit(1).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", (F.col("id") * 97 % 4096).alias("vx"), (F.col("id") * 641 % 4096).alias("vy"))
+    seeds = spark.range(500).select(F.lit(1).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("id").alias("seed_ix"), (F.col("id") * 211 % 4096).alias("sx"), (F.col("id") * 389 % 4096).alias("sy"))
+    out = geometry.nearest_seed(points, seeds, 2.0)
+    exploded = [line for line in plan(out).splitlines() if "Generate" in line]
+    assert exploded and not any("vx" in line for line in exploded)
+    for r in out.collect():
+        best = min(((i * 211 % 4096 - r.vx) ** 2 + ((i * 389 % 4096 - r.vy) * 2.0) ** 2, i) for i in range(500))
+        assert r.seed_ix == best[1]
+
+
+def test_what_lies_under_opaque_rows_is_left_out(spark):
+    rows = spark.range(1000).select(F.lit(0).alias("z"), F.lit(0).alias("x"), F.lit(0).alias("y"), (F.col("id") % 4).cast("int").alias("px"), F.lit(0).alias("py"), F.col("id").alias("feature_ix"),
+                                    *[F.lit(0.5).alias(f"p_{c}") for c in "rgb"], F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.5).alias("p_a"))
+    kept = coverage._above_opaque(rows, ["feature_ix"])
+    assert kept.where("px = 0").agg(F.min("feature_ix")).first()[0] == 980 and kept.where("px = 1").count() == 250
+    assert kept.count() == coverage._above_opaque(rows, ["feature_ix"], most=0).count() < 600
