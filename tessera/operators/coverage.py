@@ -161,9 +161,11 @@ def paint(rows: DataFrame, size: int, order: list[str] | None = None) -> Grid:
     """Pixels (p_r, p_g, p_b, p_a: straight shares) laid over each other by ``order``, rounded once at the end.
 
     What lies under an opaque pixel counts nothing. The share that shines through is a product, summed as logarithms from
-    the top down while a pixel's rows stream by: no pixel's rows are ever gathered.
+    the top down while a pixel's rows stream by: no pixel's rows are ever gathered. Each pixel's topmost opaque row is
+    found first, in one pass that shuffles a row a pixel and task; what lies under it is left out before rows are sorted.
     """
     keys = order or [ORDER]
+    rows = _above_opaque(rows, keys)
     top = Window.partitionBy(*PIXEL).orderBy(*[F.desc(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.where("p_a > 0")
     opaque = V("p_a") >= 1
@@ -176,6 +178,14 @@ def paint(rows: DataFrame, size: int, order: list[str] | None = None) -> Grid:
     return Grid(sums.select(*PIXEL, *[to_byte(F.round(V(c), 12)).alias(c) for c in BANDS]), size, size)
 
 
+def _above_opaque(rows: DataFrame, keys: list[str], most: int = 1 << 20) -> DataFrame:
+    """Rows at or above the topmost opaque row of their pixel; tops are sent to all tasks up to ``most`` pixels."""
+    rank = F.struct(*keys)
+    tops = rows.where("p_a >= 1").groupBy(*PIXEL).agg(F.max(rank).alias("top")).checkpoint()
+    tops = F.broadcast(tops) if tops.count() <= most else tops
+    return rows.join(tops, list(PIXEL), "left").where(V("top").isNull() | (rank >= V("top"))).drop("top")
+
+
 def fill_solid(df: DataFrame, size: int, fill: Column | str, opacity: Column | float = 1.0, edge: Column | str | None = None, edge_width: Column | float = 1.0, edge_opacity: Column | float = 1.0, extent: int = EXTENT) -> Grid:
     """Polygons painted in their order; with ``edge``, each one's outline over its fill."""
     rows = filled(df.withColumns(_paint_columns(fill, opacity)), size, extent).withColumn("__layer", F.lit(0))

@@ -20,7 +20,9 @@ LV = "lift_line_vertices"
 def lines(spark, d):
     v = lifted(spark, d, LV)
     p = F.transform(F.sort_array(F.collect_list(F.struct("i", "vx", "vy"))), lambda q: O.point(q["vx"], q["vy"]))
-    return v.groupBy("z", "x", "y", "feature_ix").agg(F.array(p).alias("lines"))  # a line's own vertices
+    own = v.groupBy("z", "x", "y", "feature_ix").agg(F.array(p).alias("lines"))  # a line's own vertices
+    # Few bytes are much work: lines are not put together to one task.
+    return own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feature_ix")
 
 
 def rects(spark, d):
