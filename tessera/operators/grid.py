@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 TILE = ("z", "x", "y")
 PIXEL = (*TILE, "px", "py")
 BANDS = ("r", "g", "b", "a")
+#: Fewest tasks for rows that are made far more of; no more than are written without a sort (spark.shuffle.sort.bypassMergeThreshold).
+TASKS = 192
 
 
 @dataclass(frozen=True)
@@ -45,12 +47,20 @@ def one_tile(spark: SparkSession, z: int = 0, x: int = 0, y: int = 0) -> DataFra
     return spark.range(1).select(F.lit(z).alias("z"), F.lit(x).alias("x"), F.lit(y).alias("y"))
 
 
+def tasks(df: DataFrame) -> int:
+    """Into how many tasks rows are dealt of which much more is made: as many as shuffles have, but not fewer than ``TASKS``.
+
+    What a task sorts and counts is held in memory at once, for all its windows and groupings together.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), TASKS)
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt by tile into as many tasks as shuffles have, never fewer: what tasks make of them may be far larger.
+    """Rows dealt by tile into many tasks: what these make of them may be far larger.
 
     By x and y alone, which windows and groupings within tiles take as they are even where z is one number.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+    return df.repartition(tasks(df), "x", "y")
 
 
 def dense(grid: Grid) -> Grid:

@@ -3,7 +3,7 @@
 Spark deals polygons by tile (or by feature) and a small kernel overlays each group: all edges are split where they meet,
 and a piece of an edge belongs to the result's outline if the place just left of it is inside and that just right is not.
 Where all edges are parallel to the axes, places are counted on the grid of their coordinates instead, which is linear in it.
-Polygons that are the same in a square are first made one by Spark (by parity those that are there twice are none).
+Polygons that are the same in a tile are first made one by Spark (by parity those that are there twice are none).
 With ``cells`` > 1 a tile is cut into that many squares a side first, which bounds a group; the result is the same area, cut
 along the squares' sides. Whole coordinates are rounded half away from zero; rings that lose their area are dropped.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .clipping import clip_polygons, tidy_polygons
 from .geometry import EXTENT, SHAPES, disc, shape, stitched
-from .grid import TILE
+from .grid import TILE, tasks
 
 #: Arrow's names for shapes. Nested arrays go to Python as Arrow: their way to pandas breaks where a batch has only empty ones.
 POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -180,17 +180,29 @@ def _overlaid(ea: np.ndarray, eb: np.ndarray, rule, wound: bool) -> list[list[np
     return _assembled(_rings(np.concatenate([pieces[left & ~right], turned[right & ~left]])))
 
 
+def _twice_areas(rings: list[np.ndarray]) -> np.ndarray:
+    """``area2`` of each ring, all in one go."""
+    if not rings:
+        return np.empty(0)
+    n = np.array([len(r) for r in rings])
+    first = n.cumsum() - n
+    follow = np.arange(1, n.sum() + 1)
+    follow[first + n - 1] = first
+    x, y = np.concatenate(rings).T
+    return np.add.reduceat(x * y[follow] - y * x[follow], first)
+
+
 def _assembled(rings: list[np.ndarray], regions: list[int] | None = None) -> list[list[np.ndarray]]:
     """Rings as polygons with whole coordinates: a hole goes to the exterior of its region, or if these are not known to the least around it."""
     whole = [np.sign(r) * np.floor(np.abs(r) + 0.5) for r in rings]
-    kept = [(w, r, g) for w, r, g in zip(whole, rings, regions or [None] * len(rings)) if area2(w) != 0]
-    outer = sorted(([w, r, g] for w, r, g in kept if area2(r) > 0), key=lambda o: (area2(o[1]), o[0].tolist()))
+    kept = [(w, r, g, a) for w, r, g, a, b in zip(whole, rings, regions or [None] * len(rings), _twice_areas(rings).tolist(), _twice_areas(whole).tolist()) if b != 0]
+    outer = sorted(([w, r, g, a] for w, r, g, a in kept if a > 0), key=lambda o: (o[3], o[0].tolist()))
     out = [[o[0]] for o in outer]
     if regions is None and outer:
         low, high = (np.array([f(o[1], axis=0) for o in outer]) for f in (np.min, np.max))
     known = {o[2]: k for k, o in enumerate(outer)}
-    for w, r, g in kept:
-        if area2(r) < 0:
+    for w, r, g, a in kept:
+        if a < 0:
             if regions is not None:
                 if g in known:
                     out[known[g]].append(w)
@@ -198,10 +210,10 @@ def _assembled(rings: list[np.ndarray], regions: list[int] | None = None) -> lis
             at = (r[:1] + r[1:2]) / 2
             for k in np.nonzero(((low <= at) & (at <= high)).all(1))[0] if outer else ():
                 big = outer[k][1]
-                if area2(big) > -area2(r) and _winding(np.hstack([big, np.roll(big, -1, axis=0)]), at[:, 0], at[:, 1])[0]:
+                if outer[k][3] > -a and _winding(np.hstack([big, np.roll(big, -1, axis=0)]), at[:, 0], at[:, 1])[0]:
                     out[k].append(w)
                     break
-    return sorted(out, key=lambda p: p[0][np.lexsort(p[0].T[::-1])[0]].tolist())
+    return sorted(out, key=lambda p: min(p[0].tolist()))
 
 
 def _gridded(ea: np.ndarray, eb: np.ndarray, rule, wound: bool, xs: np.ndarray, ys: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
@@ -255,7 +267,7 @@ def _gridded(ea: np.ndarray, eb: np.ndarray, rule, wound: bool, xs: np.ndarray,
     turned = heading >= 2
     begin = np.lexsort((-end, ~turned, py, px)).tolist()
     used, froms, cells = bytearray(len(start)), start.tolist(), cell.tolist()
-    rings, regions = [], []
+    paths, regions = [], []
     for k in begin:
         if used[k]:
             continue
@@ -265,14 +277,20 @@ def _gridded(ea: np.ndarray, eb: np.ndarray, rule, wound: bool, xs: np.ndarray,
             path.append(froms[k])
             k = follow[k]
         for ring in _parted(path):
-            at = np.array(ring)
-            r = np.column_stack([xs[at % nx], ys[at // nx]])
-            before, after = r - np.roll(r, 1, axis=0), np.roll(r, -1, axis=0) - r
-            r = r[before[:, 0] * after[:, 1] != before[:, 1] * after[:, 0]]
-            if len(r) >= 3:
-                rings.append(r)
-                regions.append(region_of)
-    return rings, regions
+            paths.append(ring)
+            regions.append(region_of)
+    # Places on straight stretches are left out, of all rings in one go.
+    n = np.array([len(p) for p in paths])
+    first, at = n.cumsum() - n, np.array([q for p in paths for q in p])
+    after, before = np.arange(1, len(at) + 1), np.arange(-1, len(at) - 1)
+    after[first + n - 1], before[first] = first, first + n - 1
+    r = np.column_stack([xs[at % nx], ys[at // nx]])
+    u, v = r - r[before], r[after] - r
+    bends = u[:, 0] * v[:, 1] != v[:, 0] * u[:, 1]
+    ends = np.add.reduceat(bends, first).cumsum().tolist()
+    r = r[bends]
+    found = [(r[a:b], g) for a, b, g in zip([0, *ends], ends, regions) if b - a >= 3]
+    return [f[0] for f in found], [f[1] for f in found]
 
 
 def _regions(inside: np.ndarray) -> np.ndarray:
@@ -300,10 +318,18 @@ def _structs(polygons: list[list[np.ndarray]]) -> list:
     return [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon] for polygon in polygons]
 
 
-def _in_cells(df: DataFrame, cells: int, low: float, high: float, *by: str) -> DataFrame:
-    """(tile, by ..., cx, cy, p): each polygon in the squares of [low, high] that it meets, clipped to them if there are several."""
-    keys = [*TILE, *by]
-    rows = df.select(*keys, F.explode(shape(df, "polygons")).alias("p"))
+def _copies(rows: DataFrame) -> DataFrame:
+    """Distinct rows (tile, by ..., p) with their number ``n``.
+
+    Dealt out before they are counted: a map of a whole split's polygons would grow with the split, and what is made of a few
+    bytes of polygons is much work.
+    """
+    return rows.repartition(tasks(rows), *rows.columns).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _in_cells(rows: DataFrame, cells: int, low: float, high: float) -> DataFrame:
+    """(tile, by ..., p) with cx, cy: each polygon in the squares of [low, high] that it meets, clipped to them if there are several."""
+    keys = [c for c in rows.columns if c != "p"]
     if cells <= 1:
         return rows.select(*keys, F.lit(0).alias("cx"), F.lit(0).alias("cy"), "p")
     side, last = (high - low) / cells, cells - 1
@@ -376,9 +402,8 @@ def feature_boolean(a: DataFrame, b: DataFrame, mode: str = "union", cells: int
     Insides are by even and odd crossings over an input's rings. Points and lines are dropped; nothing gives no row.
     """
     rule = RULES[mode]
-    rows = _in_cells(a, cells, 0, extent).withColumn("second", F.lit(False))
-    rows = rows.unionByName(_in_cells(b, cells, 0, extent).withColumn("second", F.lit(True)))
-    odd = rows.groupBy(*TILE, "cx", "cy", "second", "p").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    first, second = (df.select(*TILE, F.lit(k).alias("second"), F.explode(shape(df, "polygons")).alias("p")) for df, k in ((a, False), (b, True)))
+    odd = _in_cells(_copies(first.unionByName(second)).where("n % 2 = 1").drop("n"), cells, 0, extent)
     return _per_square(odd, [*TILE], lambda p, q: _overlaid(_edges_of(p, False), _edges_of(q, False), rule, False), "z int, x int, y int")
 
 
@@ -389,7 +414,8 @@ def dissolve(df: DataFrame, *by: str, cells: int = 1, low: float = 0, high: floa
     """
     keys = [*TILE, *by]
     types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-    rows = _in_cells(df, cells, low, high, *by).distinct().withColumn("second", F.lit(False))
+    every = df.select(*keys, F.explode(shape(df, "polygons")).alias("p"))
+    rows = _in_cells(_copies(every).drop("n"), cells, low, high).withColumn("second", F.lit(False))
     return _per_square(rows, keys, lambda p, _: _overlaid(_edges_of(p, True), np.empty((0, 4)), lambda a, b: a, True), types)
 
 

@@ -148,3 +148,20 @@ def test_what_lies_under_opaque_rows_is_left_out(spark):
     kept = coverage._above_opaque(rows, ["feature_ix"])
     assert kept.where("px = 0").agg(F.min("feature_ix")).first()[0] == 980 and kept.where("px = 1").count() == 250
     assert kept.count() == coverage._above_opaque(rows, ["feature_ix"], most=0).count() < 600
+
+
+def test_overlay_of_many_rings():
+    """Areas were worked out ring by ring, several times each."""
+    own = [[np.array([(x, y), (x + 2, y), (x + 2, y + 2), (x, y + 2)], float)] for x in range(0, 800, 4) for y in range(0, 800, 4)]
+    began = time.process_time()
+    found = overlay.overlay(own, [], overlay.RULES["union"])
+    assert time.process_time() - began < 6
+    assert [p[0].min(0).tolist() for p in found] == [p[0][0].tolist() for p in own] and all(len(p) == 1 for p in found)
+
+
+def test_polygons_are_dealt_out_before_they_are_counted_and_clipped(spark):
+    tile = "z int, x int, y int, polygons " + geometry.SHAPES["polygons"]
+    rows = spark.createDataFrame([(5, 0, 0, [[[(float(i), 10.0), (i + 20.0, 10.0), (i + 20.0, 20.0), (float(i), 20.0)]]]) for i in range(0, 4000, 50)], tile)
+    for out in (overlay.feature_boolean(rows, rows.limit(1), "xor", cells=2), overlay.dissolve(rows, cells=2)):
+        assert plan(out).count("REPARTITION_BY_NUM") == 2  # only squares were dealt out before: each split's polygons were clipped and kept in one map
+    assert overlay._copies(rows.select("z", "x", "y", F.explode("polygons").alias("p"))).rdd.getNumPartitions() >= G.TASKS
