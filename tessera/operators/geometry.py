@@ -86,6 +86,19 @@ def vertices(df: DataFrame, of: str = "lines") -> DataFrame:
     return rows.select(*keep, F.posexplode("s").alias("i", "p")).select(*keep, "i", V("p.x").alias("vx"), V("p.y").alias("vy"))
 
 
+def every_vertex(df: DataFrame) -> DataFrame:
+    """Long form of points, lines and polygons in one pass: of_, part (points: 0), i, vx, vy; other columns stay."""
+    keep = [c for c in df.columns if c not in SHAPES]
+
+    def line(of: str, ps: Column, part: Column) -> Column:
+        return F.transform(ps, lambda p, i: F.struct(F.lit(of).alias("of_"), part.cast("int").alias("part"), i.cast("int").alias("i"), p["x"].alias("vx"), p["y"].alias("vy")))
+
+    lines = F.flatten(F.transform(shape(df, "lines"), lambda r, part: line("lines", r, part)))
+    polygons = F.flatten(F.flatten(F.transform(shape(df, "polygons"), lambda rs, part: F.transform(rs, lambda r: line("polygons", r, part)))))
+    every = F.concat(line("points", shape(df, "points"), F.lit(0)), lines, polygons)
+    return df.select(*keep, F.explode(every).alias("v")).select(*keep, "v.of_", "v.part", "v.i", "v.vx", "v.vy")
+
+
 # Sources
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mercator import EARTH_M
 from ..operators import geometry
-from ..operators.grid import Grid
+from ..operators.grid import Grid, tasks
 from ..sources import geojson
 from ..sources import tiles as T
 from ..sources.lift import SIZE, field, pixels
@@ -21,7 +21,9 @@ TEXT = f"""SELECT '{{"type":"FeatureCollection","features":[{{"type":"Feature","
 
 
 def collections(spark, d):
-    spark.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("geojson_customer")
+    """Customers are dealt out before their texts are written: few bytes are much work."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    customers.repartition(tasks(customers), "c_custkey").createOrReplaceTempView("geojson_customer")
     return spark.sql(TEXT.replace("FROM customer", "FROM geojson_customer"))
 
 
@@ -31,13 +33,7 @@ _V = f"""v AS (SELECT c_custkey, feature_ix, of_, part, i, ({_LON} + dx) / CAST(
 
 
 def _long(df, *keys):
-    found = None
-    for of in ("points", "lines", "polygons"):
-        v = geometry.vertices(df, of).withColumn("of_", F.lit(of))
-        v = v.withColumn("part", F.lit(0)) if of == "points" else v
-        v = v.select(*keys, "feature_ix", "of_", F.col("part").cast("int").alias("part"), F.col("i").cast("int").alias("i"), "vx", "vy")
-        found = v if found is None else found.unionByName(v)
-    return found
+    return geometry.every_vertex(df.select(*keys, "feature_ix", *geometry.SHAPES))
 
 
 query("geojson_decode", f"WITH {_V} SELECT c_custkey, CAST(feature_ix AS BIGINT) AS feature_ix, of_, part, i, CAST(round(lon * 10) AS BIGINT) AS vx, CAST(round(lat * 10) AS BIGINT) AS vy FROM v")(

@@ -23,9 +23,9 @@ def decode(texts: DataFrame, column: str = "json") -> DataFrame:
     """
     rest = [c for c in texts.columns if c != column]
     root = F.from_json(column, "type string, features array<string>, geometry string, coordinates string")
-    rows = texts.withColumn("__root", root).where("__root.type IS NOT NULL")
+    rows = texts.withColumn("__root", root)
     one = F.when(V("__root.type") == "Feature", F.array(column)).otherwise(F.array(F.concat(F.lit('{"type":"Feature","geometry":'), column, F.lit("}"))))
-    every = F.when(V("__root.type") == "FeatureCollection", V("__root.features")).otherwise(one)
+    every = F.when(V("__root.type") == "FeatureCollection", V("__root.features")).when(V("__root.type").isNotNull(), one)
     rows = rows.select(*rest, F.posexplode(every).alias("feature_ix", "__feature"))
     parts = F.from_json("__feature", "id string, properties string, geometry string")
     rows = rows.select(*rest, V("feature_ix").cast("long").alias("feature_ix"), V("__feature"), parts.alias("__f"))
@@ -104,16 +104,18 @@ def tiled(features: DataFrame, z: int, buffer: float = 64.0, extent: int = EXTEN
     """Features in degrees bound to the tiles at ``z`` that their boxes touch, within ``buffer`` units, in whole tile units.
 
     Coordinates outside the tile are kept. A feature is exploded to its tiles, so one that covers very many has many rows.
+    What lies in no tile has no sequence of them: a filter would be moved below and work out the shapes again.
     """
     n = 1 << z
     rows = mapped(features, world)
     every = F.concat(V("points"), F.flatten("lines"), F.flatten(F.flatten("polygons")))
-    rows = rows.withColumn("__v", every).where(F.size("__v") > 0)
+    rows = rows.withColumn("__v", every)
     edge = buffer / extent
     low = lambda k: F.greatest(F.floor(F.array_min(F.transform("__v", lambda p: p[k])) * n - edge), F.lit(0)).cast("int")
     high = lambda k: F.least(F.floor(F.array_max(F.transform("__v", lambda p: p[k])) * n + edge), F.lit(n - 1)).cast("int")
-    rows = rows.withColumns({"__x0": low("x"), "__x1": high("x"), "__y0": low("y"), "__y1": high("y")}).where("__x0 <= __x1 AND __y0 <= __y1")
-    rows = rows.withColumn("x", F.explode(F.sequence("__x0", "__x1"))).withColumn("y", F.explode(F.sequence("__y0", "__y1")))
+    rows = rows.withColumns({"__x0": low("x"), "__x1": high("x"), "__y0": low("y"), "__y1": high("y")})
+    span = lambda k: F.when(V(f"__{k}0") <= V(f"__{k}1"), F.sequence(f"__{k}0", f"__{k}1"))
+    rows = rows.withColumn("x", F.explode(span("x"))).withColumn("y", F.explode(span("y")))
     rows = mapped(rows, lambda p: point(F.round((p["x"] * n - V("x")) * extent), F.round((p["y"] * n - V("y")) * extent)))
     rest = [c for c in features.columns if c not in SHAPES]
     return rows.select(F.lit(z).alias("z"), "x", "y", *rest, *SHAPES)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import grid as G
 from tessera.operators import coverage, field, geometry, kernels, overlay, raster
 from tessera.plans import catalog
+from tessera.sources import geojson
 
 
 def plan(df) -> str:
@@ -165,3 +166,16 @@ def test_polygons_are_dealt_out_before_they_are_counted_and_clipped(spark):
     for out in (overlay.feature_boolean(rows, rows.limit(1), "xor", cells=2), overlay.dissolve(rows, cells=2)):
         assert plan(out).count("REPARTITION_BY_NUM") == 2  # only squares were dealt out before: each split's polygons were clipped and kept in one map
     assert overlay._copies(rows.select("z", "x", "y", F.explode("polygons").alias("p"))).rdd.getNumPartitions() >= G.TASKS
+
+
+def test_geojson_shapes_are_worked_out_once(spark):
+    texts = spark.createDataFrame([('{"type":"Point","coordinates":[5,6]}',), ('{"type":"Point","coordinates":[500,6]}',), ("[]",), ("no",), ('{"type":"LineString","coordinates":[]}',)], "json string")
+    out = geojson.tiled(geojson.decode(texts), 4)
+    assert not [line for line in plan(out).splitlines() if "Filter" in line and "from_json" in line]  # filters repeated what they look at
+    (row,) = geometry.every_vertex(out).collect()
+    assert (row.x, row.y, row.of_, row.part, row.i) == (8, 7, "points", 0, 0)
+
+
+def test_geojson_texts_are_decoded_once(spark):
+    p = plan(catalog.QUERIES["geojson_tiled"](spark, "/root/testdata/sf0.001"))
+    assert p.count("FileScan") == 1 and "REPARTITION_BY_NUM" in p  # a scan and a decoding for each kind of shape
