@@ -179,3 +179,9 @@ def test_geojson_shapes_are_worked_out_once(spark):
 def test_geojson_texts_are_decoded_once(spark):
     p = plan(catalog.QUERIES["geojson_tiled"](spark, "/root/testdata/sf0.001"))
     assert p.count("FileScan") == 1 and "REPARTITION_BY_NUM" in p  # a scan and a decoding for each kind of shape
+
+
+def test_tiles_are_dealt_into_many_tasks(tiles):
+    """A task holds all it sorts and counts; as many tasks as shuffles have were too few for large tables."""
+    assert "REPARTITION_BY_NUM" in plan(G.dense(G.Grid(tiles.withColumn("v", F.lit(1.5)), 8, 8)).df)
+    assert G.dealt(tiles).rdd.getNumPartitions() >= G.TASKS
