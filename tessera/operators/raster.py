@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -294,18 +296,27 @@ def mix(a: Grid, b: Grid, t: float, space: str = "rgb") -> Grid:
 
 
 def _taps(source: Grid, at: DataFrame, boundary: str) -> DataFrame:
-    """Bilinear samples of ``source`` at (sx, sy) for each pixel row of ``at``: four joined taps, weighted and summed."""
+    """Bilinear samples of ``source`` at (sx, sy) for each pixel row of ``at``: four taps, weighted and summed.
+
+    A tile's pixels are put in one list, which is joined by tile; taps are looked up there by place. Rows are never made more of.
+    """
     w, h, bands = source.width, source.height, source.bands
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    rows = at.select(*PIXEL, "sx", "sy", corner.alias("t"))
-    share = lambda s, k: F.when(V(f"t.{k}") == 1, V(s) - F.floor(s)).otherwise(1 - (V(s) - F.floor(s)))
-    place = lambda s, k, n: _bounded((F.floor(s) + V(f"t.{k}")).cast("long"), n, boundary)
-    rows = rows.select(*PIXEL, (share("sx", "i") * share("sy", "j")).alias("k"), place("sx", "i", w).alias("qx"), place("sy", "j", h).alias("qy"))
-    known = source.df.select(*TILE, V("px").alias("qx"), V("py").alias("qy"), *bands)
-    rows = rows.join(known, [*TILE, "qx", "qy"], "left").groupBy(*PIXEL)
+    own = F.struct((V("py") * w + V("px")).alias("own"), *bands)
+    tiles = dense(source).df.groupBy(*TILE).agg(F.sort_array(F.collect_list(own)).alias("all"))
+    rows = at.select(*PIXEL, "sx", "sy").join(tiles, list(TILE), "left")
+    share = lambda s, i: V(s) - F.floor(s) if i else 1 - (V(s) - F.floor(s))
+
+    def tap(i: int, j: int) -> Column:
+        qx, qy = (_bounded((F.floor(s) + k).cast("long"), n, boundary) for s, k, n in (("sx", i, w), ("sy", j, h)))
+        return F.when(qx.between(0, w - 1) & qy.between(0, h - 1), F.get("all", qy * w + qx))
+
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    rows = rows.select(*PIXEL, *[(share("sx", i) * share("sy", j)).alias(f"k{i}{j}") for i, j in corners], *[tap(i, j).alias(f"t{i}{j}") for i, j in corners])
+    total = lambda part: functools.reduce(operator.add, [part(V(f"k{i}{j}"), V(f"t{i}{j}")) for i, j in corners])
     if bands == ("v",):
-        return rows.agg((F.sum(F.when(V("v").isNotNull(), V("k") * V("v"))) / F.sum(F.when(V("v").isNotNull() & (V("k") > 0), V("k")))).alias("v"))
-    return rows.agg(*[F.round(F.round(F.sum(V("k") * F.coalesce(c, F.lit(0))), 9)).cast("int").alias(c) for c in bands])
+        known = total(lambda k, t: F.when(t["v"].isNotNull(), k).otherwise(0.0))
+        return rows.select(*PIXEL, F.when(known > 0, total(lambda k, t: F.when(t["v"].isNotNull(), k * t["v"]).otherwise(0.0)) / known).alias("v"))
+    return rows.select(*PIXEL, *[F.round(F.round(total(lambda k, t: k * F.coalesce(t[c], F.lit(0))), 9)).cast("int").alias(c) for c in bands])
 
 
 def _bounded(q: Column, n: int, boundary: str) -> Column:

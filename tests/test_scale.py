@@ -185,3 +185,31 @@ def test_tiles_are_dealt_into_many_tasks(tiles):
     """A task holds all it sorts and counts; as many tasks as shuffles have were too few for large tables."""
     assert "REPARTITION_BY_NUM" in plan(G.dense(G.Grid(tiles.withColumn("v", F.lit(1.5)), 8, 8)).df)
     assert G.dealt(tiles).rdd.getNumPartitions() >= G.TASKS
+
+
+@pytest.mark.parametrize("boundary", ["clamp", "wrap", "mirror", "transparent"])
+def test_taps_are_looked_up_in_their_tile(spark, tiles, boundary):
+    """Taps were four times the pixels, joined and summed in as many tasks as shuffles have."""
+    g = G.Grid(tiles.where("x <> 0").select(*G.PIXEL, *[F.lit(v).alias(c) for c, v in zip(G.BANDS, (90, 60, 30, 120))]), 8, 8)
+    by = G.Grid(tiles.select(*G.TILE, (F.col("x") % 8).alias("px"), F.lit(1).alias("py"), F.lit(200).alias("r"), F.lit(255).alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a")), 8, 8)
+    out = raster.displace(g, by, 6.0, 3.0, boundary).df
+    p = plan(out)
+    assert p.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in p and not [line for line in p.splitlines() if "Generate" in line and "sequence" not in line]
+    rows = out.collect()
+    assert len(rows) == 400 * 64
+
+    def place(q, n=8):
+        return {"clamp": min(max(q, 0), n - 1), "wrap": q % n, "mirror": min(q % (2 * n), 2 * n - 1 - q % (2 * n)), "transparent": q}[boundary]
+
+    for r in rows[::7]:
+        own = (r.px, r.py) == (r.x % 8, 1)
+        sx, sy = r.px + ((200 if own else 0) / 255 - 0.5) * 12, r.py + ((255 if own else 0) / 255 - 0.5) * 6
+        fx, fy = math.floor(sx), math.floor(sy)
+        k = sum((1 - abs(sx - fx - i)) * (1 - abs(sy - fy - j)) for i in (0, 1) for j in (0, 1) if r.x != 0 and (place(fx + i), place(fy + j)) == (3, 2))
+        assert [r[c] for c in G.BANDS] == [math.floor(round(k * v, 9) + 0.5) for v in (90, 60, 30, 120)]
+
+
+def test_taps_of_a_field_skip_what_is_missing(spark):
+    f = G.Grid(spark.createDataFrame([(1, 0, 0, 0, 0, 10.0), (1, 0, 0, 1, 0, 20.0)], "z int, x int, y int, px int, py int, v double"), 2, 2)
+    at = spark.createDataFrame([(1, 0, 0, 0, 0, 0.25, 0.5), (1, 0, 0, 1, 0, 0.0, 1.0), (1, 1, 0, 0, 0, 0.0, 0.0)], "z int, x int, y int, px int, py int, sx double, sy double")
+    assert {(r.x, r.px): r.v for r in raster._taps(f, at, "clamp").collect()} == {(0, 0): 12.5, (0, 1): None, (1, 0): None}
