@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clipping import clip_polygons, tidy_polygons
-from .geometry import EXTENT, SHAPES, disc, shape, stitched
+from .geometry import EXTENT, SHAPES, _segments, disc, point, shape, stitched
 from .grid import TILE, tasks
 
 #: Arrow's names for shapes. Nested arrays go to Python as Arrow: their way to pandas breaks where a batch has only empty ones.
@@ -162,9 +162,16 @@ def overlay(a: list[list[np.ndarray]], b: list[list[np.ndarray]], rule, wound: b
 
 def _overlaid(ea: np.ndarray, eb: np.ndarray, rule, wound: bool) -> list[list[np.ndarray]]:
     every = np.concatenate([ea, eb])
-    if not len(every):
+    # Edges outside of which the rule gives nothing.
+    bounds = [k for k, alone in enumerate((rule(np.False_, np.True_), rule(np.True_, np.False_))) if not alone]
+    if not len(every) or any(not len((ea, eb)[k]) for k in bounds):
         return []
     if ((every[:, 0] == every[:, 2]) | (every[:, 1] == every[:, 3])).all():
+        for k in bounds:
+            places = (ea, eb)[k].reshape(-1, 2)
+            low, high = np.tile(places.min(0), 2), np.tile(places.max(0), 2)
+            ea, eb = np.clip(ea, low, high), np.clip(eb, low, high)  # what is beyond counts as on the side
+        every = np.concatenate([ea, eb])
         grid = [np.unique(np.round(every[:, k::2], 6)) for k in (0, 1)]
         if len(grid[0]) * len(grid[1]) <= GRID:
             return _assembled(*_gridded(ea, eb, rule, wound, *grid))
@@ -338,12 +345,17 @@ def _in_cells(rows: DataFrame, cells: int, low: float, high: float) -> DataFrame
     span = lambda k: F.sequence(place(F.array_min(along(k))), place(F.array_max(along(k))))
     rows = rows.withColumns({"across": span("x"), "down": span("y")})
     alone = (F.size("across") == 1) & (F.size("down") == 1) & (F.size("p") == 1)  # holes may reach further
-    rows = rows.withColumn("alone", alone).withColumn("cx", F.explode("across")).withColumn("cy", F.explode("down"))
+    parallel = lambda s: (s["a"]["x"] == s["b"]["x"]) | (s["a"]["y"] == s["b"]["y"])
+    upright = F.forall("p", lambda r: F.forall(_segments(r, True), parallel))
+    rows = rows.withColumns({"alone": alone, "upright": ~alone & upright}).withColumn("cx", F.explode("across")).withColumn("cy", F.explode("down"))
     # The outer squares take what lies beyond.
     first = lambda c: F.when(F.col(c) == 0, F.lit(-1e9)).otherwise(F.col(c) * side + low)
     end = lambda c: F.when(F.col(c) == last, F.lit(1e9)).otherwise((F.col(c) + 1) * side + low)
+    # Sides parallel to the axes are only moved in, which is far less work and encloses the same.
+    moved = lambda v, c: F.least(F.greatest(v, first(c)), end(c))
+    inside = F.transform("p", lambda r: F.transform(r, lambda q: point(moved(q["x"], "cx"), moved(q["y"], "cy"))))
     clipped = clip_polygons(F.array("p"), first("cx"), first("cy"), end("cx"), end("cy"))
-    clipped = F.when(F.col("alone"), tidy_polygons(F.array("p"))).otherwise(clipped)
+    clipped = F.when(F.col("alone"), tidy_polygons(F.array("p"))).when(F.col("upright"), tidy_polygons(F.array(inside))).otherwise(clipped)
     return rows.withColumn("p", F.explode(clipped)).select(*keys, "cx", "cy", "p")
 
 

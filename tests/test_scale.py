@@ -213,3 +213,41 @@ def test_taps_of_a_field_skip_what_is_missing(spark):
     f = G.Grid(spark.createDataFrame([(1, 0, 0, 0, 0, 10.0), (1, 0, 0, 1, 0, 20.0)], "z int, x int, y int, px int, py int, v double"), 2, 2)
     at = spark.createDataFrame([(1, 0, 0, 0, 0, 0.25, 0.5), (1, 0, 0, 1, 0, 0.0, 1.0), (1, 1, 0, 0, 0, 0.0, 0.0)], "z int, x int, y int, px int, py int, sx double, sy double")
     assert {(r.x, r.px): r.v for r in raster._taps(f, at, "clamp").collect()} == {(0, 0): 12.5, (0, 1): None, (1, 0): None}
+
+
+def test_overlay_looks_only_where_something_can_be_left(monkeypatch):
+    """The whole square's coordinates made the grid, also where the other side has nothing."""
+    rng = np.random.default_rng(7)
+    box = lambda x, y, w, h: [np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)]
+    own = [box(*rng.integers(0, 900, 2), *rng.integers(16, 120, 2)) for _ in range(500)]
+    second = [box(300, 400, 40, 30), box(310, 410, 10, 10)]
+    count = np.zeros((2, 1024, 1024), int)
+    for k, ps in enumerate((own, second)):
+        for (r,) in ps:
+            (x0, y0), (x1, y1) = r.min(0).astype(int), r.max(0).astype(int)
+            count[k, y0:y1, x0:x1] += 1
+    sizes, kernel = [], overlay._gridded
+    monkeypatch.setattr(overlay, "_gridded", lambda *a: sizes.append((len(a[4]), len(a[5]))) or kernel(*a))
+    for mode, rule in overlay.RULES.items():
+        for a, b, m, n in ((own, second, 0, 1), (second, own, 1, 0)):
+            found = overlay.overlay(a, b, rule)
+            assert sum(overlay.area2(r) for p in found for r in p) / 2 == rule(count[m] % 2 == 1, count[n] % 2 == 1).sum(), mode
+            if mode == "intersection":
+                assert max(sizes.pop()) <= 41
+    assert overlay.overlay(own, [], overlay.RULES["intersection"]) == overlay.overlay([], own, overlay.RULES["difference"]) == []
+    assert overlay.overlay([box(0, 0, 5, 5)], [box(5, 0, 5, 5)], overlay.RULES["intersection"]) == []
+    assert overlay.overlay([box(0, 0, 5, 5)], [box(9, 9, 5, 5)], overlay.RULES["intersection"]) == []
+
+
+def test_polygons_along_the_axes_are_moved_into_squares(spark):
+    """Each side of a square was cut off by itself, crossing by crossing; what is enclosed must stay the same."""
+    bent = [[(100.0, 100.0), (4000.0, 100.0), (4000.0, 900.0), (1500.0, 900.0), (1500.0, 3000.0), (4000.0, 3000.0), (4000.0, 3900.0), (100.0, 3900.0)], [(200.0, 200.0), (200.0, 3000.0), (1200.0, 3000.0), (1200.0, 200.0)]]
+    rows = spark.createDataFrame([(5, 0, 0, bent), (5, 0, 0, [[(10.0, 10.0), (3000.0, 20.0), (30.0, 4000.0)]])], "z int, x int, y int, p " + geometry.SHAPES["lines"])
+    found = overlay._in_cells(rows, 4, 0, 4096)
+    assert "upright" in plan(found)
+    areas = {}
+    for r in found.collect():
+        assert all(max(0, r.cx * 1024) <= q.x <= r.cx * 1024 + 1024 and r.cy * 1024 <= q.y <= r.cy * 1024 + 1024 for ring in r.p for q in ring)
+        kind = all(a.x == b.x or a.y == b.y for ring in r.p for a, b in zip(ring, [*ring[1:], ring[0]]))
+        areas[kind] = areas.get(kind, 0) + sum(overlay.area2(np.array([(q.x, q.y) for q in ring])) / 2 for ring in r.p)
+    assert areas[True] + areas.get(False, 0) == pytest.approx(3900 * 3800 - 2500 * 2100 - 1000 * 2800 + (2990 * 3990 - 20 * 10) / 2, rel=1e-3)
