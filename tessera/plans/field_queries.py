@@ -77,7 +77,7 @@ def threshold_hard(spark, d):
 
 @query("field_math", f"""SELECT {KEY}, {V6} FROM (SELECT a.z, a.x, a.y, a.px, a.py, CASE WHEN b.v - 60 <> 0 THEN a.v / (b.v - 60) END AS v FROM lift_field AS a JOIN lift_field AS b ON a.z = b.z AND a.x = b.x AND a.y = b.y AND a.px = b.px AND a.py = b.py) AS m""", "lift_field")
 def field_math(spark, d):
-    f = field(spark, d)
+    f = field(spark, d, by_pixel=True)
     return v6(O.field_math("div", f, O.field_math("sub", f, 60.0)).df)
 
 

@@ -99,7 +99,7 @@ _DIV = "((({e}) + 128 + (({e}) + 128) // 256) // 256)"
 
 
 def _both(name: str, sql: str, run) -> None:
-    query(name, sql, PX, "lift_overlay")(lambda spark, d: run(pixels(spark, d), pixels(spark, d, "lift_overlay")).df)
+    query(name, sql, PX, "lift_overlay")(lambda spark, d: run(pixels(spark, d, by_pixel=True), pixels(spark, d, "lift_overlay", by_pixel=True)).df)
 
 
 _OVER = ", ".join(f"CAST(s_{c} + {_DIV.format(e=f'b_{c} * (255 - s_a)')} AS INT) AS {c}" for c in BANDS)
@@ -125,13 +125,13 @@ COMPOSITE_SQL = {"source-atop": ("ba", "1 - sa"), "destination-over": ("1 - ba",
 for _c, (_fs, _fb) in COMPOSITE_SQL.items():
     _both(f"composite_{_c.replace('-', '_')}", _blend_sql(lambda b, s: s, _fs, _fb), lambda p, o, c=_c: O.blend(p, o, composite=c))
 for _m in O.WHOLE_MODES:
-    query(f"blend_{_m}")(lambda spark, d, m=_m: O.blend(pixels(spark, d), pixels(spark, d, "lift_overlay"), m).df)
+    query(f"blend_{_m}")(lambda spark, d, m=_m: O.blend(pixels(spark, d, by_pixel=True), pixels(spark, d, "lift_overlay", by_pixel=True), m).df)
 
 _both("stack", f"WITH {_PAIR}, one AS (SELECT {KEY}, {_OVER.replace(' AS INT)', ' AS BIGINT)')} FROM j), two AS (SELECT one.*, coalesce(p.g, 0) AS t_r, coalesce(p.r, 0) AS t_g, coalesce(p.b, 0) AS t_b, coalesce(p.a, 0) AS t_a FROM one LEFT JOIN lift_pixels AS p ON p.z = one.z AND p.x = one.x AND p.y = one.y AND p.px = one.px AND p.py = one.py) SELECT {KEY}, "
       + ", ".join(f"CAST(t_{c} + {_DIV.format(e=f'{c} * (255 - t_a)')} AS INT) AS {c}" for c in BANDS) + " FROM two",
       lambda p, o: O.stack([p, o, p.select(r=F.col("g"), g=F.col("r"), b=F.col("b"), a=F.col("a"))]))
 _both("mix", f"WITH {_PAIR} SELECT {KEY}, " + ", ".join(f"CAST(round(b_{c} + (s_{c} - b_{c}) * 0.25) AS INT) AS {c}" for c in BANDS) + " FROM j", lambda p, o: O.mix(p, o, 0.25))
-query("mix_lab")(lambda spark, d: O.mix(pixels(spark, d), pixels(spark, d, "lift_overlay"), 0.25, "lab").df)
+query("mix_lab")(lambda spark, d: O.mix(pixels(spark, d, by_pixel=True), pixels(spark, d, "lift_overlay", by_pixel=True), 0.25, "lab").df)
 
 # Neighbourhoods
 _SQUARE = "FROM d AS c JOIN d AS n ON n.z = c.z AND n.x = c.x AND n.y = c.y AND abs(n.px - c.px) <= 2 AND abs(n.py - c.py) <= 2 GROUP BY 1, 2, 3, 4, 5"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.grid import Grid
+from ..operators.grid import Grid, tasks
 
 SQL = {
     "lift_points": """SELECT event_id AS feature_ix, event_type AS kind, value, ts, user_id,
@@ -40,21 +41,34 @@ READS = {"lift_points": "events", "lift_tiled": "events", "lift_rects": "orders"
 SIZE = 32
 
 
-def lifted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the lifts over the tables in ``sf_dir``."""
-    spark.read.parquet(f"{sf_dir}/{READS[name]}.parquet").createOrReplaceTempView("lift_source")
+_X, _Y = "CAST(floor({k} / CAST(512 AS DOUBLE)) AS INT) % 64", "CAST(floor({k} / CAST(32768 AS DOUBLE)) AS INT)"
+_LINES = [e.format(k="l_orderkey") for e in (_X, _Y, "CAST({k} % 32 AS INT)")] + ["CAST(l_partkey % 32 AS INT)"]
+#: x, y, px, py of ``SQL``, of lifts that sum by pixel.
+SUMMED = {"lift_field": _LINES, "lift_pixels": _LINES, "lift_overlay": [e.format(k="o_orderkey") for e in (_X, _Y, "CAST({k} % 32 AS INT)", "CAST(floor({k} / CAST(32 AS DOUBLE)) AS INT) % 32")]}
+
+
+def lifted(spark: SparkSession, sf_dir: str, name: str, by_pixel: bool = False) -> DataFrame:
+    """One of the lifts over the tables in ``sf_dir``.
+
+    Rows that are summed by pixel are dealt out first: nearly each is a pixel of its own, so that sums of a whole split would hold
+    it all. By tile, as what looks at neighbours needs them, or ``by_pixel``, as joins by pixel do.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{READS[name]}.parquet")
+    if name in SUMMED:
+        rows = rows.repartition(tasks(rows), *map(F.expr, SUMMED[name][: 4 if by_pixel else 2]))
+    rows.createOrReplaceTempView("lift_source")
     sql = SQL[name]
     if name == "lift_tiled":
         sql = sql.replace("FROM lift_points", f"FROM ({SQL['lift_points']})")
     return spark.sql(sql.replace(f"FROM {READS[name]}", "FROM lift_source"))
 
 
-def field(spark: SparkSession, sf_dir: str) -> Grid:
-    return Grid(lifted(spark, sf_dir, "lift_field"), SIZE, SIZE, 30.0)
+def field(spark: SparkSession, sf_dir: str, by_pixel: bool = False) -> Grid:
+    return Grid(lifted(spark, sf_dir, "lift_field", by_pixel), SIZE, SIZE, 30.0)
 
 
-def pixels(spark: SparkSession, sf_dir: str, name: str = "lift_pixels") -> Grid:
-    return Grid(lifted(spark, sf_dir, name), SIZE, SIZE)
+def pixels(spark: SparkSession, sf_dir: str, name: str = "lift_pixels", by_pixel: bool = False) -> Grid:
+    return Grid(lifted(spark, sf_dir, name, by_pixel), SIZE, SIZE)
 
 
 def with_lifts(sql: str, *names: str) -> str:

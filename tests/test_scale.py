@@ -251,3 +251,10 @@ def test_polygons_along_the_axes_are_moved_into_squares(spark):
         kind = all(a.x == b.x or a.y == b.y for ring in r.p for a, b in zip(ring, [*ring[1:], ring[0]]))
         areas[kind] = areas.get(kind, 0) + sum(overlay.area2(np.array([(q.x, q.y) for q in ring])) / 2 for ring in r.p)
     assert areas[True] + areas.get(False, 0) == pytest.approx(3900 * 3800 - 2500 * 2100 - 1000 * 2800 + (2990 * 3990 - 20 * 10) / 2, rel=1e-3)
+
+
+@pytest.mark.parametrize("name, deals", [("blur_field", 1), ("sharpen_field", 1), ("contour_segments", 1), ("displace", 2), ("blend_normal", 2)])
+def test_lifts_are_dealt_before_they_are_summed(spark, name, deals):
+    """Each split's sums were held in one map first, which grew with it, and then went to as many tasks as shuffles have."""
+    p = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert p.count("REPARTITION_BY_NUM") == deals and "ENSURE_REQUIREMENTS" not in p
