@@ -3,6 +3,7 @@
 Shapes are exploded to the pixel rows they meet, each row to the stretches between crossings, these to pixels: the work is
 that of the pixels drawn. A feature covers a pixel once, however many of its parts do. ``paint`` lays features over each
 other in their order (source over), with one shuffle by pixel. Paint properties are columns, so they may differ by feature.
+Strokes and disks are drawn for opaque features first: what lies under their tops is neither drawn nor shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .grid import BANDS, PIXEL, TILE, Grid
 
 V = F.col
 ORDER = "feature_ix"
+#: Opaque strokes of a tile that are drawn before all others; lines that cross a tile at random cover it with fewer.
+FRONT = 512
 
 
 def _paint_columns(fill: Column | str, opacity: Column | float) -> dict[str, Column]:
@@ -62,21 +65,24 @@ def filled(df: DataFrame, size: int, extent: int = EXTENT) -> DataFrame:
 
 
 def _convex_rows(pieces: DataFrame, rest: list[str], size: int) -> DataFrame:
-    """Pixels of convex pieces: ``corners`` (a polygon), or a disc of radius ``r`` around (cx, cy) where there are none."""
-    ys = F.transform("corners", lambda p: p["y"])
-    disc = V("corners").isNull()
-    low = F.when(disc, V("cy") - V("r")).otherwise(F.array_min(ys))
-    high = F.when(disc, V("cy") + V("r")).otherwise(F.array_max(ys))
-    rows = pieces.withColumn("py", F.explode(_rows_between(low, high, size)))
+    """Pixels of convex pieces: three or four ``corners``, or a disc of radius ``r`` around (cx, cy) where there are none."""
+    # Plain columns: functions on arrays would be worked out anew for each row of pixels.
+    corner = lambda i: F.coalesce(F.get("corners", F.lit(i)), F.element_at("corners", -1))
+    flat = pieces.select(*dict.fromkeys([*rest, "r", "cx", "cy"]), *[corner(i)[c].alias(f"__{c}{i}") for i in range(4) for c in "xy"])
+    ys = [V(f"__y{i}") for i in range(4)]
+    disc = V("__y0").isNull()
+    low = F.when(disc, V("cy") - V("r")).otherwise(F.least(*ys))
+    high = F.when(disc, V("cy") + V("r")).otherwise(F.greatest(*ys))
+    rows = flat.withColumn("py", F.explode(_rows_between(low, high, size)))
     y = V("py") + 0.5
     half = F.sqrt(F.greatest(V("r") * V("r") - (y - V("cy")) * (y - V("cy")), F.lit(0.0)))
 
-    def crossing(s: Column) -> Column:
-        (ay, by) = s["a"]["y"], s["b"]["y"]
-        return F.when((ay > y) != (by > y), s["a"]["x"] + (y - ay) * F.try_divide(s["b"]["x"] - s["a"]["x"], by - ay))
+    def crossing(i: int) -> Column:
+        j = (i + 1) % 4
+        return F.when((ys[i] > y) != (ys[j] > y), V(f"__x{i}") + (y - ys[i]) * F.try_divide(V(f"__x{j}") - V(f"__x{i}"), ys[j] - ys[i]))
 
-    hits = F.transform(_segments(V("corners"), True), crossing)
-    rows = rows.withColumns({"x0": F.when(disc, V("cx") - half).otherwise(F.array_min(hits)), "x1": F.when(disc, V("cx") + half).otherwise(F.array_max(hits))})
+    hits = [crossing(i) for i in range(4)]
+    rows = rows.select(*rest, "py", F.when(disc, V("cx") - half).otherwise(F.least(*hits)).alias("x0"), F.when(disc, V("cx") + half).otherwise(F.greatest(*hits)).alias("x1"))
     return rows.select(*rest, F.explode(_rows_between(V("x0"), V("x1"), size)).alias("px"), "py")
 
 
@@ -86,12 +92,17 @@ def stroked(df: DataFrame, size: int, width: Column | float, cap: str = "butt",
     ``cap``: butt, round, square. ``join``: miter (bevelled where its tip is further out than ``miter_limit`` half widths),
     round, bevel.
     """
+    return _stroked_parts(df, size, width, cap, join, miter_limit, extent).dropDuplicates([*TILE, ORDER, "px", "py"])
+
+
+def _stroked_parts(df: DataFrame, size: int, width: Column | float, cap: str, join: str, miter_limit: float, extent: int) -> DataFrame:
+    """The same, but a pixel as often as parts of its feature cover it."""
     rest = [c for c in df.columns if c not in SHAPES]
     w = width if isinstance(width, Column) else F.lit(float(width))
     rows = df.withColumn("__h", w / 2).where("__h > 0")
     rows = rows.select(*rest, "__h", F.explode(_in_pixels(df, "lines", size, extent)).alias("__line"))
     # Vertices that repeat have no direction.
-    once = F.aggregate("__line", F.array().cast(SHAPES["points"]), lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == p), acc).otherwise(F.concat(acc, F.array(p))))
+    once = F.filter("__line", lambda p, i: (i == 0) | (p != F.get("__line", i - 1)))
     rows = rows.withColumn("__line", once).where(F.size("__line") >= 2)
     h = V("__h")
 
@@ -138,23 +149,27 @@ def stroked(df: DataFrame, size: int, width: Column | float, cap: str = "butt",
     if cap == "round":
         pieces.append(F.transform(F.array(V("__line")[0], F.element_at("__line", -1)), disc))
     rows = rows.select(*rest, h.alias("r"), F.explode(F.concat(*pieces)).alias("q")).select(*rest, "r", "q.*")
-    return _convex_rows(rows, rest, size).dropDuplicates([*TILE, ORDER, "px", "py"])
+    return _convex_rows(rows, rest, size)
 
 
 def disks(df: DataFrame, size: int, radius: Column | float, stroke_width: Column | float = 0.0, extent: int = EXTENT) -> DataFrame:
     """(other columns, px, py, rim): pixels of disks around points, and of the rims of ``stroke_width`` around these."""
+    # Of a feature's several disks the inside wins over a rim.
+    rest = [c for c in df.columns if c not in SHAPES]
+    return _disk_parts(df, size, radius, stroke_width, extent).groupBy(*rest, "px", "py").agg(F.min("rim").alias("rim"))
+
+
+def _disk_parts(df: DataFrame, size: int, radius: Column | float, stroke_width: Column | float, extent: int) -> DataFrame:
+    """The same, but a pixel as often as disks of its feature cover it."""
     rest = [c for c in df.columns if c not in SHAPES]
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     s = stroke_width if isinstance(stroke_width, Column) else F.lit(float(stroke_width))
     rows = df.withColumns({"__r": F.greatest(r, F.lit(0.0)), "__s": F.greatest(s, F.lit(0.0))})
-    rows = rows.select(*rest, "__r", (V("__r") + V("__s")).alias("r"), F.posexplode(_in_pixels(df, "points", size, extent)).alias("__i", "p")).where("r > 0")
-    pieces = rows.select(*rest, "__r", "r", "__i", F.lit(None).cast(SHAPES["points"]).alias("corners"), V("p.x").alias("cx"), V("p.y").alias("cy"))
-    out = _convex_rows(pieces, [*rest, "__r", "__i", "cx", "cy"], size)
+    rows = rows.select(*rest, "__r", (V("__r") + V("__s")).alias("r"), F.explode(_in_pixels(df, "points", size, extent)).alias("p")).where("r > 0")
+    pieces = rows.select(*rest, "__r", "r", F.lit(None).cast(SHAPES["points"]).alias("corners"), V("p.x").alias("cx"), V("p.y").alias("cy"))
+    out = _convex_rows(pieces, [*rest, "__r", "cx", "cy"], size)
     d2 = F.pow(V("px") + 0.5 - V("cx"), F.lit(2)) + F.pow(V("py") + 0.5 - V("cy"), F.lit(2))
-    out = out.withColumn("rim", d2 >= V("__r") * V("__r"))
-    # Of a feature's several disks the inside wins over a rim.
-    best = out.groupBy(*rest, "px", "py").agg(F.min("rim").alias("rim"))
-    return best.select(*rest, "px", "py", "rim")
+    return out.select(*rest, "px", "py", (d2 >= V("__r") * V("__r")).alias("rim"))
 
 
 def paint(rows: DataFrame, size: int, order: list[str] | None = None) -> Grid:
@@ -165,7 +180,15 @@ def paint(rows: DataFrame, size: int, order: list[str] | None = None) -> Grid:
     found first, in one pass that shuffles a row a pixel and task; what lies under it is left out before rows are sorted.
     """
     keys = order or [ORDER]
-    rows = _above_opaque(rows, keys)
+    return _laid(_above_opaque(rows, keys), size, keys)
+
+
+def _by_pixel(rows: DataFrame) -> DataFrame:
+    """Dealt once for all that is done by pixel, also where z is one number."""
+    return rows.repartition(*PIXEL[1:])
+
+
+def _laid(rows: DataFrame, size: int, keys: list[str]) -> Grid:
     top = Window.partitionBy(*PIXEL).orderBy(*[F.desc(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.where("p_a > 0")
     opaque = V("p_a") >= 1
@@ -180,10 +203,57 @@ def paint(rows: DataFrame, size: int, order: list[str] | None = None) -> Grid:
 
 def _above_opaque(rows: DataFrame, keys: list[str], most: int = 1 << 20) -> DataFrame:
     """Rows at or above the topmost opaque row of their pixel; tops are sent to all tasks up to ``most`` pixels."""
-    rank = F.struct(*keys)
-    tops = rows.where("p_a >= 1").groupBy(*PIXEL).agg(F.max(rank).alias("top")).checkpoint()
-    tops = F.broadcast(tops) if tops.count() <= most else tops
-    return rows.join(tops, list(PIXEL), "left").where(V("top").isNull() | (rank >= V("top"))).drop("top")
+    tops = _tops(rows.where("p_a >= 1"), keys)
+    return _not_below(rows, F.broadcast(tops) if tops.count() <= most else tops, keys)
+
+
+def _rank(keys: list[str]) -> Column:
+    """What rows are laid by. A struct, unlike a plain column, is compared in sorts of all rows."""
+    return V(keys[0]) if len(keys) == 1 else F.struct(*keys)
+
+
+def _tops(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*PIXEL).agg(F.max(_rank(keys)).alias("top")).checkpoint()
+
+
+def _not_below(rows: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.join(tops, list(PIXEL), "left").where(V("top").isNull() | (_rank(keys) >= V("top"))).drop("top")
+
+
+def _in_sight(df: DataFrame, size: int, opaque: Column, drawn, sure: Column, front: int = 0, most: int = 1 << 20) -> DataFrame:
+    """Rows of ``drawn(features)`` at or above the topmost opaque row of their pixel, found from features that are ``opaque``.
+
+    ``sure``: rows that are opaque whatever else of their feature lies at their pixel. Rows of a feature may still repeat.
+    Where a tile has ``front`` opaque features or more, these are drawn first: if they cover it, its other tops are not asked
+    for. Tops are sent to all tasks up to ``most`` pixels; nothing that is hidden is shuffled.
+    """
+    tops_of = lambda f: _tops(drawn(f.where(opaque)).where(sure), [ORDER])
+    known = False
+    if front:
+        foremost = Window.partitionBy(*TILE).orderBy(F.desc("nth"))
+        ends = df.where(opaque).select(*TILE, V(ORDER).alias("nth")).withColumn("n", F.row_number().over(foremost))
+        ends = ends.where(V("n") <= front).where(V("n").isin(1, front)).checkpoint()
+        deep = ends.where(V("n") == front).drop("n")
+        if 0 < deep.count() <= most:
+            tops = tops_of(df.join(F.broadcast(deep), list(TILE)).where(V(ORDER) >= V("nth")).drop("nth"))
+            floors = _floors(tops, size)
+            df, known = _above(df, floors, most), floors.count() == ends.where("n = 1").count()
+    if not known:
+        tops = tops_of(df)
+        df = _above(df, _floors(tops, size), most)
+    return _not_below(drawn(df), F.broadcast(tops) if tops.count() <= most else tops, [ORDER])
+
+
+def _floors(tops: DataFrame, size: int) -> DataFrame:
+    """The lowest of a tile's tops, where these cover it."""
+    return tops.groupBy(*TILE).agg(F.min("top").alias("floor"), F.count("*").alias("n")).where(V("n") == size * size).drop("n").checkpoint()
+
+
+def _above(df: DataFrame, floors: DataFrame, most: int) -> DataFrame:
+    """Features of which something may be seen over the floors of their tiles."""
+    if not 0 < floors.count() <= most:
+        return df
+    return df.join(F.broadcast(floors), list(TILE), "left").where(V("floor").isNull() | (V(ORDER) >= V("floor"))).drop("floor")
 
 
 def fill_solid(df: DataFrame, size: int, fill: Column | str, opacity: Column | float = 1.0, edge: Column | str | None = None, edge_width: Column | float = 1.0, edge_opacity: Column | float = 1.0, extent: int = EXTENT) -> Grid:
@@ -200,13 +270,20 @@ def fill_solid(df: DataFrame, size: int, fill: Column | str, opacity: Column | f
 
 def stroke(df: DataFrame, size: int, color: Column | str, width: Column | float = 1.0, opacity: Column | float = 1.0, cap: str = "butt", join: str = "miter", miter_limit: float = 4.0, dash_px: tuple[float, float] | None = None, phase_px: float = 0.0, extent: int = EXTENT) -> Grid:
     """Lines painted in their order, dashed if asked."""
-    if dash_px:
-        from .geometry import dash
+    ink = _paint_columns(color, opacity)
+    df = df.withColumns({**ink, "__w": width if isinstance(width, Column) else F.lit(float(width))})
+    df = df.select(*TILE, ORDER, shape(df, "lines").alias("lines"), *ink, "__w").where("p_a > 0")
+
+    def drawn(f: DataFrame) -> DataFrame:
+        if dash_px:
+            from .geometry import dash
+
+            k = extent / size
+            f = dash(f, dash_px[0] * k, dash_px[1] * k, phase_px * k)
+        return _stroked_parts(f, size, V("__w"), cap, join, miter_limit, extent)
 
-        k = extent / size
-        df = dash(df, dash_px[0] * k, dash_px[1] * k, phase_px * k)
-    rows = stroked(df.withColumns(_paint_columns(color, opacity)), size, width, cap, join, miter_limit, extent)
-    return paint(rows, size)
+    rows = _by_pixel(_in_sight(df, size, V("p_a") >= 1, drawn, F.lit(True), FRONT))
+    return _laid(rows.dropDuplicates([*PIXEL, ORDER]), size, [ORDER])
 
 
 def circles(df: DataFrame, size: int, radius: Column | float, color: Column | str, opacity: Column | float = 1.0, stroke_width: Column | float = 0.0, stroke_color: Column | str = "#000000", stroke_opacity: Column | float = 1.0, extent: int = EXTENT) -> Grid:

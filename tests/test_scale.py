@@ -258,3 +258,32 @@ def test_lifts_are_dealt_before_they_are_summed(spark, name, deals):
     """Each split's sums were held in one map first, which grew with it, and then went to as many tasks as shuffles have."""
     p = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert p.count("REPARTITION_BY_NUM") == deals and "ENSURE_REQUIREMENTS" not in p
+
+
+def _zigzags(spark, n=200):
+    """Lines that zigzag over a tile of 8 pixels, every third opaque, and one that does not cover its tile."""
+    rows = [(5, i % 2, 0, i, [[(float(i * 37 % 512), 0.0), (float(i * 91 % 512), 511.0), (511.0, float(i * 53 % 512)), (0.0, float(i * 29 % 512))]]) for i in range(n)] + [(5, 3, 0, 7, [[(0.0, 0.0), (99.0, 99.0)]])]
+    return spark.createDataFrame(rows, "z int, x int, y int, feature_ix long, lines " + geometry.SHAPES["lines"])
+
+
+def _paint():
+    i = F.col("feature_ix")
+    return F.struct((i % 7 / 7).alias("r"), F.lit(0.25).alias("g"), F.lit(0.5).alias("b"), F.when(i % 3 == 0, 1.0).otherwise(0.5).alias("a"))
+
+
+@pytest.mark.parametrize("front", [0, 1, 3, 8, 512])
+def test_strokes_under_opaque_ones_are_not_drawn(spark, monkeypatch, front):
+    """All strokes were drawn twice and shuffled whole, however many lie under opaque ones."""
+    df, seen, parts = _zigzags(spark), [], coverage._stroked_parts
+    plain = coverage.paint(coverage.stroked(df.withColumns(coverage._paint_columns(_paint(), 1.0)), 8, 1.5, "round", "round", extent=512), 8).df
+    monkeypatch.setattr(coverage, "FRONT", front)
+    monkeypatch.setattr(coverage, "_stroked_parts", lambda f, *a: seen.append(f.count()) or parts(f, *a))
+    found = coverage.stroke(df, 8, _paint(), 1.5, cap="round", join="round", extent=512).df
+    assert sorted(found.collect()) == sorted(plain.collect()) and found.count() > 128
+    assert seen[-1] < 120 and (front not in (3, 8) or seen[0] == 2 * front)
+
+
+def test_tops_are_not_sorted(spark):
+    """A struct as the greatest of a group made Spark sort every row."""
+    rows = spark.range(10).select(*[F.lit(0).alias(c) for c in G.PIXEL], F.col("id").alias("feature_ix"), F.lit(1.0).alias("p_a"))
+    assert "Sort" not in plan(rows.groupBy(*G.PIXEL).agg(F.max(coverage._rank(["feature_ix"])))) and coverage._tops(rows, ["feature_ix"]).first().top == 9
