@@ -290,8 +290,16 @@ def circles(df: DataFrame, size: int, radius: Column | float, color: Column | st
     """Disks at points painted in their order, with rims."""
     inner, rim = _paint_columns(color, opacity), _paint_columns(stroke_color, stroke_opacity)
     both = {**inner, **{f"{n}_rim": c for n, c in rim.items()}}
-    rows = disks(df.withColumns(both), size, radius, stroke_width, extent)
-    return paint(rows.withColumns({n: F.when(V("rim"), V(f"{n}_rim")).otherwise(V(n)) for n in inner}), size)
+    as_column = lambda c: c if isinstance(c, Column) else F.lit(float(c))
+    df = df.withColumns({**both, "__radius": as_column(radius), "__width": as_column(stroke_width)})
+    df = df.select(*TILE, ORDER, shape(df, "points").alias("points"), *both, "__radius", "__width", (F.size(shape(df, "points")) == 1).alias("__one"))
+    drawn = lambda f: _disk_parts(f, size, V("__radius"), V("__width"), extent).drop("__radius", "__width")
+    # Another disk of the feature may lie over a rim with its inside.
+    full, edge = V("p_a") >= 1, V("p_a_rim") >= 1
+    sure = F.when(V("rim"), edge & (full | V("__one"))).otherwise(full)
+    rows = _in_sight(df, size, full | edge, drawn, sure).drop("__one")
+    rows = _by_pixel(rows).groupBy(*[c for c in rows.columns if c != "rim"]).agg(F.min("rim").alias("rim"))
+    return _laid(rows.select(*PIXEL, ORDER, *[F.when(V("rim"), V(f"{n}_rim")).otherwise(V(n)).alias(n) for n in inner]), size, [ORDER])
 
 
 # Placements

@@ -283,6 +283,20 @@ def test_strokes_under_opaque_ones_are_not_drawn(spark, monkeypatch, front):
     assert seen[-1] < 120 and (front not in (3, 8) or seen[0] == 2 * front)
 
 
+def test_disks_under_opaque_ones_are_not_shuffled(spark):
+    """Each feature's pixels were shuffled before those under opaque ones were left out."""
+    rows = [(5, 0, 0, i, [(float(i * 37 % 512), float(i * 91 % 512)), (float(i * 53 % 512), float(i * 29 % 512))][: 1 + i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "z int, x int, y int, feature_ix long, points " + geometry.SHAPES["points"])
+    for rim in (0.75, 1.0):
+        ink = {**coverage._paint_columns(_paint(), 1.0), **{f"{n}_rim": c for n, c in coverage._paint_columns("#ffffff", rim).items()}}
+        whole = coverage.disks(df.withColumns(ink), 8, 1.5, 1.0, extent=512)
+        whole = whole.withColumns({c: F.when(F.col("rim"), F.col(f"{c}_rim")).otherwise(F.col(c)) for c in ("p_r", "p_g", "p_b", "p_a")})
+        found = coverage.circles(df, 8, 1.5, _paint(), stroke_width=1.0, stroke_color="#ffffff", stroke_opacity=rim, extent=512).df
+        p = plan(found)
+        assert sorted(found.collect()) == sorted(coverage.paint(whole, 8).df.collect())
+        assert p.count("Exchange hashpartitioning") == p.count("REPARTITION_BY_COL") == 1 and p.index("REPARTITION_BY_COL") < p.index("BroadcastHashJoin")
+
+
 def test_tops_are_not_sorted(spark):
     """A struct as the greatest of a group made Spark sort every row."""
     rows = spark.range(10).select(*[F.lit(0).alias(c) for c in G.PIXEL], F.col("id").alias("feature_ix"), F.lit(1.0).alias("p_a"))
