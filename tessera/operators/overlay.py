@@ -381,15 +381,23 @@ def _edges_of(polygons: pa.Array, wound: bool) -> np.ndarray:
     return edges[np.repeat(n >= 3, n)]
 
 
+def _ends(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _nested(xy: np.ndarray, *sizes) -> pa.Array:
+    """Places as lists of the first ``sizes``, these as lists of the second, and so on."""
+    out = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k]), pa.float64()) for k in (0, 1)], ["x", "y"])
+    for n in sizes:
+        out = pa.ListArray.from_arrays(pa.array(_ends(n)), out)
+    return out
+
+
 def _one_row(key: tuple, columns: list[str], polygons: list[list[np.ndarray]]) -> pa.Table:
     """The group's key and its polygons as one row, or no row."""
     rings = [r for p in polygons for r in p]
-    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
     xy = np.concatenate(rings) if rings else np.empty((0, 2))
-    places = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k]), pa.float64()) for k in (0, 1)], ["x", "y"])
-    nested = pa.ListArray.from_arrays(ends([len(r) for r in rings]), places)
-    nested = pa.ListArray.from_arrays(ends([len(p) for p in polygons]), nested)
-    nested = pa.ListArray.from_arrays(ends([len(polygons)]), nested)
+    nested = _nested(xy, [len(r) for r in rings], [len(p) for p in polygons], [len(polygons)])
     out = pa.table([pa.array([k.as_py()], k.type) for k in key] + [nested], [*columns, "polygons"])
     return out if polygons else out.slice(0, 0)
 
@@ -490,66 +498,112 @@ def _strips(path: np.ndarray, closed: bool, r: float, join: str, min_angle: floa
     return out if closed else [*out, _disc(steps[0], r, n), _disc(steps[-1], r, n)]
 
 
-def _convex(ring: np.ndarray) -> np.ndarray | None:
-    """The ring in the direction of positive area, if it is convex; else nothing."""
-    r = ring if area2(ring) > 0 else ring[::-1]
-    step = np.roll(r, -1, axis=0) - r
-    bend = step[:, 0] * np.roll(step[:, 1], -1) - step[:, 1] * np.roll(step[:, 0], -1)
-    around = np.arctan2(bend, (step * np.roll(step, -1, axis=0)).sum(1)).sum()
-    return r if (bend > 0).all() and abs(around - 2 * math.pi) < 1e-6 else None
+def _convex(rings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings (m, n, 2) in the direction of positive area, and which of them are convex."""
+    x, y = rings[..., 0], rings[..., 1]
+    up = (x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1) > 0
+    r = np.where(up[:, None, None], rings, rings[:, ::-1])
+    step = np.roll(r, -1, 1) - r
+    far = np.roll(step, -1, 1)
+    bend = step[..., 0] * far[..., 1] - step[..., 1] * far[..., 0]
+    around = np.arctan2(bend, (step * far).sum(2)).sum(1)
+    return r, (bend > 0).all(1) & (np.abs(around - 2 * math.pi) < 1e-6)
+
+
+def _moved_sides(r: np.ndarray, distance: float, join: str, min_angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Convex rings (m, n, 2) with their sides moved outward, or inward below 0: all places, how many each ring has, and
+    whether it keeps all its sides."""
+    step = np.roll(r, -1, 1) - r
+    u = step / np.hypot(step[..., 0], step[..., 1])[..., None]
+    n = np.stack([u[..., 1], -u[..., 0]], 2)
+    m = np.roll(n, 1, 1)
+    cos = np.clip((m * n).sum(2), -1.0, 1.0)
+    tip = r + distance * ((m + n) / np.maximum(1 + cos, 1e-300)[..., None])
+    if distance < 0:
+        whole = ((np.roll(tip, -1, 1) - tip) * step).sum(2) > 0
+        return tip.reshape(-1, 2), np.full(len(r), r.shape[1]), whole.all(1)
+    turn = np.arccos(cos)
+    parts = np.maximum(np.ceil(turn / 0.25), 1).astype(int)
+    sizes = parts + 1 if join == "round" else np.where((join == "bevel") | (math.pi - turn < min_angle), 2, 1)
+    at = np.repeat(np.arange(sizes.size), sizes.ravel())
+    i = np.arange(len(at)) - _ends(sizes.ravel())[at]
+    if join == "round":
+        t = np.arctan2(m[..., 1], m[..., 0]).ravel()[at] + turn.ravel()[at] * i / parts.ravel()[at]
+        out = r.reshape(-1, 2)[at] + distance * np.column_stack([np.cos(t), np.sin(t)])
+    else:
+        beside = r.reshape(-1, 2)[at] + distance * np.where((i == 0)[:, None], m.reshape(-1, 2)[at], n.reshape(-1, 2)[at])
+        out = np.where((sizes.ravel()[at] == 1)[:, None], tip.reshape(-1, 2)[at], beside)
+    return out, sizes.sum(1), np.ones(len(r), bool)
 
 
-def _moved_sides(r: np.ndarray, distance: float, join: str, min_angle: float) -> np.ndarray:
-    """A convex ring with its sides moved outward, or inward below 0; an empty ring where nothing is left."""
+def _shrunk(r: np.ndarray, distance: float) -> np.ndarray:
+    """What a convex ring's sides, moved inward, leave of it; an empty ring where nothing is left."""
     step = np.roll(r, -1, axis=0) - r
     u = step / np.hypot(*step.T)[:, None]
-    out = np.column_stack([u[:, 1], -u[:, 0]])
-    if distance < 0:
-        ring = [tuple(p) for p in r.tolist()]
-        for (px, py), (nx, ny) in zip(r.tolist(), out.tolist()):
-            far = [nx * (x - px) + ny * (y - py) - distance for x, y in ring]
-            cut = []
-            for i, (a, fa) in enumerate(zip(ring, far)):
-                b, fb = ring[(i + 1) % len(ring)], far[(i + 1) % len(ring)]
-                if fa <= 0:
-                    cut.append(a)
-                if fa * fb < 0:
-                    t = fa / (fa - fb)
-                    cut.append((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t))
-            ring = cut
-        return np.array(ring, float).reshape(-1, 2)
-    ring = []
-    for p, m, n in zip(r, np.roll(out, 1, axis=0), out):
-        inner = math.pi - math.acos(max(-1.0, min(1.0, float(m @ n))))
-        if join == "round":
-            a0, turn = math.atan2(m[1], m[0]), math.acos(max(-1.0, min(1.0, float(m @ n))))
-            k = max(1, math.ceil(turn / 0.25))
-            ring += [p + distance * np.array([math.cos(a0 + turn * i / k), math.sin(a0 + turn * i / k)]) for i in range(k + 1)]
-        elif join == "bevel" or inner < min_angle:
-            ring += [p + distance * m, p + distance * n]
-        else:
-            middle = (m + n) / np.linalg.norm(m + n)
-            ring.append(p + middle * (distance / math.sin(inner / 2)))
-    return np.array(ring)
-
-
-def _buffered(polygons, lines, distance: float, join: str, min_angle: float) -> list[list[np.ndarray]]:
-    r, out = abs(distance), []
-    for polygon in polygons:
-        plain = _convex(polygon[0]) if len(polygon) == 1 and len(polygon[0]) >= 3 else None
-        if plain is not None:
-            moved = _moved_sides(plain, distance, join, min_angle)
-            whole = np.sign(moved) * np.floor(np.abs(moved) + 0.5)
-            if len(whole) >= 3 and area2(whole) != 0:
-                out.append([whole])
+    ring = [tuple(p) for p in r.tolist()]
+    for (px, py), (nx, ny) in zip(r.tolist(), np.column_stack([u[:, 1], -u[:, 0]]).tolist()):
+        far = [nx * (x - px) + ny * (y - py) - distance for x, y in ring]
+        cut = []
+        for i, (a, fa) in enumerate(zip(ring, far)):
+            b, fb = ring[(i + 1) % len(ring)], far[(i + 1) % len(ring)]
+            if fa <= 0:
+                cut.append(a)
+            if fa * fb < 0:
+                t = fa / (fa - fb)
+                cut.append((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t))
+        ring = cut
+    return np.array(ring, float).reshape(-1, 2)
+
+
+def _whole(xy: np.ndarray) -> np.ndarray:
+    return np.sign(xy) * np.floor(np.abs(xy) + 0.5)
+
+
+def _buffered(polygon: list[np.ndarray], distance: float, join: str, min_angle: float) -> list[list[np.ndarray]]:
+    """One polygon that does not keep its sides, or is not one convex ring."""
+    if distance < 0 and len(polygon) == 1 and len(polygon[0]) >= 3:
+        (plain,), (convex,) = _convex(polygon[0][None])
+        if convex:
+            left = _whole(_shrunk(plain, distance))
+            return [[left]] if len(left) >= 3 and area2(left) != 0 else []
+    strips = [s for ring in polygon if len(ring) >= 3 for s in _strips(ring, True, abs(distance), join, min_angle)]
+    # A hole's strips and the exterior's alike; growing adds them, shrinking takes them away.
+    return overlay([polygon], strips, RULES["union" if distance > 0 else "difference"], wound=True)
+
+
+def _buffered_polygons(polygons: pa.Array, distance: float, join: str, min_angle: float) -> pa.Array:
+    """Each row's polygons, buffered; all that are one convex ring of as many corners in one go."""
+    each = polygons.flatten()
+    rings = each.flatten() if len(each) else each
+    if not len(rings):  # Spark's empty lists have no ends to read
+        return pa.array([[]] * len(polygons), POLYGONS)
+    xy = np.column_stack([c.to_numpy(zero_copy_only=False) for c in rings.flatten().flatten()])
+    start = _ends(pc.list_value_length(rings))
+    ring, size = _ends(pc.list_value_length(each))[:-1], np.zeros(len(each), int)
+    one = pc.list_value_length(each).to_numpy(zero_copy_only=False) == 1
+    size[one] = np.diff(start)[ring[one]]
+    ids, found = [], []
+    for n in np.unique(size[size >= 3]).tolist():
+        of = np.nonzero(size == n)[0]
+        r, plain = _convex(xy[start[ring[of]][:, None] + np.arange(n)])
+        of, r = of[plain], r[plain]
+        moved, sizes, kept = _moved_sides(r, distance, join, min_angle)
+        if not len(of) or not kept.any():
             continue
-        strips = [s for ring in polygon if len(ring) >= 3 for s in _strips(ring, True, r, join, min_angle)]
-        # A hole's strips and the exterior's alike; growing adds them, shrinking takes them away.
-        out += overlay([polygon], strips, RULES["union" if distance > 0 else "difference"], wound=True)
-    for line in lines:
-        if len(line):
-            out += overlay(_strips(line, False, r, join, min_angle), [], lambda a, b: a, wound=True)
-    return out
+        moved, sizes, of = _whole(moved[np.repeat(kept, sizes)]), sizes[kept], of[kept]
+        ends = _ends(sizes)
+        after = np.arange(1, len(moved) + 1)
+        after[ends[1:] - 1] = ends[:-1]
+        areas = np.add.reduceat(moved[:, 0] * moved[after, 1] - moved[after, 0] * moved[:, 1], ends[:-1])
+        has = areas != 0
+        ids.append(of)
+        found.append(_nested(moved[np.repeat(has, sizes)], sizes[has], np.ones(has.sum(), int), has.astype(int)))
+    rest = np.setdiff1d(np.arange(len(each)), np.concatenate(ids)) if ids else np.arange(len(each))
+    others = _arrays(each.take(pa.array(rest)).to_pylist())
+    found.append(pa.array([_structs(_buffered(p, distance, join, min_angle)) for p in others], POLYGONS))
+    per = pa.concat_arrays([f.cast(POLYGONS) for f in found]).take(pa.array(np.argsort(np.concatenate([*ids, rest]), kind="stable")))
+    ends = _ends(pc.list_value_length(per))[_ends(pc.list_value_length(polygons))]
+    return pa.ListArray.from_arrays(pa.array(ends), per.flatten())
 
 
 def buffer(df: DataFrame, distance: float, join: str = "miter", min_angle_deg: float = 5.0) -> DataFrame:
@@ -562,14 +616,19 @@ def buffer(df: DataFrame, distance: float, join: str = "miter", min_angle_deg: f
         return df.withColumn("polygons", shape(df, "polygons")).drop("points", "lines").where(F.size("polygons") > 0)
     angle = math.radians(min_angle_deg)
 
-    @F.arrow_udf(SHAPES["polygons"])
-    def run(polygons: pa.Array, lines: pa.Array) -> pa.Array:
+    def of_polygons(polygons: pa.Array) -> pa.Array:
+        return _buffered_polygons(polygons, distance, join, angle)
+
+    def of_lines(lines: pa.Array) -> pa.Array:
         out = []
-        for rings, paths in zip(polygons.to_pylist(), lines.to_pylist()):
-            own = [np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2) for line in paths]
-            out.append(_structs(_buffered(_arrays(rings), own, distance, join, angle)))
+        for paths in lines.to_pylist():
+            own = [np.array([(p["x"], p["y"]) for p in line], float) for line in paths if line]
+            out.append(_structs([p for line in own for p in overlay(_strips(line, False, abs(distance), join, angle), [], lambda a, b: a, wound=True)]))
         return pa.array(out, POLYGONS)
 
-    discs = F.transform(shape(df, "points"), lambda p: disc(p, distance, join))
-    out = df.withColumn("polygons", F.concat(discs, run(shape(df, "polygons"), shape(df, "lines"))))
+    # As functions without a fixed result they are not worked out once more for the filter.
+    run = lambda f, name: F.arrow_udf(f, SHAPES["polygons"]).asNondeterministic()(shape(df, name))
+    made = {"points": lambda: F.transform(shape(df, "points"), lambda p: disc(p, distance, join)), "polygons": lambda: run(of_polygons, "polygons"), "lines": lambda: run(of_lines, "lines")}
+    parts = [f() for name, f in made.items() if name in df.columns]
+    out = df.withColumn("polygons", F.concat(*parts) if parts else shape(df, "polygons"))
     return out.drop("points", "lines").where(F.size("polygons") > 0)
